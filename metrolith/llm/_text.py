@@ -14,7 +14,7 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 #: Bytes of text handled at once; a longer document makes a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def _table(separators) -> np.ndarray:

@@ -33,6 +33,8 @@ ANCHOR = 8
 #: Bytes of suffix rows in a group; with the arrays of its sort about six times that.
 GROUP_BYTES = 16 << 20
 _SUFFIX_BYTES = 7
+#: Bytes of text whose equal suffixes are merged before they travel.
+_TASK_BYTES = 4 << 20
 _LAST = np.iinfo(np.int64).max
 _RUNS = np.dtype([("prefix", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("start", "<u4"), ("n", "u1")])
 
@@ -82,62 +84,69 @@ def _known(runs) -> pa.RecordBatch:
 
 
 def _split(batches, bits: int, window: int, anchor: int):
-    """Suffix rows by group, and repeats that one batch shows by itself."""
+    """Suffix rows by group, and repeats that some texts of a task show by themselves."""
     for batch in batches:
         ids = np.asarray(batch.column(0).fill_null(_LAST))
         hashes = np.asarray(batch.column(1)).astype(np.int64).view(U) & U(0xFFFFFFFF)
-        got = []
+        got, held = [], 0
         for row, data, off in chunks(batch.column(2)):
             w = Words(data, off, SPACED)
             ok, prefix, path, at = _suffixes(w, window, anchor)
             doc = w.row[ok] + row
             got.append((prefix, path, doc, ok - w.first[w.row[ok]], at - w.first[w.row[ok]]))
-        if not got:
-            continue
-        prefix, path, doc, start, at = (np.concatenate(x) for x in zip(*got, strict=True))
-        if not len(prefix):
-            continue
-        # equal suffixes of this batch: the earliest leaf stays
-        key = mix(prefix) ^ (path * U(0x9E3779B97F4A7C15))
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        same = np.zeros(len(k), bool)
-        same[1:] = k[1:] == k[:-1]
-        leaf = np.ones(len(prefix), bool)
-        near = same.copy()
-        near[:-1] |= same[1:]
-        if near.any():
-            o = order[near]
-            o = o[np.lexsort((start[o], ids[doc[o]], path[o], prefix[o]))]
-            new = np.ones(len(o), bool)
-            new[1:] = (prefix[o][1:] != prefix[o][:-1]) | (path[o][1:] != path[o][:-1])
-            head = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))
-            first = o[head]
-            later = (ids[doc[o]] != ids[doc[first]]) | (start[o] != start[first])
-            leaf[o[~new]] = False
-            yield _known(_runs(start[o[later]], ids[doc[o[later]]], hashes[doc[o[later]]]))
-        prefix, path, doc, start, at = prefix[leaf], path[leaf], doc[leaf], start[leaf], at[leaf]
-        # runs of neighbouring suffixes with one prefix are one row
-        new = np.ones(len(prefix), bool)
-        new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
-        b = np.flatnonzero(new)
-        size = np.diff(np.append(b, len(prefix)))
-        group = (prefix[b] >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(b), np.int64)
-        order = np.argsort(group, kind="stable")
-        rows = np.zeros(len(b), _RUNS)
-        rows["prefix"], rows["doc"], rows["text"], rows["start"], rows["n"] = prefix[b], ids[doc[b]], hashes[doc[b]], start[b], size
-        rows, group = rows[order], group[order]
-        # paths in the order of the rows
-        far = np.repeat(b[order] - np.concatenate([[0], np.cumsum(size[order])[:-1]]), size[order]) + np.arange(len(prefix))
-        paths = path[far].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        ends = np.cumsum(size[order])
-        cut = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(rows))
-        out = []
-        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            lo = ends[x - 1] if x else 0
-            out.append(np.int64(y - x).tobytes() + rows[x:y].tobytes() + paths[lo : ends[y - 1]].tobytes())
-        z = pa.nulls(len(out), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(group[cut[:-1]], pa.int64()), z, z, z, z, pa.array(out, pa.binary())], schema=_PARTS)
+            held += len(data)
+            if held >= _TASK_BYTES:
+                yield from _leaves(got, ids, hashes, bits)
+                got, held = [], 0
+        if got:
+            yield from _leaves(got, ids, hashes, bits)
+
+
+def _leaves(got, ids: np.ndarray, hashes: np.ndarray, bits: int):
+    prefix, path, doc, start, at = (np.concatenate(x) for x in zip(*got, strict=True))
+    if not len(prefix):
+        return
+    # equal suffixes of this batch: the earliest leaf stays
+    key = mix(prefix) ^ (path * U(0x9E3779B97F4A7C15))
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    same = np.zeros(len(k), bool)
+    same[1:] = k[1:] == k[:-1]
+    leaf = np.ones(len(prefix), bool)
+    near = same.copy()
+    near[:-1] |= same[1:]
+    if near.any():
+        o = order[near]
+        o = o[np.lexsort((start[o], ids[doc[o]], path[o], prefix[o]))]
+        new = np.ones(len(o), bool)
+        new[1:] = (prefix[o][1:] != prefix[o][:-1]) | (path[o][1:] != path[o][:-1])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))
+        first = o[head]
+        later = (ids[doc[o]] != ids[doc[first]]) | (start[o] != start[first])
+        leaf[o[~new]] = False
+        yield _known(_runs(start[o[later]], ids[doc[o[later]]], hashes[doc[o[later]]]))
+    prefix, path, doc, start, at = prefix[leaf], path[leaf], doc[leaf], start[leaf], at[leaf]
+    # runs of neighbouring suffixes with one prefix are one row
+    new = np.ones(len(prefix), bool)
+    new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    b = np.flatnonzero(new)
+    size = np.diff(np.append(b, len(prefix)))
+    group = (prefix[b] >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(b), np.int64)
+    order = np.argsort(group, kind="stable")
+    rows = np.zeros(len(b), _RUNS)
+    rows["prefix"], rows["doc"], rows["text"], rows["start"], rows["n"] = prefix[b], ids[doc[b]], hashes[doc[b]], start[b], size
+    rows, group = rows[order], group[order]
+    # paths in the order of the rows
+    far = np.repeat(b[order] - np.concatenate([[0], np.cumsum(size[order])[:-1]]), size[order]) + np.arange(len(prefix))
+    paths = path[far].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    ends = np.cumsum(size[order])
+    cut = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(rows))
+    out = []
+    for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        lo = ends[x - 1] if x else 0
+        out.append(np.int64(y - x).tobytes() + rows[x:y].tobytes() + paths[lo : ends[y - 1]].tobytes())
+    z = pa.nulls(len(out), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(group[cut[:-1]], pa.int64()), z, z, z, z, pa.array(out, pa.binary())], schema=_PARTS)
 
 
 _FOUND = "doc bigint, text bigint, start bigint, n bigint"
