@@ -6,10 +6,17 @@ above as part of a word, so splitting bytes equals splitting characters.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+with contextlib.suppress(OSError, AttributeError):  # glibc: freed arrays of 1 MB and more go back to the system at once
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())
+
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)

@@ -31,7 +31,7 @@ from metrolith.llm._text import SPACED, U, Words, chunks, filled, gram, mix, str
 
 ANCHOR = 8
 #: Bytes of suffix rows in a group; with the arrays of its sort about six times that.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
 _SUFFIX_BYTES = 7
 #: Bytes of text whose equal suffixes are merged before they travel.
 _TASK_BYTES = 4 << 20
