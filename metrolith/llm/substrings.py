@@ -131,7 +131,8 @@ def _leaves(got, ids: np.ndarray, hashes: np.ndarray, bits: int):
     new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
     b = np.flatnonzero(new)
     size = np.diff(np.append(b, len(prefix)))
-    group = (prefix[b] >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(b), np.int64)
+    # least hashes are small, so their own first bits would deal unevenly
+    group = (mix(prefix[b]) >> U(64 - bits)).astype(np.int64)
     order = np.argsort(group, kind="stable")
     rows = np.zeros(len(b), _RUNS)
     rows["prefix"], rows["doc"], rows["text"], rows["start"], rows["n"] = prefix[b], ids[doc[b]], hashes[doc[b]], start[b], size
