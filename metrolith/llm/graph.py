@@ -16,8 +16,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     minimum and joined back, never collected, so a node may have any number of them. Loops count as
     nodes; an empty table gives no rows. Every round is cut off by a checkpoint.
     """
+    edges = cut(edges.select("u", "v"))
     loops = edges.filter("u = v").select(F.col("u").alias("node")).distinct()
-    e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     before = None
     for _ in range(rounds):
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
