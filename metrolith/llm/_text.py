@@ -37,6 +37,22 @@ ALNUM = _table([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
+_held: dict = {}
+
+
+def held(name: str, key, make):
+    """The one large object that a worker keeps between tasks; another operator's takes its place."""
+    if _held.get("key") != (name, key):
+        _held.clear()
+        _held.update(value=make(), key=(name, key))
+    return _held["value"]
+
+
+def forget() -> None:
+    """Called by operators that keep nothing: workers outlive queries, and what others kept is memory."""
+    _held.clear()
+
+
 _powers: dict[str, np.ndarray] = {}
 
 

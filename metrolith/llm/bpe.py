@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from metrolith.llm._spark import extended, filled_name, plus
-from metrolith.llm._text import filled
+from metrolith.llm._text import filled, held
 
 #: Bytes of a rank file that are broadcast at most; a larger file is refused.
 MAX_RANK_BYTES = 64 << 20
@@ -197,15 +197,8 @@ class Codec:
         yield stream.finish()
 
 
-_codecs: dict[bytes, Codec] = {}
-
-
 def _codec(raw: bytes, pattern: str) -> Codec:
-    key = hashlib.blake2b(raw + pattern.encode()).digest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(raw, pattern)
-    return _codecs[key]
+    return held("bpe", hashlib.blake2b(raw + pattern.encode()).digest(), lambda: Codec(raw, pattern))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, column: str = "text", digest: bool = False) -> DataFrame:

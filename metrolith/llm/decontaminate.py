@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metrolith.llm._spark import extended, filled_name, plus
-from metrolith.llm._text import ALNUM, LOWER, U, Words, chunks, gram
+from metrolith.llm._text import ALNUM, LOWER, U, Words, chunks, gram, forget
 
 #: Words that a suffix shares with a test window before it enters the suffix array.
 LEAD = 4
@@ -185,6 +185,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
         shared = sc.broadcast(block)
 
         def run(batches):
+            forget()
             block = shared.value
             for batch in batches:
                 cols = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "hits", "items")}

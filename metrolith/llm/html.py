@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from metrolith.llm._spark import extended, filled_name, plus
-from metrolith.llm._text import filled
+from metrolith.llm._text import filled, held
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -324,9 +324,6 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
     return out
 
 
-_models: list[Model] = []
-
-
 def main_text(page: str, model: Model) -> str:
     nodes, blocks = parse(page)
     p = model.marginals(nodes)
@@ -348,9 +345,7 @@ def extract(pages: DataFrame, column: str = "html", labelled: list[str] | None =
         if labelled is not None:
             model = Model(labelled)
         else:
-            if not _models:
-                _models.append(Model(labelled_pages()))
-            model = _models[0]
+            model = held("html", 0, lambda: Model(labelled_pages()))
         for batch in batches:
             texts = [main_text(x.as_py(), model) for x in filled(batch.column(batch.schema.get_field_index(filled_name(batch, column))))]
             yield extended(batch, text=pa.array(texts, pa.string()), n_chars=pa.array([len(t) for t in texts], pa.int64()))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metrolith.llm._spark import extended, filled_name, plus
-from metrolith.llm._text import LOWER, chunks, filled, strings
+from metrolith.llm._text import LOWER, chunks, filled, strings, forget
 
 #: Distinct labelled texts of each language that are learned from, their most bytes, and how many are landmarks.
 SAMPLE, SAMPLE_BYTES, LANDMARKS = 300, 20_000, 32
@@ -128,6 +128,7 @@ def identify(docs: DataFrame, training: DataFrame, column: str = "text", lang: s
     made: dict = {}
 
     def run(batches):
+        forget()
         if "model" not in made:
             made["model"] = train(shared.value)
         names, kernel = made["model"]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from metrolith.llm._spark import cut
 from metrolith.llm.graph import components
-from metrolith.llm._text import LOWER, SPACED, U, Words, chunks, filled, gram, mix
+from metrolith.llm._text import LOWER, SPACED, U, Words, chunks, filled, gram, mix, forget
 
 #: Components, and how many form a band: a pair at similarity 0.8 shares no band with probability 3e-6.
 SIZE, BAND = 252, 6
@@ -125,6 +125,7 @@ def signatures(docs: DataFrame, k: int = 2, column: str = "text") -> DataFrame:
     """doc_id, n_shingles, c1 and c2 (which name the set), bands array<bigint> (empty for no shingles) of each row."""
 
     def run(batches):
+        forget()
         for batch in batches:
             cols = {n: [] for n in ("n", "c1", "c2", "bands")}
             for _, data, off in chunks(batch.column(1), 1 << 20):
@@ -217,6 +218,7 @@ def _verified(batches, k: int, percent: int):
         if edges[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(e), pa.int64()) for e in edges], names=["u", "v"])
 
+    forget()
     keys, ids, texts, held = [], [], [], 0
     for batch in batches:
         for key, i, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):

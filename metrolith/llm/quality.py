@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metrolith.llm._spark import extended, filled_name, plus
-from metrolith.llm._text import LOWER, SPACED, U, Words, chunks, filled, gram, strings
+from metrolith.llm._text import LOWER, SPACED, U, Words, chunks, filled, gram, strings, forget
 
 MIN_WORDS = 50
 #: Per cent of the words that may lie in repeated 3-word windows.
@@ -53,6 +53,7 @@ def count_trigrams(docs: DataFrame, column: str = "text", lang: str = "lang") ->
     """tag, code, n of all byte trigrams of all documents; each task sends a trigram once."""
 
     def run(batches):
+        forget()
         held: dict[str, list] = {}
 
         def add(name, codes, n):
@@ -195,6 +196,7 @@ _ADDED = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigin
 
 def _scored(docs: DataFrame, shared, bands: dict | None, column: str, lang: str) -> DataFrame:
     def run(batches):
+        forget()
         models: dict[str, Model] = {}
         for batch in batches:
             tags = [tag(x) for x in batch.column(batch.schema.get_field_index(filled_name(batch, lang))).to_pylist()]

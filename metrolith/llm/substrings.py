@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metrolith.llm._spark import extended, filled_name, plus, total_chars
-from metrolith.llm._text import SPACED, U, Words, chunks, filled, gram, mix, strings
+from metrolith.llm._text import SPACED, U, Words, chunks, filled, gram, mix, strings, forget
 
 ANCHOR = 8
 #: Bytes of suffix rows in a group; with the arrays of its sort about six times that.
@@ -85,6 +85,7 @@ def _known(runs) -> pa.RecordBatch:
 
 def _split(batches, bits: int, window: int, anchor: int):
     """Suffix rows by group, and repeats that some texts of a task show by themselves."""
+    forget()
     for batch in batches:
         ids = np.asarray(batch.column(0).fill_null(_LAST))
         hashes = np.asarray(batch.column(1)).astype(np.int64).view(U) & U(0xFFFFFFFF)
