@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,8 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    import metrolith.plans.table_queries  # noqa: F401
+    for name in ("table", "series", "function", "model"):
+        importlib.import_module(f"metrolith.plans.{name}_queries")
 
 
 def queries() -> dict[str, Query]:
