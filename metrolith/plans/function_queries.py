@@ -55,11 +55,11 @@ def _(df):
 
 _A = "c_acctbal"
 many("math_elementary", "customer", "c_custkey", {
-    "ln": (lambda: F.nanvl(M.ln(_A), F.lit(-99.0)), f"round(case when {_A} > 0 then ln({_A}) when {_A} = 0 then '-inf'::double else -99 end, 6)"), "sg": (lambda: M.sign(_A), f"case when {_A} < 0 then -1.0 else 1.0 end"),
+    "ln": (lambda: F.nanvl(M.ln(_A), F.lit(-99.0)), f"round(case when {_A} > 0 then ln({_A}) when {_A} = 0 then '-inf'::double else -99 end, 6)"), "sg": (lambda: M.sign(_A), f"case when {_A} < 0 then -1.0::double else 1.0::double end"),
     "fx": (lambda: M.fix(_A).cast("double"), f"cast(trunc({_A}) as double)"), "md": (lambda: M.mod(F.col(_A), F.lit(7.0)), f"round({_A} - 7 * floor({_A} / 7), 6)"), "rm": (lambda: M.rem(_A, 7.0), f"round({_A} % 7, 6)"),
     "cl": (lambda: M.clip(_A, 0.0, 5000.0), f"least(greatest({_A}, 0), 5000)"), "mx": (lambda: M.maximum(F.col(_A), F.lit(float("nan"))), _A), "mn": (lambda: M.minimum(F.col(_A), F.lit(100.0)), f"least({_A}, 100)"),
     "dv": (lambda: M.div(F.col(_A), F.lit(8.0)), f"round({_A} / 8, 6)"), "rd": (lambda: F.round(_A, 0), f"round({_A}, 0)"), "at": (lambda: F.atan2(F.col(_A), F.lit(100.0)), f"round(atan2({_A}, 100), 6)"), "hy": (lambda: F.hypot(F.col(_A), F.lit(3.0)), f"round(sqrt({_A} * {_A} + 9), 6)"),
-    "th": (lambda: F.tanh(F.col(_A) / 1000), f"round(tanh({_A} / 1000), 6)"), "cb": (lambda: F.cbrt(_A), f"round(cbrt({_A}), 6)"), "w": (lambda: M.where(F.col(_A) > 0, 1.0, 0.0), f"case when {_A} > 0 then 1.0 else 0.0 end"), "pv": (lambda: M.polyval([1.0, -2.0, 3.0], F.col(_A) / 100), f"round(({_A} / 100) ^ 2 - 2 * ({_A} / 100) + 3, 6)"),
+    "th": (lambda: F.tanh(F.col(_A) / 1000), f"round(tanh({_A} / 1000), 6)"), "cb": (lambda: F.cbrt(_A), f"round(cbrt({_A}), 6)"), "w": (lambda: M.where(F.col(_A) > 0, 1.0, 0.0), f"case when {_A} > 0 then 1.0::double else 0.0::double end"), "pv": (lambda: M.polyval([1.0, -2.0, 3.0], F.col(_A) / 100), f"round(({_A} / 100) ^ 2 - 2 * ({_A} / 100) + 3, 6)"),
 })
 many("math_integers", "orders", "o_orderkey", {
     "g": (lambda: M.gcd("o_orderkey", F.lit(360)), "gcd(o_orderkey, 360)"), "l": (lambda: M.lcm("o_orderkey", F.lit(12)), "lcm(o_orderkey, 12)"), "a": (lambda: F.col("o_orderkey").bitwiseAND(F.lit(255)), "o_orderkey & 255"),
@@ -74,7 +74,7 @@ many("array_reductions", "embeddings", "vec_id", {
 }, 4)
 _X = "c_acctbal / 1000"
 many("dist_closed_forms", "customer", "c_custkey", {
-    "np": (lambda: M.normpdf(F.col(_A) / 1000, 4.0, 2.0), f"round(exp(-pow(({_X} - 4) / 2, 2) / 2) / (2 * sqrt(2 * pi())), 6)"), "up": (lambda: M.unifpdf(F.col(_A) / 1000, 0.0, 5.0), f"case when {_X} >= 0 and {_X} <= 5 then 0.2 else 0.0 end"), "uc": (lambda: M.unifcdf(F.col(_A) / 1000, 0.0, 5.0), f"round(least(greatest({_X} / 5, 0), 1), 6)"),
+    "np": (lambda: M.normpdf(F.col(_A) / 1000, 4.0, 2.0), f"round(exp(-pow(({_X} - 4) / 2, 2) / 2) / (2 * sqrt(2 * pi())), 6)"), "up": (lambda: M.unifpdf(F.col(_A) / 1000, 0.0, 5.0), f"case when {_X} >= 0 and {_X} <= 5 then 0.2::double else 0.0::double end"), "uc": (lambda: M.unifcdf(F.col(_A) / 1000, 0.0, 5.0), f"round(least(greatest({_X} / 5, 0), 1), 6)"),
     "ep": (lambda: M.exppdf(F.col(_A) / 1000, 2.0), f"round(case when {_X} < 0 then 0 else exp(-{_X} / 2) / 2 end, 6)"), "ec": (lambda: M.expcdf(F.col(_A) / 1000, 2.0), f"round(case when {_X} < 0 then 0 else 1 - exp(-{_X} / 2) end, 6)"),
     "wc": (lambda: M.wblcdf(F.greatest(F.col(_A) / 1000, F.lit(0.0)), 3.0, 1.5), f"round(1 - exp(-pow(greatest({_X}, 0) / 3, 1.5)), 6)"), "gc": (lambda: M.geocdf(F.floor(F.col(_A) / 1000), 0.3), f"round(case when floor({_X}) < 0 then 0 else 1 - pow(0.7, floor({_X}) + 1) end, 6)"),
 })
@@ -100,7 +100,7 @@ def _square():
     return F.array(F.array(a + 60, b), F.array(b, a + 1))
 
 
-@query("matrix_two_by_two", "part", "select p_partkey, round((p_size + 60.0) * (p_size + 1) - pow(p_retailprice / 1000, 2), 4) as det, p_size * 2.0 + 61 as trace from part")
+@query("matrix_two_by_two", "part", "select p_partkey, round((p_size + 60.0) * (p_size + 1) - pow(p_retailprice / 1000, 2), 4) as det, (p_size * 2.0 + 61)::double as trace from part")
 def _(df):
     return rounded(df.select("p_partkey", P.det(_square()).alias("det"), P.trace(_square()).alias("trace")), 4)
 

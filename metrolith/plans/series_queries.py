@@ -41,7 +41,8 @@ column("rising_edges", f"(lag(value) over ({_W}) < 40 and value >= 40)")(lambda
 column("falling_edges", f"(lag(value) over ({_W}) >= 40 and value < 40)")(lambda x: S.falling_edges(ONE, x, 40.0))
 column("peaks", f"(value > lag(value) over ({_W}) and value > lead(value) over ({_W}) and value >= 20)")(lambda x: S.is_peak(ONE, x, 20.0))
 column("rank", f"row_number() over ({_W}) - 1")(lambda x: S.rank(ONE))
-column("cumprod", f"round(case when max(case when sin(event_id) * 1.2 = 0 then 1 else 0 end) over ({_W}) = 1 then 0 else (case when sum(case when sin(event_id) * 1.2 < 0 then 1 else 0 end) over ({_W}) % 2 = 0 then 1 else -1 end) * exp(sum(ln(abs(sin(event_id) * 1.2))) over ({_W})) end, 8)", 8)(lambda x: S.cumprod(ONE, F.sin("event_id") * 1.2))
+_FACTOR = "(1 + sin(event_id) / 10) * case when event_id % 3 = 0 then -1 else 1 end"
+column("cumprod", f"round((case when sum(case when event_id % 3 = 0 then 1 else 0 end) over ({_W}) % 2 = 0 then 1 else -1 end) * exp(sum(ln(1 + sin(event_id) / 10)) over ({_W})), 6)")(lambda x: S.cumprod(ONE, F.expr(_FACTOR)))
 
 
 @query("series_hampel", "events", f"""

@@ -261,7 +261,7 @@ def _(spark, d):
 @register("join_interp1", """
     with k as (select user_id, event_id * 1.0 as x, value as y, lag(event_id * 1.0) over w as px, lag(value) over w as py, lead(event_id * 1.0) over w as nx, lead(value) over w as ny
                from events where event_id % 2 = 0 window w as (partition by user_id order by event_id)),
-         q as (select user_id, event_id * 1.0 as q from events where event_id % 2 = 1)
+         q as (select user_id, event_id::double as q from events where event_id % 2 = 1)
     select q.user_id, q.q, round(case
         when a.x is null and b.x is null then null
         when a.x is null then case when b.nx is null then b.y else b.y + (q.q - b.x) * (b.ny - b.y) / (b.nx - b.x) end
