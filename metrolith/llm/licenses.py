@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from metrolith.llm.urlfilter import LOWER, UPPER
 
-#: A text without any of these has no detection; each keyword below holds one of them.
-GATES = ("licen", "copyright", "rights reserved", "public domain", "creative commons", " cc ", "spdx", "gpl", "apache", "copyleft", "warranty", "without fee", "redistribut", "terms of")
+#: A text without any of these has no detection: whatever a rule matches holds one of them.
+GATES = (
+    "licen", "copyright", "rights reserved", "public domain", "publicdomain", "creative commons", " cc ", "cc0", "spdx", "gpl", "apache", "bsd", "warranty", "without fee", "redistribut", "terms ",
+    "without restriction", "free of charge", "mit no attribution", "commons clause", "endorse or promote", "advertising materials",
+)
 
 #: label; priority; keyword; expression. Texts are words between single spaces, A-Z lower-cased.
 RULES = r"""
