@@ -189,17 +189,20 @@ def add(a, b) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: x + y)
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once; inside a lambda an outer expression is computed for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def lse(a) -> Column:
     a = _c(a)
-    m = F.array_max(a)
-    return m + F.ln(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - m)))
+    return let(F.array_max(a), lambda m: m + F.ln(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - m))))
 
 
 def softmax(a) -> Column:
     a = _c(a)
-    m = F.array_max(a)
-    total = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - m))
-    return F.transform(a, lambda x: F.exp(x - m) / total)
+    shifted = let(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m)))
+    return let(shifted, lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def argmax(a) -> Column:

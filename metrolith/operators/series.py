@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metrolith.functions.mathfn import let
+
 
 @dataclass(frozen=True)
 class Series:
@@ -50,8 +52,11 @@ def rolling_max(s: Series, x: Column, n: int = 5) -> Column:
 
 
 def _median(a: Column) -> Column:
-    n = F.size(a)
-    b = F.array_sort(a)
+    return let(F.array_sort(a), _middle)
+
+
+def _middle(b: Column) -> Column:
+    n = F.size(b)
     return F.when(n == 0, F.lit(None).cast("double")).otherwise((F.get(b, ((n - 1) / 2).cast("int")) + F.get(b, (n / 2).cast("int"))) / 2)
 
 
@@ -63,7 +68,7 @@ def hampel(s: Series, x: Column, n: int = 7, sigma: float = 3.0) -> Column:
     """The running median where x is further from it than sigma scaled median deviations, else x."""
     a = F.collect_list(x).over(s.centred(n))
     m = _median(a)
-    mad = 1.4826 * _median(F.transform(a, lambda v: F.abs(v - m)))
+    mad = 1.4826 * let(m, lambda c: _median(F.transform(a, lambda v: F.abs(v - c))))
     return F.when(F.abs(x - m) > sigma * mad, m).otherwise(x)
 
 

@@ -97,10 +97,11 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def describe(df: DataFrame, *names: str) -> DataFrame:
     """One row per column: count, mean, std (N - 1), min, quartiles, max; a single aggregate."""
     names = names or tuple(numeric_columns(df))
-    stats = {"count": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0)), "min": lambda c: F.min(c).cast("double"), "q25": lambda c: F.percentile(c, F.lit(0.25)), "q50": lambda c: F.percentile(c, F.lit(0.5)), "q75": lambda c: F.percentile(c, F.lit(0.75)), "max": lambda c: F.max(c).cast("double")}
+    stats = {"count": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0)), "min": lambda c: F.min(c).cast("double"), "q": lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))), "max": lambda c: F.max(c).cast("double")}
     one = df.agg(*[f(F.col(c)).alias(f"{c}\x00{s}") for c in names for s, f in stats.items()])
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}\x00{s}`").alias(s) for s in stats]) for c in names])).alias("r")
-    return one.select(rows).select("r.*")
+    quartiles = [F.get("r.q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))]  # of one sorted map a column
+    return one.select(rows).select("r.column", "r.count", "r.mean", "r.std", "r.min", *quartiles, "r.max")
 
 
 def corr_matrix(df: DataFrame, *names: str) -> DataFrame:
