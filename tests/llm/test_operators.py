@@ -350,7 +350,12 @@ def test_kneser_ney_sums_to_one_and_rejects_noise(spark):
     model = quality.Model(*quality.train(df)["en"])
     context = np.uint32((ord("t") << 16) | (ord("h") << 8))
     assert np.exp2(-model.bits(context | np.arange(256, dtype=np.uint32))).sum() == pytest.approx(1, abs=1e-3)
-    assert [r["doc_id"] for r in quality.quality(df).filter("not kept and not base_failed").collect()] == [999]
+    clean = df.filter("doc_id < 999")
+    shared = spark.sparkContext.broadcast(quality.train(clean))
+    bands = quality.bands_of(quality._scored(clean, shared, None, "text", "lang"), "lang")
+    out = quality._scored(df, shared, bands, "text", "lang")
+    assert [r["doc_id"] for r in out.filter("not kept and not base_failed").collect()] == [999]
+    assert quality.quality(clean).filter("not kept").count() == 0
 
 
 # 10
