@@ -188,10 +188,11 @@ def xcorr(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def tv_denoise(y: np.ndarray, lam: float = 1.0, steps: int = 200) -> np.ndarray:
     """Total variation by projected gradient on the dual."""
     z = np.zeros(max(0, len(y) - 1))
-    for _ in range(steps):
-        d = np.diff(y - np.diff(np.concatenate([[0], -z, [0]])) * -1) if len(z) else z
-        z = np.clip(z + d / 4, -lam, lam)
-    return y + np.diff(np.concatenate([[0], z, [0]])) if len(y) else y
+    out = y.astype(float)
+    for _ in range(steps if len(z) else 0):
+        z = np.clip(z + np.diff(out) / 4, -lam, lam)
+        out = y + np.diff(np.concatenate([[0.0], z, [0.0]]))
+    return out
 
 
 def kalman(x: np.ndarray, q: float = 1e-3, r: float = 1.0) -> np.ndarray:
@@ -203,3 +204,97 @@ def kalman(x: np.ndarray, q: float = 1e-3, r: float = 1.0) -> np.ndarray:
         p *= 1 - k
         out[i] = m
     return out
+
+
+def cheby1(order: int, ripple: float, cut: float) -> tuple[np.ndarray, np.ndarray]:
+    """Digital low-pass Chebyshev filter (b, a) with `ripple` dB in the pass band."""
+    eps = math.sqrt(10 ** (ripple / 10) - 1)
+    mu = math.asinh(1 / eps) / order
+    theta = np.pi * (2 * np.arange(1, order + 1) - 1) / (2 * order)
+    w = 2 * math.tan(math.pi * cut / 2)
+    p = w * (-math.sinh(mu) * np.sin(theta) + 1j * math.cosh(mu) * np.cos(theta))
+    a = np.poly((2 + p) / (2 - p)).real
+    b = np.poly([-1.0] * order)
+    gain = 1 if order % 2 else 1 / math.sqrt(1 + eps**2)
+    return b * gain * a.sum() / b.sum(), a
+
+
+def notch(f: float, q: float = 30.0) -> tuple[np.ndarray, np.ndarray]:
+    """Second-order notch at f as a share of the Nyquist frequency."""
+    w = math.pi * f
+    alpha = math.sin(w) / (2 * q)
+    a0 = 1 + alpha
+    return np.array([1, -2 * math.cos(w), 1]) / a0, np.array([a0, -2 * math.cos(w), 1 - alpha]) / a0
+
+
+def freqz(b: np.ndarray, a: np.ndarray, n: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    w = np.pi * np.arange(n) / n
+    z = np.exp(-1j * w)
+    return w, np.polyval(b[::-1], z) / np.polyval(a[::-1], z)
+
+
+def ar_model(x: np.ndarray, order: int) -> np.ndarray:
+    """Yule-Walker coefficients."""
+    d = x - x.mean()
+    r = np.array([(d[: len(d) - k] * d[k:]).sum() for k in range(order + 1)]) / max(1, len(d))
+    m = r[np.abs(np.subtract.outer(np.arange(order), np.arange(order)))]
+    return np.linalg.lstsq(m, r[1:], rcond=None)[0]
+
+
+def hurst(x: np.ndarray) -> float:
+    """Slope of log rescaled range against log block length."""
+    sizes = [n for n in 2 ** np.arange(3, 20) if n <= len(x) // 2]
+    points = []
+    for n in sizes:
+        parts = x[: len(x) // n * n].reshape(-1, n)
+        dev = np.cumsum(parts - parts.mean(1, keepdims=True), 1)
+        s = parts.std(1)
+        if (s > 0).any():
+            points.append((math.log(n), math.log(((dev.max(1) - dev.min(1))[s > 0] / s[s > 0]).mean())))
+    return float(np.polyfit(*zip(*points, strict=True), 1)[0]) if len(points) > 1 else math.nan
+
+
+def spectral_entropy(x: np.ndarray) -> float:
+    p = periodogram(x)["psd"]
+    p = p[p > 0] / p.sum() if p.sum() else p
+    return float(-(p * np.log2(p)).sum() / math.log2(len(p))) if len(p) > 1 else 0.0
+
+
+def dominant_frequency(x: np.ndarray, fs: float = 1.0) -> float:
+    s = periodogram(x, fs)
+    return float(s["freq"][int(np.argmax(s["psd"]))]) if len(x) else math.nan
+
+
+def thd(x: np.ndarray, fs: float, f0: float, harmonics: int = 5) -> float:
+    a = [abs(goertzel(x, f0 * k, fs)) for k in range(1, harmonics + 1)]
+    return math.sqrt(sum(v * v for v in a[1:])) / a[0] if a[0] else math.nan
+
+
+def features(x: np.ndarray) -> dict[str, np.ndarray]:
+    """One row a series: what describes its shape and spectrum."""
+    rms = math.sqrt((x**2).mean()) if len(x) else math.nan
+    one = {"rms": rms, "crest": np.abs(x).max() / rms if rms else math.nan, "entropy": spectral_entropy(x), "dominant": dominant_frequency(x), "ar1": float(ar_model(x, 1)[0]), "hurst": hurst(x)}
+    return {k: np.array([v], float) for k, v in one.items()}
+
+
+def daubechies4(x: np.ndarray) -> dict[str, np.ndarray]:
+    """One level of the four-tap wavelet on a periodic series of even length."""
+    x = x[: len(x) // 2 * 2]
+    s = math.sqrt(3)
+    h = np.array([1 + s, 3 + s, 3 - s, 1 - s]) / (4 * math.sqrt(2))
+    g = h[::-1] * [1, -1, 1, -1]
+    wide = np.concatenate([x, x[:2]])
+    rows = np.stack([wide[i : i + len(x) : 2] for i in range(4)]) if len(x) >= 2 else np.zeros((4, 0))
+    return {"approx": h @ rows, "detail": g @ rows}
+
+
+def cwt(x: np.ndarray, scales: tuple[float, ...] = (1, 2, 4, 8)) -> dict[str, np.ndarray]:
+    """Continuous transform with the second derivative of a Gaussian."""
+    out = []
+    for a in scales:
+        t = np.arange(-int(5 * a), int(5 * a) + 1) / a
+        w = (1 - t**2) * np.exp(-(t**2) / 2) * 2 / (math.sqrt(3 * a) * math.pi**0.25)
+        full = np.convolve(x, w)
+        lo = (len(w) - 1) // 2
+        out.append(full[lo : lo + len(x)])
+    return {"scale": np.repeat(np.array(scales, float), len(x)), "value": np.concatenate(out) if len(x) else np.zeros(0)}

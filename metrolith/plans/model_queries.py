@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from metrolith.catalog import register
-from metrolith.operators import ml, signal, sparse
+from metrolith.operators import image, ml, signal, sparse
 from metrolith.plans.table_queries import query, read, rounded
 from metrolith.streaming import streams
 
@@ -177,6 +177,8 @@ for _name, _kernel, _columns in (
     ("detrend", signal.same(signal.detrend), "y double"), ("savgol", signal.same(signal.savgol), "y double"), ("lowpass", signal.same(lambda x: signal.lfilter(*_FILTER, x)), "y double"), ("filtfilt", signal.same(lambda x: signal.filtfilt(*_FILTER, x)), "y double"),
     ("fir", signal.same(lambda x: signal.lfilter(signal.fir1(8, 0.3), [1.0], x)), "y double"), ("envelope", signal.same(signal.hilbert_envelope), "y double"), ("resample", signal.same(lambda x: signal.resample_linear(x, 64)), "y double"), ("dct", signal.same(signal.dct2), "y double"),
     ("haar", signal.haar, "approx double, detail double"), ("peaks", lambda x: signal.find_peaks(x, distance=3, prominence=5.0), "at double, height double, prominence double"), ("kalman", signal.same(signal.kalman), "y double"),
+    ("cheby1", signal.same(lambda x: signal.lfilter(*signal.cheby1(3, 1.0, 0.3), x)), "y double"), ("notch", signal.same(lambda x: signal.lfilter(*signal.notch(0.4), x)), "y double"), ("features", signal.features, "rms double, crest double, entropy double, dominant double, ar1 double, hurst double"),
+    ("dwt", signal.daubechies4, "approx double, detail double"), ("cwt", signal.cwt, "scale double, value double"), ("tv_denoise", signal.same(signal.tv_denoise), "y double"),
 ):
     query(f"signal_{_name}", "events")(lambda df, k=_kernel, c=_columns: signal.per_series(df, "user_id", ["ts", "event_id"], "value", k, c))
 
@@ -212,3 +214,38 @@ def _(spark, d):
     at = _shared(spark)
     files.write_csv(read(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"), at)
     return files.read_csv(spark, at)
+
+
+_PIXELS = "(select l_linenumber as image, cast(l_orderkey % 24 as int) as y, cast(l_partkey % 24 as int) as x, avg(l_quantity) as v from lineitem group by 1, 2, 3)"
+
+
+def _pixels(df):
+    return df.groupBy(F.col("l_linenumber").alias("image"), (F.col("l_orderkey") % 24).cast("int").alias("y"), (F.col("l_partkey") % 24).cast("int").alias("x")).agg(F.avg("l_quantity").alias("v"))
+
+
+for _kind, _sql in (("mean", "avg"), ("median", "median"), ("min", "min"), ("max", "max")):
+    query(f"image_{_kind}", "lineitem", f"with p as {_PIXELS} select a.image, a.y, a.x, round({_sql}(b.v), 5) as v from p a join p b on a.image = b.image and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 group by 1, 2, 3")(lambda df, k=_kind: rounded(image.local(_pixels(df), k), 5))
+
+
+@query("image_sobel", "lineitem", f"with p as {_PIXELS} select a.image, a.y, a.x, round(sum(b.v * (b.x - a.x) * case when b.y = a.y then 2 else 1 end), 4) as v from p a join p b on a.image = b.image and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 group by 1, 2, 3")
+def _(df):
+    return rounded(image.convolve(_pixels(df), [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]]))
+
+
+@query("image_otsu", "lineitem")
+def _(df):
+    return image.otsu(_pixels(df).withColumn("v", F.floor("v")))
+
+
+@query("image_equalised", "lineitem", f"with p as (select image, y, x, floor(v) as v from {_PIXELS}), c as (select image, v, count(*) as n from p group by 1, 2), e as (select image, v, round(sum(n) over (partition by image order by v) / sum(n) over (partition by image) * 255) as e from c) select p.image, p.y, p.x, e as v from p join e using (image, v)")
+def _(df):
+    return image.histogram_equalised(_pixels(df).withColumn("v", F.floor("v")))
+
+
+@query("series_markov_transitions", "events", "select a, b, count(*) as n, round(count(*) / sum(count(*)) over (partition by a), 8) as p from (select event_type as a, lead(event_type) over (partition by user_id order by ts, event_id) as b from events) where b is not null group by 1, 2")
+def _(df):
+    from pyspark.sql import Window
+
+    steps = df.select(F.col("event_type").alias("a"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("b")).filter("b is not null")
+    counts = steps.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("p", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("a")), 8))

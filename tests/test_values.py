@@ -139,6 +139,26 @@ def test_signal_identities():
     assert signal.find_peaks(np.array([0, 2, 0, 1, 0, 3, 0.0]))["at"].tolist() == [1, 3, 5]
 
 
+def test_more_kernels():
+    assert signal.tv_denoise(np.array([0.0, 4, 0, 4]), 100.0, 2000) == pytest.approx([2, 2, 2, 2], abs=1e-3)
+    b, a = signal.cheby1(3, 1.0, 0.4)
+    assert abs(signal.freqz(b, a)[1][0]) == pytest.approx(1) and abs(signal.freqz(*signal.notch(0.5))[1][256]) < 1e-9
+    d = signal.daubechies4(np.arange(16.0) % 5)
+    assert (d["approx"] ** 2).sum() + (d["detail"] ** 2).sum() == pytest.approx(((np.arange(16.0) % 5) ** 2).sum())
+    assert signal.dominant_frequency(np.sin(2 * np.pi * 0.125 * np.arange(64))) == pytest.approx(0.125)
+    x = [1.0, 0.5]
+    for _ in range(400):
+        x.append(0.6 * x[-1] - 0.3 * x[-2] + math.sin(len(x) ** 2))
+    assert signal.ar_model(np.array(x), 2) == pytest.approx([0.6, -0.3], abs=0.12)
+
+
+def test_otsu(spark):
+    from metrolith.operators import image
+
+    df = spark.createDataFrame([(1, y, x, float(v)) for y in range(4) for x, v in enumerate([1, 2, 9, 10])], "image int, y int, x int, v double")
+    assert image.otsu(df).first()["threshold"] == 2.0
+
+
 def test_shortest_path_and_sparse(spark):
     e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (4, 5, 1.0)], "src int, dst int, weight double")
     assert {r["node"]: r["dist"] for r in sparse.shortest_paths(e, 1).collect()} == {1: 0.0, 2: 1.0, 3: 2.0}
