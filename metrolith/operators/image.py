@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metrolith.operators import sparse
+
 
 def neighbours(df: DataFrame, radius: int = 1) -> DataFrame:
     """Every pixel sent to the pixels around it: a fixed number of copies, then one aggregate by pixel."""
@@ -52,9 +59,301 @@ def otsu(df: DataFrame) -> DataFrame:
 
 def histogram_equalised(df: DataFrame, levels: int = 256) -> DataFrame:
     """Values by the share of pixels at or below them, from counts by value."""
-    from pyspark.sql import Window
-
     counts = df.groupBy("image", "v").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("image").orderBy("v")
     share = F.sum("n").over(w) / F.sum("n").over(Window.partitionBy("image"))
     return df.join(counts.select("image", "v", F.round(share * (levels - 1)).alias("e")), ["image", "v"]).select("image", "y", "x", F.col("e").alias("v"))
+
+
+def _pair(a: DataFrame, b: DataFrame, f) -> DataFrame:
+    """Pixel by pixel: f(v of a, v of b)."""
+    return a.join(b.select("image", "y", "x", F.col("v").alias("w")), ["image", "y", "x"]).select("image", "y", "x", f(F.col("v"), F.col("w")).alias("v"))
+
+
+def erode(df: DataFrame, radius: int = 1) -> DataFrame:
+    return local(df, "min", radius)
+
+
+def dilate(df: DataFrame, radius: int = 1) -> DataFrame:
+    return local(df, "max", radius)
+
+
+def opened(df: DataFrame, radius: int = 1) -> DataFrame:
+    return dilate(erode(df, radius), radius)
+
+
+def closed(df: DataFrame, radius: int = 1) -> DataFrame:
+    return erode(dilate(df, radius), radius)
+
+
+def top_hat(df: DataFrame, radius: int = 1) -> DataFrame:
+    return _pair(df, opened(df, radius), lambda a, b: a - b)
+
+
+def bottom_hat(df: DataFrame, radius: int = 1) -> DataFrame:
+    return _pair(df, closed(df, radius), lambda a, b: b - a)
+
+
+def morphological_gradient(df: DataFrame, radius: int = 1) -> DataFrame:
+    return _pair(dilate(df, radius), erode(df, radius), lambda a, b: a - b)
+
+
+#: 3 by 3 kernels.
+KERNELS = {
+    "laplacian": [[0, 1, 0], [1, -4, 1], [0, 1, 0]],
+    "sobel_x": [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]],
+    "sobel_y": [[-1, -2, -1], [0, 0, 0], [1, 2, 1]],
+    "scharr_x": [[-3, 0, 3], [-10, 0, 10], [-3, 0, 3]],
+    "scharr_y": [[-3, -10, -3], [0, 0, 0], [3, 10, 3]],
+    "prewitt_x": [[-1, 0, 1], [-1, 0, 1], [-1, 0, 1]],
+    "prewitt_y": [[-1, -1, -1], [0, 0, 0], [1, 1, 1]],
+    "sharpen": [[0, -1, 0], [-1, 5, -1], [0, -1, 0]],
+}
+
+
+def gradient_magnitude(df: DataFrame, kind: str = "sobel") -> DataFrame:
+    return _pair(convolve(df, KERNELS[f"{kind}_x"]), convolve(df, KERNELS[f"{kind}_y"]), lambda a, b: F.sqrt(a * a + b * b))
+
+
+def gaussian_blur(df: DataFrame, sigma: float = 1.0, radius: int | None = None) -> DataFrame:
+    r = radius if radius is not None else max(1, round(3 * sigma))
+    w = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-r, r + 1)]
+    t = sum(w) ** 2
+    return convolve(df, [[a * b / t for b in w] for a in w])
+
+
+def adaptive_threshold(df: DataFrame, radius: int = 7, offset: float = 0.0) -> DataFrame:
+    """1 where a pixel is above the mean around it less an offset."""
+    return _pair(df, local(df, "mean", radius), lambda a, b: (a > b - offset).cast("double"))
+
+
+def sauvola_threshold(df: DataFrame, radius: int = 7, k: float = 0.5, r: float = 128.0) -> DataFrame:
+    """The threshold of each pixel: mean * (1 + k * (std / r - 1)) around it."""
+    return _back(df, neighbours(df, radius).groupBy("image", "y", "x").agg((F.avg("v") * (1 + k * (F.stddev_pop("v") / r - 1))).alias("v")))
+
+
+def imadjust(df: DataFrame, in_low: float, in_high: float, out_low: float = 0.0, out_high: float = 1.0, gamma: float = 1.0) -> DataFrame:
+    u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("v") - in_low) / (in_high - in_low)))
+    return df.select("image", "y", "x", (out_low + F.pow(u, F.lit(gamma)) * (out_high - out_low)).alias("v"))
+
+
+def imhist(df: DataFrame, bins: int = 256, low: float = 0.0, high: float = 256.0) -> DataFrame:
+    b = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("v") - low) / (high - low) * bins)))
+    return df.groupBy("image", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def sizes(df: DataFrame) -> DataFrame:
+    return df.groupBy("image").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+
+
+def crop(df: DataFrame, y: int, x: int, height: int, width: int) -> DataFrame:
+    keep = df.filter(F.col("y").between(y, y + height - 1) & F.col("x").between(x, x + width - 1))
+    return keep.select("image", (F.col("y") - y).alias("y"), (F.col("x") - x).alias("x"), "v")
+
+
+def translate(df: DataFrame, dy: int, dx: int) -> DataFrame:
+    """Pixels moved; what leaves the frame goes and what is uncovered is 0."""
+    return warp(df, ((1, 0, -dy), (0, 1, -dx)))
+
+
+def flip(df: DataFrame, axis: str = "x") -> DataFrame:
+    size = {"x": "width", "y": "height"}[axis]
+    return df.join(sizes(df), "image").withColumn(axis, F.col(size) - 1 - F.col(axis)).select("image", "y", "x", "v")
+
+
+def rot90(df: DataFrame) -> DataFrame:
+    """A quarter turn against the clock."""
+    return df.join(sizes(df), "image").select("image", (F.col("width") - 1 - F.col("x")).alias("y"), F.col("y").alias("x"), "v")
+
+
+def _grid(size: DataFrame) -> DataFrame:
+    row = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    return size.withColumn("y", row("height")).withColumn("x", row("width"))
+
+
+def warp(df: DataFrame, inverse: tuple) -> DataFrame:
+    """Nearest pixel under an affine map from target (y, x) to source, in the frame of the source; 0 outside."""
+    (a, b, c), (d, e, f) = inverse
+    g = _grid(sizes(df)).select("image", "y", "x", F.round(a * F.col("y") + b * F.col("x") + c).cast("long").alias("sy"), F.round(d * F.col("y") + e * F.col("x") + f).cast("long").alias("sx"))
+    src = df.select("image", F.col("y").cast("long").alias("sy"), F.col("x").cast("long").alias("sx"), "v")
+    return g.join(src, ["image", "sy", "sx"], "left").select("image", "y", "x", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+def rotate(df: DataFrame, degrees: float, cy: float, cx: float) -> DataFrame:
+    """About a centre, against the clock as seen with y downwards."""
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    return warp(df, ((c, s, cy - c * cy - s * cx), (-s, c, cx + s * cy - c * cx)))
+
+
+def resize(df: DataFrame, height: int, width: int) -> DataFrame:
+    """Nearest pixel."""
+    s = sizes(df).select("image", F.col("height").alias("h"), F.col("width").alias("w"), F.lit(height).alias("height"), F.lit(width).alias("width"))
+    at = lambda p, n, m: F.least(F.col(n) - 1, F.floor((F.col(p) + 0.5) * F.col(n) / m)).cast("long")
+    g = _grid(s).select("image", "y", "x", at("y", "h", height).alias("sy"), at("x", "w", width).alias("sx"))
+    src = df.select("image", F.col("y").cast("long").alias("sy"), F.col("x").cast("long").alias("sx"), "v")
+    return g.join(src, ["image", "sy", "sx"]).select("image", "y", "x", "v")
+
+
+def label_blobs(df: DataFrame, connectivity: int = 8) -> DataFrame:
+    """(image, y, x, label) of the pixels with v > 0; labels count from 1 by first pixel in row order.
+
+    Runs along a row are found by a window and are the nodes; runs of neighbouring rows that touch
+    are the edges, so a blob of any size costs its outline, not its area.
+    """
+    w = Window.partitionBy("image", "y").orderBy("x")
+    on = df.filter("v > 0").withColumn("new", (F.col("x") - F.lag("x", 1, -2).over(w) > 1).cast("int"))
+    on = on.withColumn("start", F.max(F.when(F.col("new") == 1, F.col("x"))).over(w))
+    run = on.groupBy("image", "y", "start").agg(F.max("x").alias("end"))
+    node = F.struct(F.col("image"), F.col("y").cast("long").alias("y"), F.col("start").cast("long").alias("x"))
+    run = run.withColumn("node", node)
+    reach = 1 if connectivity == 8 else 0
+    up = run.select("image", (F.col("y") + 1).alias("y"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("node").alias("src"))
+    touch = run.join(up, ["image", "y"]).filter((F.col("s") <= F.col("end") + reach) & (F.col("e") >= F.col("start") - reach))
+    edges = touch.select("src", F.col("node").alias("dst")).unionByName(run.select(F.col("node").alias("src"), F.col("node").alias("dst")))
+    root = sparse.components(edges)
+    number = root.select(F.col("root").alias("r")).distinct().withColumn("label", F.row_number().over(Window.partitionBy(F.col("r.image")).orderBy("r")))
+    named = root.join(number, F.col("root") == F.col("r")).select("node", "label")
+    return on.withColumn("node", node).join(named, "node").select("image", "y", "x", "label")
+
+
+def region_props(labels: DataFrame) -> DataFrame:
+    """Area, centroid and bounding box of each blob."""
+    return labels.groupBy("image", "label").agg(F.count(F.lit(1)).alias("area"), F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.min("y").alias("top"), F.min("x").alias("left"), F.max("y").alias("bottom"), F.max("x").alias("right"))
+
+
+def remove_small_blobs(df: DataFrame, area: int, connectivity: int = 8) -> DataFrame:
+    """Pixels of blobs below an area become 0."""
+    lab = label_blobs(df, connectivity)
+    small = lab.groupBy("image", "label").agg(F.count(F.lit(1)).alias("area")).filter(F.col("area") < area)
+    gone = lab.join(small, ["image", "label"]).select("image", "y", "x", F.lit(True).alias("gone"))
+    return df.join(gone, ["image", "y", "x"], "left").select("image", "y", "x", F.when(F.col("gone"), 0.0).otherwise(F.col("v")).alias("v"))
+
+
+def hit_miss(df: DataFrame, fore: list[tuple[int, int]], back: list[tuple[int, int]]) -> DataFrame:
+    """1 where all pixels at the offsets `fore` are on and all at `back` are off (off beyond the edge)."""
+    r = max(max(abs(y), abs(x)) for y, x in [*fore, *back])
+    here = lambda o: F.max(F.when((F.col("dy") == -o[0]) & (F.col("dx") == -o[1]), F.col("v") > 0).otherwise(False))
+    ok = F.lit(True)
+    for o in fore:
+        ok = ok & here(o)
+    for o in back:
+        ok = ok & ~here(o)
+    return _back(df, neighbours(df, r).groupBy("image", "y", "x").agg(ok.cast("double").alias("v")))
+
+
+def per_image(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """A numpy kernel over each image as a matrix, for what no neighbour join expresses; one image is one task's memory."""
+    kind = df.schema["image"].dataType.simpleString()
+
+    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf["y"].to_numpy(int), pdf["x"].to_numpy(int)
+        m = np.zeros((y.max() + 1, x.max() + 1))
+        m[y, x] = pdf["v"].to_numpy(float)
+        out = kernel(m)
+        yy, xx = np.indices(out.shape)
+        return pd.DataFrame({"image": [k[0]] * out.size, "y": yy.reshape(-1), "x": xx.reshape(-1), "v": out.reshape(-1).astype(float)})
+
+    return df.select("image", "y", "x", "v").groupBy("image").applyInPandas(run, f"image {kind}, y bigint, x bigint, v double")
+
+
+def distance_transform(m: np.ndarray) -> np.ndarray:
+    """Euclidean distance to the nearest pixel that is 0; columns first, then lower envelopes along rows."""
+    far = float(sum(m.shape) ** 2)
+    d = np.where(m > 0, far, 0.0)
+    for axis in (0, 1):
+        n = d.shape[axis]
+        cost = (np.arange(n)[:, None] - np.arange(n)[None, :]) ** 2.0
+        d = np.apply_along_axis(lambda row, c=cost: (c + row[None, :]).min(1), axis, d)
+    return np.sqrt(d)
+
+
+def bilateral(m: np.ndarray, radius: int = 2, space: float = 2.0, tone: float = 25.0) -> np.ndarray:
+    """Means around each pixel weighted by nearness and likeness."""
+    p, total, weight = np.pad(m, radius, "edge"), np.zeros_like(m), np.zeros_like(m)
+    for dy in range(2 * radius + 1):
+        for dx in range(2 * radius + 1):
+            q = p[dy : dy + m.shape[0], dx : dx + m.shape[1]]
+            w = np.exp(-((dy - radius) ** 2 + (dx - radius) ** 2) / (2 * space**2) - (q - m) ** 2 / (2 * tone**2))
+            total, weight = total + w * q, weight + w
+    return total / weight
+
+
+def skeleton(m: np.ndarray) -> np.ndarray:
+    """Thinned until stable: border pixels go in two alternating passes while their ring changes from off to on once."""
+    on = np.pad(m > 0, 1)
+    changed = True
+    while changed:
+        changed = False
+        for first in (True, False):
+            n, e, s, w = (np.roll(on, k, a) for k, a in ((1, 0), (-1, 1), (-1, 0), (1, 1)))
+            ring = [n, np.roll(n, -1, 1), e, np.roll(s, -1, 1), s, np.roll(s, 1, 1), w, np.roll(n, 1, 1)]
+            count = sum(r.astype(int) for r in ring)
+            turns = sum((~a & b).astype(int) for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+            side = ~(n & e & s) & ~(e & s & w) if first else ~(n & e & w) & ~(n & s & w)
+            gone = on & (count >= 2) & (count <= 6) & (turns == 1) & side
+            gone[0] = gone[-1] = gone[:, 0] = gone[:, -1] = False
+            changed |= bool(gone.any())
+            on = on & ~gone
+    return on[1:-1, 1:-1].astype(float)
+
+
+def fill_holes(m: np.ndarray) -> np.ndarray:
+    """Off pixels that no path of off pixels joins to the edge become on."""
+    off = np.pad(m <= 0, 1, constant_values=True)
+    seen = np.zeros_like(off)
+    seen[0] = seen[-1] = seen[:, 0] = seen[:, -1] = True
+    while True:
+        new = seen | np.roll(seen, 1, 0) | np.roll(seen, -1, 0) | np.roll(seen, 1, 1) | np.roll(seen, -1, 1)
+        new &= off
+        if (new == seen).all():
+            return np.where(seen[1:-1, 1:-1], m, np.maximum(m, 1.0))
+        seen = new
+
+
+def _thresholds(df: DataFrame, best: Callable[[np.ndarray, np.ndarray], list[float]]) -> DataFrame:
+    """(image, k, threshold) from counts by value, which are all that reaches the kernel."""
+    kind = df.schema["image"].dataType.simpleString()
+
+    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("v")
+        t = best(pdf["v"].to_numpy(float), pdf["n"].to_numpy(float))
+        return pd.DataFrame({"image": [k[0]] * len(t), "k": range(len(t)), "threshold": t})
+
+    return df.groupBy("image", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("image").applyInPandas(run, f"image {kind}, k int, threshold double")
+
+
+def kapur_threshold(df: DataFrame) -> DataFrame:
+    """The value that parts the histogram with the greatest sum of entropies."""
+
+    def best(v: np.ndarray, n: np.ndarray) -> list[float]:
+        p = n / n.sum()
+        c, h = np.cumsum(p), np.cumsum(-p * np.log(p))
+        low, high = c[:-1], 1 - c[:-1]
+        if not len(low):
+            return [float(v[0])]
+        e = np.log(low) + h[:-1] / low + np.log(high) + (h[-1] - h[:-1]) / high
+        return [float(v[int(np.argmax(e))])]
+
+    return _thresholds(df, best)
+
+
+def multi_otsu(df: DataFrame, classes: int = 3) -> DataFrame:
+    """The classes - 1 values that part the histogram with the greatest variance between, by dynamic programming over its values."""
+
+    def best(v: np.ndarray, n: np.ndarray) -> list[float]:
+        c, s = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * v)]
+        m = len(v)
+        w, t = c[None, :] - c[:, None], s[None, :] - s[:, None]
+        gain = np.where(w > 0, t**2 / np.where(w > 0, w, 1), -np.inf)
+        score, back = gain[0], []
+        for _ in range(min(classes, m) - 1):
+            total = score[:, None] + gain
+            back.append(total.argmax(0))
+            score = total.max(0)
+        cut, at = [], m
+        for b in back[::-1]:
+            at = int(b[at])
+            cut.append(float(v[at - 1]))
+        return cut[::-1]
+
+    return _thresholds(df, best)

@@ -227,7 +227,7 @@ for _kind, _sql in (("mean", "avg"), ("median", "median"), ("min", "min"), ("max
     query(f"image_{_kind}", "lineitem", f"with p as {_PIXELS} select a.image, a.y, a.x, round({_sql}(b.v), 5) as v from p a join p b on a.image = b.image and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 group by 1, 2, 3")(lambda df, k=_kind: rounded(image.local(_pixels(df), k), 5))
 
 
-@query("image_sobel", "lineitem", f"with p as {_PIXELS} select a.image, a.y, a.x, round(sum(b.v * (b.x - a.x) * case when b.y = a.y then 2 else 1 end), 4) as v from p a join p b on a.image = b.image and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 group by 1, 2, 3")
+@query("image_sobel", "lineitem", f"with p as {_PIXELS} select a.image, a.y, a.x, round(sum(b.v * (b.x - a.x) * case when b.y = a.y then 2 else 1 end), 4) + 0.0::double as v from p a join p b on a.image = b.image and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 group by 1, 2, 3")
 def _(df):
     return rounded(image.convolve(_pixels(df), [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]]))
 
