@@ -145,7 +145,7 @@ def _(df):
     from metrolith.functions import text as X
 
     e = df.select("event_id", documents.json_set("props", "meta.unit", "kg").alias("j"))
-    return e.select("event_id", F.get_json_object("j", F.concat(F.lit("$."), F.element_at(F.json_object_keys("j"), 1))).alias("first_value"), X.json_get("j", "meta.unit").alias("unit"))
+    return e.select("event_id", F.expr("get_json_object(j, concat('$.', json_object_keys(j)[0]))").alias("first_value"), X.json_get("j", "meta.unit").alias("unit"))
 
 
 @query("text_converters", "region", "select r_regionkey, r_regionkey || ',' || r_name as csv, r_name as name, r_name as name2 from region")
