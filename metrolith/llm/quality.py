@@ -4,13 +4,16 @@ The model is over byte trigrams of lower-cased text. Spark counts them over all
 language; a language has at most 256**3 of them, which bounds what reaches the driver and what is
 broadcast. Probabilities are those of interpolated modified Kneser-Ney smoothing and are stored as
 sorted arrays of trigram codes with their logarithms; contexts and bigrams have dense arrays.
-A document is rejected when its perplexity lies outside the band of its language, which is set by
-the quartiles of all documents of that language that pass the base rules.
+Texts are dealt into folds by their hash, and a text is scored by the counts of the other folds, so
+neither it nor a copy of it vouches for itself. A document is rejected when its perplexity lies
+outside the band of its language, which is set by the median and the median deviation of the
+distinct texts of that language that pass the base rules.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +26,10 @@ from metrolith.llm._text import LOWER, SPACED, U, Words, chunks, filled, gram, s
 MIN_WORDS = 50
 #: Per cent of the words that may lie in repeated 3-word windows.
 MAX_REPEATED = 50
-#: Band: so many quartile distances, and bits a byte below and above, beyond the quartiles. Whole
-#: passages in another language cost up to two bits and stay; bytes that no language uses cost more.
-BAND_IQR, BITS_BELOW, BITS_ABOVE = 4.0, 0.8, 2.4
+#: Band: so many median deviations, and bits a byte below and above, around the median. Passages in
+#: another language cost less than a bit and stay; random letters cost two bits and more.
+BAND_MAD, BITS_BELOW, BITS_ABOVE = 8.0, 0.4, 0.8
+FOLDS = 2
 _BINS = 200  # a bit
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -49,12 +53,17 @@ def _codes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[ok], row[:-2][ok]
 
 
+def _folds(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The fold of each text; copies share one."""
+    return np.array([zlib.crc32(x) % FOLDS for x in strings(data, off)], np.int64)
+
+
 def count_trigrams(docs: DataFrame, column: str = "text", lang: str = "lang") -> DataFrame:
-    """tag, code, n of all byte trigrams of all documents; each task sends a trigram once."""
+    """tag, fold, code, n of all byte trigrams of all documents; each task sends a trigram of a fold once."""
 
     def run(batches):
         forget()
-        held: dict[str, list] = {}
+        held: dict[tuple[str, int], list] = {}
 
         def add(name, codes, n):
             mine = held.setdefault(name, [])
@@ -67,19 +76,20 @@ def count_trigrams(docs: DataFrame, column: str = "text", lang: str = "lang") ->
             for first, data, off in chunks(batch.column(0)):
                 code, row = _codes(data, off)
                 names, which = np.unique(tags[first : first + len(off) - 1].astype(str), return_inverse=True)
+                which = which * FOLDS + _folds(data, off)
                 key = (which[row].astype(np.uint64) << U(24)) | code
-                key, n = np.unique(key.astype(np.uint32) if len(names) < 256 else key, return_counts=True)
+                key, n = np.unique(key.astype(np.uint32) if len(names) * FOLDS < 256 else key, return_counts=True)
                 top = key >> key.dtype.type(24)
-                for i, name in enumerate(names):
+                for i in range(len(names) * FOLDS):
                     a, b = np.searchsorted(top, (i, i + 1))
                     if b > a:
-                        add(str(name), (key[a:b] & key.dtype.type(0xFFFFFF)).astype(np.int64), n[a:b])
-        for name, mine in held.items():
+                        add((str(names[i // FOLDS]), i % FOLDS), (key[a:b] & key.dtype.type(0xFFFFFF)).astype(np.int64), n[a:b])
+        for (name, fold), mine in held.items():
             codes, n = _sum(mine)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["tag", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array([fold] * len(codes), pa.int64()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["tag", "fold", "code", "n"])
 
     base = docs.select(F.col(column).cast("string"), F.col(lang).cast("string"))
-    return base.mapInArrow(run, "tag string, code bigint, n bigint").groupBy("tag", "code").agg(F.sum("n").alias("n"))
+    return base.mapInArrow(run, "tag string, fold bigint, code bigint, n bigint").groupBy("tag", "fold", "code").agg(F.sum("n").alias("n"))
 
 
 def _sum(parts):
@@ -88,12 +98,12 @@ def _sum(parts):
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2, 3 and more."""
+    """Modified Kneser-Ney discounts of counts 0, 1, 2, 3 and more; never 0, so that what was not counted has a probability."""
     n1, n2, n3, n4 = (int((n == k).sum()) for k in (1, 2, 3, 4))
     if not (n1 and n2 and n3 and n4):
         return np.array([0, 0.5, 0.75, 0.9])
     y = n1 / (n1 + 2 * n2)
-    return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0, [0, 0.99, 1.99, 2.99])
+    return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.1, 0.1, 0.1], [0, 0.99, 1.99, 2.99])
 
 
 def _level(context, total_of, n, size):
@@ -152,12 +162,27 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, column: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Sorted codes and counts by language tag. At most 256**3 rows a tag, and as few tags as languages."""
+def _by_fold(docs: DataFrame, column: str, lang: str) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
+    """Codes and counts of every fold by language tag. At most 256**3 rows a fold and tag, and as few tags as languages."""
     counts = count_trigrams(docs, column, lang).toArrow()
     tags = counts.column("tag").to_numpy(zero_copy_only=False).astype(str)
-    codes, n = counts.column("code").to_numpy(), counts.column("n").to_numpy()
-    return {t: (codes[tags == t].astype(np.uint32), n[tags == t]) for t in np.unique(tags)}
+    fold, codes, n = (counts.column(c).to_numpy() for c in ("fold", "code", "n"))
+    return {str(t): [(codes[here], n[here]) for here in ((tags == t) & (fold == f) for f in range(FOLDS))] for t in np.unique(tags)}
+
+
+def _together(parts) -> tuple[np.ndarray, np.ndarray]:
+    codes, n = _sum(parts)
+    return codes.astype(np.uint32), n
+
+
+def train(docs: DataFrame, column: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Sorted codes and counts of all texts by language tag."""
+    return {t: _together(parts) for t, parts in _by_fold(docs, column, lang).items()}
+
+
+def train_folds(docs: DataFrame, column: str = "text", lang: str = "lang") -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """Sorted codes and counts by language tag and fold, each of the texts outside that fold."""
+    return {(t, f): _together([p for k, p in enumerate(parts) if k != f]) for t, parts in _by_fold(docs, column, lang).items() for f in range(FOLDS)}
 
 
 def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
@@ -197,7 +222,8 @@ _ADDED = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigin
 def _scored(docs: DataFrame, shared, bands: dict | None, column: str, lang: str) -> DataFrame:
     def run(batches):
         forget()
-        models: dict[str, Model] = {}
+        models: dict[tuple[str, int], Model] = {}
+        none = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         for batch in batches:
             tags = [tag(x) for x in batch.column(batch.schema.get_field_index(filled_name(batch, lang))).to_pylist()]
             cols = {n: [] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "bits")}
@@ -208,14 +234,15 @@ def _scored(docs: DataFrame, shared, bands: dict | None, column: str, lang: str)
                 at = np.searchsorted(row, np.arange(len(off)))
                 bits = np.zeros(len(off) - 1)
                 mine = np.array(tags[first : first + len(off) - 1])
-                which = mine[row] if len(row) else mine[:0]
+                fold = _folds(data, off)
                 for t in np.unique(mine):
-                    if t not in models:
-                        if len(models) > 8:
-                            models.clear()
-                        models[t] = Model(*shared.value[t]) if t in shared.value else Model(np.zeros(0, np.uint32), np.zeros(0, np.int64))
-                    here = which == t
-                    bits += np.bincount(row[here], models[t].bits(code[here]), len(off) - 1)
+                    for f in range(FOLDS):
+                        if (t, f) not in models:
+                            if len(models) > 16:
+                                models.clear()
+                            models[t, f] = Model(*shared.value.get((t, f), shared.value.get(t, none)))
+                        here = ((mine == t) & (fold == f))[row]
+                        bits += np.bincount(row[here], models[t, f].bits(code[here]), len(off) - 1)
                 cols["bits"].append(bits / np.maximum(1, np.diff(at)))
             out = {n: np.concatenate(v) if v else np.zeros(0, np.int64) for n, v in cols.items()}
             failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEATED * out["n_words"])
@@ -229,17 +256,24 @@ def _scored(docs: DataFrame, shared, bands: dict | None, column: str, lang: str)
     return docs.mapInArrow(run, plus(docs.schema, _ADDED))
 
 
-def bands_of(scored: DataFrame, lang: str) -> dict[str, tuple[float, float]]:
-    """Least and greatest bits a byte by language, from a histogram of all documents that pass the base rules."""
+def _middle(x: np.ndarray, n: np.ndarray) -> float:
+    """Median of values that occur n times each."""
+    order = np.argsort(x)
+    c = np.cumsum(n[order])
+    return float(x[order][np.searchsorted(c, c[-1] / 2)])
+
+
+def bands_of(scored: DataFrame, lang: str, column: str = "text") -> dict[str, tuple[float, float]]:
+    """Least and greatest bits a byte by language, from a histogram of the distinct texts that pass the base rules."""
     name = F.regexp_extract(F.lower(F.coalesce(F.col(lang).cast("string"), F.lit(""))), "^[a-z]{2,3}(?![a-z])", 0)
-    found = scored.filter("not base_failed").groupBy(F.when(name == "", "und").otherwise(name).alias("t"), F.floor(F.col("bits") * _BINS).alias("b")).agg(F.count(F.lit(1)).alias("n")).toArrow().to_pylist()
+    each = scored.filter("not base_failed").select(F.when(name == "", "und").otherwise(name).alias("t"), F.xxhash64(column).alias("h"), F.floor(F.col("bits") * _BINS).alias("b")).distinct()
+    found = each.groupBy("t", "b").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pylist()
     out = {}
     for t in {r["t"] for r in found}:
-        rows = sorted((r["b"], r["n"]) for r in found if r["t"] == t)
-        b, c = np.array([r[0] for r in rows]) / _BINS, np.cumsum([r[1] for r in rows])
-        q1, q3 = (b[np.searchsorted(c, c[-1] * q)] for q in (0.25, 0.75))
-        far = BAND_IQR * (q3 - q1)
-        out[t] = (q1 - far - BITS_BELOW, q3 + far + BITS_ABOVE)
+        b, n = (np.array([r[c] for r in found if r["t"] == t]) for c in ("b", "n"))
+        mid = _middle(b / _BINS, n)
+        far = BAND_MAD * _middle(np.abs(b / _BINS - mid), n)
+        out[t] = (mid - far - BITS_BELOW, mid + far + BITS_ABOVE)
     return out
 
 
@@ -247,14 +281,16 @@ def quality(docs: DataFrame, column: str = "text", lang: str = "lang") -> DataFr
     """Adds counts, base verdict, perplexity and the verdict of the method to every row.
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words long, base_failed boolean,
-    bits and perplexity double (of a byte, under the model of the row's language) and kept boolean:
+    bits and perplexity double (of a byte, under the model of the row's language without the
+    texts of its fold) and kept boolean:
     base_failed is false and the bits lie in the band of the language. Three narrow passes over
     the documents (count, bands, verdict); only counts are shuffled.
 
     A null or empty text has no words: base_failed, not kept. A null or strange language is
-    `und`, with a model and band of its own. Repeated rows count each time. An empty table gives no
+    `und`, with a model and band of its own. Repeated rows count each time in the model of the other
+    folds and once for the band. An empty table gives no
     rows. Columns that bear an added name are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, column, lang))
-    bands = bands_of(_scored(docs.select(column, lang), shared, None, column, lang), lang)
+    shared = docs.sparkSession.sparkContext.broadcast(train_folds(docs, column, lang))
+    bands = bands_of(_scored(docs.select(column, lang), shared, None, column, lang), lang, column)
     return _scored(docs, shared, bands, column, lang)

@@ -358,6 +358,17 @@ def test_kneser_ney_sums_to_one_and_rejects_noise(spark):
     assert quality.quality(clean).filter("not kept").count() == 0
 
 
+@pytest.mark.parametrize("n_junk,copies", [(1, 1), (100, 1), (1, 100)])
+def test_quality_rejects_noise_that_is_part_of_the_corpus(spark, n_junk, copies):
+    r = random.Random(1)
+    text = lambda: " ".join(r.choice(["the", "of", "tea", "and", "house", "river"]) + r.choice(["", "s", "ing"]) for _ in range(120))
+    noise = lambda: " ".join("".join(chr(r.randint(33, 126)) for _ in range(40)) for _ in range(80))
+    made = [(i, text(), "en") for i in range(200)] + [(1000 + i, x, "en") for i, x in enumerate([noise() for _ in range(n_junk)] * copies)]
+    out = quality.quality(spark.createDataFrame(made, "doc_id long, text string, lang string")).filter("not base_failed")
+    assert {r["doc_id"] for r in out.filter("not kept").collect()} == {d for d, _, _ in made if d >= 1000}
+    assert out.filter("doc_id < 1000 and not kept").count() == 0
+
+
 # 10
 
 
