@@ -2,9 +2,9 @@
 
 Every rule has a label, a priority, a keyword and a hand-written regular expression. A text that
 holds none of the gate words is done; otherwise a rule's expression runs only if the text holds
-its keyword. Detections are intervals; one that lies inside another that starts no later and
-ends no earlier is dropped (of equal intervals the higher priority stays), so the most specific
-statement wins.
+its keyword. Detections are intervals; one that lies inside another of a priority at least as high
+is dropped, and so is one that holds another of a higher priority (of equal intervals the higher
+priority stays). So a long statement wins over its parts, and a label over a generic line about it.
 """
 
 from __future__ import annotations
@@ -182,7 +182,7 @@ def _spaces(s: Column) -> Column:
 
 
 def _detections(norm: Column, table: list[tuple[str, int, str, str]]) -> Column:
-    """array<struct(start, end, priority, label)> in characters of the normalised text, ordered for suppression."""
+    """array<struct(priority, start, end, label)> in characters of the normalised text, highest priority first."""
     each = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("priority"), F.lit(c).alias("keyword"), F.lit(f"(?<= ){d}(?= )").alias("regex")) for a, b, c, d in table])
     mine = F.filter(each, lambda r: norm.contains(r["keyword"]))
 
@@ -199,11 +199,11 @@ def _detections(norm: Column, table: list[tuple[str, int, str, str]]) -> Column:
         return F.aggregate(F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("g"), h.alias("h"))), start, lambda acc, p: F.when(p["h"].isNull(), acc).otherwise(step(acc, p)), lambda acc: acc["out"])
 
     found = F.flatten(F.transform(mine, places))
-    ordered = F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("end"), (-d["priority"]).alias("priority"), d["label"].alias("label")))
+    ordered = F.transform(found, lambda d: F.struct((-d["priority"]).alias("priority"), d["start"].alias("start"), (-d["end"]).alias("end"), d["label"].alias("label")))
     return F.array_sort(ordered)
 
 
-_STATE = "struct<end:int,labels:array<string>,n:bigint,best:int>"
+_STATE = "struct<seen:array<struct<start:int,end:int,stay:boolean>>,labels:array<string>,n:bigint,best:int>"
 
 
 def scan(docs: DataFrame, column: str = "text", table: list[tuple[str, int, str, str]] | None = None) -> DataFrame:
@@ -232,11 +232,17 @@ def scan(docs: DataFrame, column: str = "text", table: list[tuple[str, int, str,
     n = {label: F.when(F.col(f"__{label}").isNull(), F.lit(0).cast("bigint")).otherwise(F.size(f"__{label}").cast("bigint") - 1) for label, _ in BASE}
     first = [_spaces(F.get(f"__{label}", F.lit(0))) - 1 for label, _ in BASE]
     last = [F.col("__n") - len(phrase.split()) - (_spaces(F.element_at(f"__{label}", -1)) - 1) for label, phrase in BASE]
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("labels"), F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("best")).cast(_STATE)
+    start = F.struct(F.array().alias("seen"), F.array().cast("array<string>").alias("labels"), F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("best")).cast(_STATE)
 
     def keep(acc: Column, d: Column) -> Column:
-        stay = F.struct((-d["end"]).alias("end"), F.array_union(acc["labels"], F.array(d["label"])).alias("labels"), (acc["n"] + 1).alias("n"), F.greatest(acc["best"], -d["priority"]).alias("best"))
-        return F.when(-d["end"] <= acc["end"], acc).otherwise(stay)
+        a, b = d["start"], -d["end"]
+        # what a dropped line covers stays covered: `licensed under` of a longer line does not come back
+        inside = F.exists(acc["seen"], lambda k: (k["start"] <= a) & (k["end"] >= b))
+        around = F.exists(acc["seen"], lambda k: k["stay"] & (k["start"] >= a) & (k["end"] <= b))
+        seen = lambda stay: F.array_append(acc["seen"], F.struct(a.alias("start"), b.alias("end"), F.lit(stay).alias("stay"))).alias("seen")
+        dropped = F.struct(seen(False), acc["labels"].alias("labels"), acc["n"].alias("n"), acc["best"].alias("best"))
+        stay = F.struct(seen(True), F.array_union(acc["labels"], F.array(d["label"])).alias("labels"), (acc["n"] + 1).alias("n"), F.greatest(acc["best"], -d["priority"]).alias("best"))
+        return F.when(inside, acc).when(around, dropped).otherwise(stay).cast(_STATE)
 
     found = F.when(F.col("__gate"), F.aggregate(_detections(norm, table), start, keep))
     out = out.withColumn("__found", found)

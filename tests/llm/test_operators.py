@@ -393,6 +393,22 @@ def test_licenses(spark, docs):
     ran_empty(spark, licenses.scan)
 
 
+def test_a_generic_line_leaves_every_label(spark):
+    def sample(x):
+        for a, b in ((r"licen\[cs\]e", "license"), (r"\[a-z0-9\]\+|\[abc\]", "a"), (r"\\S\*|\{0,\d\}\??", ""), (r"\\d|\[1-4\]|\[05\]|\[\^ \]\+", "1"), (r"\w\?| \?", "")):
+            x = re.sub(a, b, x)
+        while (y := re.sub(r"\(\?:([^()|]*)(\|[^()]*)?\)([?+]?)", lambda m: "" if m[3] == "?" else m[1], x)) != x:
+            x = y
+        return x
+
+    made = [(i, f"It is released under the {sample(e)} now" + f" {k}" * (k not in e), label) for i, (label, _, k, e) in enumerate(licenses.rules()) if label != "license-line"]
+    made += [(900 + i, f"{v} {x} License.", y) for i, (v, x, y) in enumerate([("released under the", "GNU Lesser General Public", "lgpl"), ("Licensed under the", "ISC", "isc"), ("distributed under the", "BSD", "bsd"), ("Licensed under the", "Mozilla Public", "mpl"), ("Licensed under the", "Eclipse Public", "epl"), ("under a", "Creative Commons", "creative-commons"), ("licensed under the", "Foo Bar", "license-line")])]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(made, "doc_id long, text string, label string")).collect()}
+    assert [(t, l, got[i]["labels"]) for i, t, l in made if l not in got[i]["labels"].split(",")] == []
+    assert [got[i]["labels"] for i, *_ in made if i >= 900] == ["gpl,lgpl", "isc", "bsd", "mpl", "epl", "creative-commons", "license-line"]
+    assert [got[i]["score"] for i, *_ in made if i >= 901] == [0.85, 0.6, 0.65, 0.65, 0.55, 0.2]
+
+
 def test_every_gate_lets_its_rules_through():
     for label, _, keyword, expression in licenses.rules():
         sure = expression
