@@ -1,20 +1,23 @@
-"""Exact removal of repeated passages by prefix-partitioned suffix trees.
+"""Exact removal of repeated passages by fingerprints of windows, in place of suffix subtrees.
 
 A repeat of `window` words is an inner node of the suffix tree, of depth `window` or more, with
-two leaves or more. The suffixes are split by a prefix of theirs into groups that fit in memory,
-and the subtree of each group is built by itself:
+two leaves or more. No tree is built: only the nodes of depth `window` matter here, and those
+are runs of equal fingerprints once the suffixes are sorted. They are dealt into groups that fit
+in memory by a prefix:
 
 * Of the first `window` words of a suffix, the `anchor`-word sequence with the least hash is
   its group prefix. Equal windows choose equal prefixes, and neighbouring windows mostly the same
-  one, so a row stands for a run of suffixes: prefix, document, place, and a 40-bit
-  fingerprint of the path of each suffix below the prefix.
-* As many bits of the prefix hash are used as give groups of the wanted size. A prefix of
-  which a task holds very many suffixes is lengthened: equal suffixes of the same task are one
-  leaf (the earliest) already there, the others are known to be repeats and travel no further.
+  one, so a row stands for a run of suffixes: prefix, document, place, and a 64-bit
+  fingerprint of the path of each suffix around the prefix.
+* As many bits of the prefix hash are used as give groups of the wanted size. Prefixes are
+  counted first; one of very many suffixes is lengthened to the whole window: its suffixes are
+  dealt by prefix and path, which keeps equal windows together.
+* Equal suffixes within 4 MB of text are one leaf (the earliest) already there; the others are
+  known to be repeats and travel no further.
 * A group is sorted by prefix and path; each run of equal paths is a node of depth `window`, and
   all its leaves but the earliest start a repeat.
 
-Node labels are fingerprints: 64 bits of the prefix and 40 of the path, compared only together.
+Node labels are fingerprints: 64 bits of the prefix and 64 of the path, compared only together.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ from metrolith.llm._text import SPACED, U, Words, chunks, filled, gram, mix, str
 ANCHOR = 8
 #: Bytes of suffix rows in a group; with the arrays of its sort about six times that.
 GROUP_BYTES = 4 << 20
-_SUFFIX_BYTES = 7
+_SUFFIX_BYTES = 10
+#: Suffixes of one prefix from which on it is surely lengthened, as a share of a group.
+_HOT_SHARE = 0.5
 #: Bytes of text whose equal suffixes are merged before they travel.
 _TASK_BYTES = 4 << 20
 _LAST = np.iinfo(np.int64).max
@@ -58,7 +63,7 @@ def _suffixes(w: Words, window: int, anchor: int):
     ok = np.flatnonzero(w.row[: len(w) - window + 1] == w.row[window - 1 :])
     short = gram(w.hash, anchor)
     at = _least(short, window - anchor + 1)[ok]
-    path = mix(gram(w.hash, window)[ok] + (at - ok).astype(U)) >> U(24)
+    path = mix(gram(w.hash, window)[ok] + (at - ok).astype(U))
     return ok, short[at], path, at
 
 
@@ -83,7 +88,50 @@ def _known(runs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(d, pa.int64()), pa.array(t.astype(np.int64)), pa.array(s.astype(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(k, pa.binary())], schema=_PARTS)
 
 
-def _split(batches, bits: int, window: int, anchor: int):
+def _frequent(batches, least: int, window: int, anchor: int):
+    """Prefixes of `least` suffixes or more of a few MB of text, and how many."""
+    forget()
+    for batch in batches:
+        got, held = [], 0
+
+        def counted(got=got):
+            prefix, n = np.unique(np.concatenate(got), return_counts=True)
+            often = n >= least
+            return pa.RecordBatch.from_arrays([pa.array(prefix[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["p", "n"])
+
+        for _, data, off in chunks(batch.column(0)):
+            got.append(_suffixes(Words(data, off, SPACED), window, anchor)[1])
+            held += len(data)
+            if held >= _TASK_BYTES:
+                yield counted()
+                got.clear()
+                held = 0
+        if got:
+            yield counted()
+
+
+def hot_prefixes(docs: DataFrame, window: int, anchor: int, group_bytes: int, total: int, column: str = "text") -> np.ndarray:
+    """Sorted prefixes to lengthen: surely those of `_HOT_SHARE` of a group, none of less than a third of that.
+
+    A stretch of text reports a prefix from a count on that no more than two thirds of the wanted
+    one can stay below in all stretches together.
+    """
+    wanted = max(3, int(_HOT_SHARE * group_bytes / _SUFFIX_BYTES))
+    base = docs.select(F.col(column).cast("string"))
+    stretches = total / _TASK_BYTES + total / (1 << 20) / 4 + base.rdd.getNumPartitions()
+    least = max(1, int(2 * wanted / 3 / stretches))
+    counts = base.mapInArrow(lambda it: _frequent(it, least, window, anchor), "p bigint, n bigint")
+    hot = counts.groupBy("p").agg(F.sum("n").alias("n")).filter(F.col("n") >= wanted // 3).select("p").toArrow()
+    return np.sort(hot.column("p").to_numpy().astype(np.int64).view(U))
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _split(batches, bits: int, window: int, anchor: int, hot):
     """Suffix rows by group, and repeats that some texts of a task show by themselves."""
     forget()
     for batch in batches:
@@ -97,13 +145,13 @@ def _split(batches, bits: int, window: int, anchor: int):
             got.append((prefix, path, doc, ok - w.first[w.row[ok]], at - w.first[w.row[ok]]))
             held += len(data)
             if held >= _TASK_BYTES:
-                yield from _leaves(got, ids, hashes, bits)
+                yield from _leaves(got, ids, hashes, bits, hot.value)
                 got, held = [], 0
         if got:
-            yield from _leaves(got, ids, hashes, bits)
+            yield from _leaves(got, ids, hashes, bits, hot.value)
 
 
-def _leaves(got, ids: np.ndarray, hashes: np.ndarray, bits: int):
+def _leaves(got, ids: np.ndarray, hashes: np.ndarray, bits: int, hot: np.ndarray):
     prefix, path, doc, start, at = (np.concatenate(x) for x in zip(*got, strict=True))
     if not len(prefix):
         return
@@ -127,20 +175,21 @@ def _leaves(got, ids: np.ndarray, hashes: np.ndarray, bits: int):
         leaf[o[~new]] = False
         yield _known(_runs(start[o[later]], ids[doc[o[later]]], hashes[doc[o[later]]]))
     prefix, path, doc, start, at = prefix[leaf], path[leaf], doc[leaf], start[leaf], at[leaf]
-    # runs of neighbouring suffixes with one prefix are one row
+    # runs of neighbouring suffixes with one prefix are one row; each suffix of a lengthened prefix is its own
+    long = _among(prefix, hot)
     new = np.ones(len(prefix), bool)
-    new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | long[1:]
     b = np.flatnonzero(new)
     size = np.diff(np.append(b, len(prefix)))
     # least hashes are small, so their own first bits would deal unevenly
-    group = (mix(prefix[b]) >> U(64 - bits)).astype(np.int64)
+    group = (mix(np.where(long[b], mix(prefix[b]) ^ path[b], prefix[b])) >> U(64 - bits)).astype(np.int64)
     order = np.argsort(group, kind="stable")
     rows = np.zeros(len(b), _RUNS)
     rows["prefix"], rows["doc"], rows["text"], rows["start"], rows["n"] = prefix[b], ids[doc[b]], hashes[doc[b]], start[b], size
     rows, group = rows[order], group[order]
     # paths in the order of the rows
     far = np.repeat(b[order] - np.concatenate([[0], np.cumsum(size[order])[:-1]]), size[order]) + np.arange(len(prefix))
-    paths = path[far].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    paths = path[far].astype("<u8")
     ends = np.cumsum(size[order])
     cut = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(rows))
     out = []
@@ -161,11 +210,8 @@ def _subtree(table: pa.Table) -> pa.Table:
         n = int(np.frombuffer(blob, np.int64, 1)[0])
         r = np.frombuffer(blob, _RUNS, n, 8)
         rows.append(r)
-        paths.append(np.frombuffer(blob, np.uint8, -1, 8 + n * _RUNS.itemsize).reshape(-1, 5))
-    r, p = np.concatenate(rows), np.concatenate(paths)
-    path = np.zeros((len(p), 8), np.uint8)
-    path[:, :5] = p
-    path = path.view("<u8").reshape(-1)
+        paths.append(np.frombuffer(blob, "<u8", -1, 8 + n * _RUNS.itemsize))
+    r, path = np.concatenate(rows), np.concatenate(paths)
     size = r["n"].astype(np.int64)
     of = np.repeat(np.arange(len(r)), size)
     step = np.arange(len(path)) - np.repeat(np.cumsum(size) - size, size)
@@ -193,9 +239,11 @@ def repeats(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, group_bytes
     """(doc, text, start, n): n windows from word `start` on that also start earlier. doc is the largest long for a null id; text is 32 bits of the text's hash."""
     if not 1 <= anchor <= window:
         raise ValueError("an anchor has 1 to `window` words")
-    bits = max(4, int(np.ceil(np.log2(max(1, total_chars(docs, column)) / 5 * _SUFFIX_BYTES / group_bytes + 1))))
+    total = total_chars(docs, column)
+    bits = max(4, int(np.ceil(np.log2(max(1, total) / 5 * _SUFFIX_BYTES / group_bytes + 1))))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_prefixes(docs, window, anchor, group_bytes, total, column))
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc"), (F.xxhash64(column).bitwiseAND(F.lit(0xFFFFFFFF))).alias("h"), F.col(column).cast("string").alias("t"))
-    parts = base.mapInArrow(lambda it: _split(it, bits, window, anchor), "g bigint, doc bigint, text bigint, start bigint, n bigint, rows binary")
+    parts = base.mapInArrow(lambda it: _split(it, bits, window, anchor, hot), "g bigint, doc bigint, text bigint, start bigint, n bigint, rows binary")
     groups = parts.filter("g is not null").select("g", "rows").groupBy("g").applyInArrow(_subtree, _FOUND)
     return groups, parts.filter("g is null").select("doc", "text", "start", "n")
 

@@ -147,6 +147,22 @@ def test_substrings(spark, docs, size, anchor):
     ran_empty(spark, substrings.dedup_substrings)
 
 
+def test_a_frequent_anchor_is_dealt_to_many_groups(spark):
+    r = random.Random(9)
+    line, word = " ".join(f"boiler{i}" for i in range(19)), lambda: f"v{r.randrange(10**6)}"
+    made = [(i, " ".join([line, *(word() for _ in range(25))]), "en") for i in range(400)]
+    made += [(1000 + i, made[i * 7][1], "en") for i in range(20)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(3)
+    size = 1 << 10  # bytes of a group
+    assert 0 < len(substrings.hot_prefixes(df, 20, 8, size, 10**5)) <= 40
+    groups, hot = Counter(), spark.sparkContext.broadcast(substrings.hot_prefixes(df, 20, 8, size, 10**5))
+    for r_ in df.select("doc_id", F.lit(1).cast("long").alias("h"), "text").mapInArrow(lambda it: substrings._split(it, 8, 20, 8, hot), "g long, doc long, text long, start long, n long, rows binary").filter("g is not null").collect():
+        groups[r_["g"]] += len(r_["rows"])
+    assert max(groups.values()) < 0.05 * sum(groups.values())
+    out = substrings.digests(substrings.dedup_substrings(df, 20, 8, size))
+    assert rows(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(made, 20)
+
+
 # 4
 
 
