@@ -86,20 +86,28 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, column: str = "text", lang: str = "lang", size: int = SAMPLE) -> list[tuple[str, bytes]]:
-    """At most `size` distinct labelled texts of each language, of SAMPLE_BYTES at most, by least hash of the text."""
-    base = docs.select(F.col(lang).cast("string").alias("l"), F.col(column).cast("string").alias("t")).filter((F.octet_length("t").between(1, SAMPLE_BYTES)) & F.col("l").isNotNull())
-    counts = {r["l"]: r["n"] for r in base.groupBy("l").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+    """At most `size` distinct labelled texts of each language, by least hash of the text.
+
+    A language has texts of SAMPLE_BYTES at most, or, where it has none, the first SAMPLE_BYTES of longer ones.
+    Rates are taken of distinct texts, so copies use none of it up.
+    """
+    base = docs.select(F.col(lang).cast("string").alias("l"), F.col(column).cast("string").alias("t")).filter((F.octet_length("t") > 0) & F.col("l").isNotNull())
+    long, rank = F.octet_length("t") > SAMPLE_BYTES, F.pmod(F.xxhash64("t"), F.lit(1 << 30))
+    texts = base.select("l", long.alias("long"), F.xxhash64("t").alias("h")).distinct()
+    counts: dict[str, list[int]] = {}
+    for r in texts.groupBy("l", "long").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+        counts.setdefault(r["l"], [0, 0])[r["long"]] = r["n"]
     if not counts:
         return []
-    part = F.lit(1.0)
-    for name, n in counts.items():
-        part = F.when(F.col("l") == name, F.lit(min(1.0, 3.0 * size / n))).otherwise(part)
-    rank = F.pmod(F.xxhash64("t"), F.lit(1 << 30))
-    rows = base.filter(rank < part * (1 << 30)).select("l", "t", rank.alias("r")).dropDuplicates(["l", "t"]).collect()
+    part = F.lit(0.0)
+    for name, (short, other) in counts.items():
+        part = F.when((F.col("l") == name) & (long if not short else ~long), F.lit(min(1.0, 3.0 * size / (short or other)))).otherwise(part)
+    head = F.substring(F.col("t").cast("binary"), 1, SAMPLE_BYTES)
+    rows = base.filter(rank < part * (1 << 30)).select("l", head.alias("t"), rank.alias("r")).dropDuplicates(["l", "r", "t"]).collect()
     out = []
     for name in sorted(counts):
-        mine = sorted((r["r"], r["t"]) for r in rows if r["l"] == name)[:size]
-        out += [(name, t.encode()) for _, t in mine]
+        mine = sorted((r["r"], bytes(r["t"])) for r in rows if r["l"] == name)[:size]
+        out += [(name, t.decode("utf-8", "ignore").encode()) for _, t in mine]
     return out
 
 
@@ -116,7 +124,8 @@ def identify(docs: DataFrame, training: DataFrame, column: str = "text", lang: s
     """Adds lang_pred string and score double (0 to 1) to every row of `docs`.
 
     `training` has texts and languages; rows of null language teach nothing. What is learned from
-    is a sample of SAMPLE texts a language (texts up to SAMPLE_BYTES), which bounds the driver's
+    is a sample of SAMPLE distinct texts a language (up to SAMPLE_BYTES, longer ones cut only
+    where a language has no others), which bounds the driver's
     share; languages are as many as the labels name. Prediction reads whole texts, in place.
 
     A text that is null or has no letter is `und` with score 0; so is every text where nothing

@@ -66,6 +66,15 @@ def test_language(spark, docs):
     ran_empty(spark, lambda e: language.identify(e, train))
 
 
+def test_language_sample_heeds_copies_and_long_texts(spark):
+    made = spark.range(400).selectExpr("concat('text ', id) as text", "'en' as lang")
+    copies = spark.range(200000).selectExpr("'the one text' as text", "'en' as lang")
+    long = spark.range(3).selectExpr("concat(id, repeat('é', 30000)) as text", "'fr' as lang")
+    got = language.sample(made.unionByName(copies).unionByName(long))
+    assert Counter(l for l, _ in got) == {"en": 300, "fr": 3} and len(set(got)) == 303
+    assert all(len(t) <= language.SAMPLE_BYTES + 2 for _, t in got)
+
+
 # 2
 
 
