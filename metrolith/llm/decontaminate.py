@@ -2,8 +2,10 @@
 
 Every Arrow batch of documents is a shard. Its suffix array holds the suffixes that begin with
 the first words of some test window (a sparse suffix array; no other suffix can match one),
-sorted word by word to the depth of a window, and every test suffix is binary-searched in it.
-The locations found are then lengthened word by word, which gives the longest verbatim match.
+sorted word by word to the depth of a window, and every test window whose first words occur is
+binary-searched in it (an item shorter than a window is one window; the last suffixes of longer
+items are not searched). The locations found are then lengthened word by word, which gives the
+longest verbatim match of a window or more.
 The test set is broadcast in blocks of a fixed number of words; each block is one narrow pass, so
 documents are never shuffled and a test set of any size fits.
 """
@@ -169,7 +171,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     """Marks the words of documents that lie in a verbatim test window.
 
     Adds n_words, n_hit, n_items long, items_sha256 string (of the sorted ids of the items found,
-    comma-joined), contaminated boolean and longest long (words of the longest match); with `spans`
+    comma-joined), contaminated boolean and longest long (words of the longest match of a window or more, else 0); with `spans`
     also hits array<bigint>, the bounds of the runs of hit words in turn. `benchmark` has item_id
     and text. Words are those of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z were lower-cased.
     A window is `window` words of an item; a shorter item is one window.
