@@ -18,7 +18,10 @@ def folder(spark: SparkSession) -> str:
     """The shared folder that spark.checkpoint.dir names; only where that is unset (tests, one machine) is a temporary one made."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoint"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -44,6 +47,14 @@ def extended(batch: pa.RecordBatch, **added) -> pa.RecordBatch:
     )
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that no column of the table has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def total_chars(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()["n"])
 

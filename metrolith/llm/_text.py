@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ _held: dict = {}
 def held(name: str, key, make):
     """The one large object that a worker keeps between tasks; another operator's takes its place."""
     if _held.get("key") != (name, key):
-        _held.clear()
+        forget()
         _held.update(value=make(), key=(name, key))
     return _held["value"]
 
@@ -51,6 +52,10 @@ def held(name: str, key, make):
 def forget() -> None:
     """Called by operators that keep nothing: workers outlive queries, and what others kept is memory."""
     _held.clear()
+    _powers.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 _powers: dict[str, np.ndarray] = {}

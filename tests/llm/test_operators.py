@@ -365,22 +365,84 @@ def test_quality(spark, docs):
     ran_empty(spark, quality.quality)
 
 
-def test_kneser_ney_sums_to_one_and_rejects_noise(spark):
+def brute_bits(made):
+    """Bits a word of each text, by a plain modified Kneser-Ney model of the texts of the other fold."""
+    import numpy as np
+
+    fold = lambda t: int(quality._keys([t.encode()], np.zeros(1, np.int64))[0]) & 1
+    words = [re.findall(ALNUM, t.translate(LOW)) for _, t, _ in made]
+    folds = [fold(t) for _, t, _ in made]
+    total = Counter(x for w in words for x in w)
+    vocab = {x for x, n in total.items() if n > 1}
+    name = lambda x: x if x in vocab else "<rare>"
+    out = []
+    for w, f in zip(words, folds, strict=True):
+        pairs, before, follow, count = Counter(), Counter(), {}, Counter()
+        for other, g in zip(words, folds, strict=True):
+            if g != f:
+                pairs.update(zip(map(name, other), map(name, other[1:]), strict=False))
+        for (u, v), n in pairs.items():
+            before[v] += 1
+            count[u] += n
+            follow.setdefault(u, []).append(n)
+        d = quality.discounts(np.array([sum(n == k for n in pairs.values()) for k in (1, 2, 3, 4)]))
+        e = quality.discounts(np.array([sum(n == k for n in before.values()) for k in (1, 2, 3, 4)]))
+        kinds, rare = sum(before.values()), Counter(x for o, g in zip(words, folds, strict=True) if g != f for x in o if x not in vocab)
+        left = sum(e[min(n, 3)] for n in before.values()) / kinds
+        bits = 0.0
+        for u, v in zip(w, w[1:], strict=False):
+            a, b = name(u), name(v)
+            low = max(0, before[b] - e[min(before[b], 3)]) / kinds + left / (1 << quality.ID_BITS)
+            n = pairs[a, b]
+            p = (max(0, n - d[min(n, 3)]) + sum(d[min(x, 3)] for x in follow[a]) * low) / count[a] if count[a] else low
+            if b == "<rare>":
+                p *= (rare[v] + 0.5) / (sum(rare.values()) + 0.5 * quality.CLASSES)
+            bits -= np.log2(p)
+        out.append(bits / max(1, len(w) - 1))
+    return out
+
+
+def test_perplexity_equals_a_plain_kneser_ney_model(spark):
+    r = random.Random(3)
+    made = [(i, " ".join(r.choice(["the", "of", "tea", "and", "house"]) + r.choice(["", "s", "ing", f"x{r.randint(0, 30)}"]) for _ in range(r.randint(0, 90))), "en") for i in range(40)]
+    made += [(100 + i, made[i][1], "en") for i in range(3)]
+    got = {r["doc_id"]: r["bits"] for r in quality.quality(spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert [got[d] for d, *_ in made] == pytest.approx(brute_bits(made), abs=1e-4)
+
+
+def test_probabilities_sum_to_one(spark):
     import numpy as np
 
     r = random.Random(1)
-    text = lambda: " ".join(r.choice(["the", "of", "tea", "and", "house", "river"]) + r.choice(["", "s", "ing"]) for _ in range(120))
-    made = [(i, text(), "en") for i in range(200)] + [(999, " ".join("".join(chr(r.randint(33, 126)) for _ in range(40)) for _ in range(80)), "en")]
-    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
-    model = quality.Model(*quality.train(df)["en"])
-    context = np.uint32((ord("t") << 16) | (ord("h") << 8))
-    assert np.exp2(-model.bits(context | np.arange(256, dtype=np.uint32))).sum() == pytest.approx(1, abs=1e-3)
-    clean = df.filter("doc_id < 999")
-    shared = spark.sparkContext.broadcast(quality.train(clean))
-    bands = quality.bands_of(quality._scored(clean, shared, None, "text", "lang"), "lang")
-    out = quality._scored(df, shared, bands, "text", "lang")
-    assert [r["doc_id"] for r in out.filter("not kept and not base_failed").collect()] == [999]
-    assert quality.quality(clean).filter("not kept").count() == 0
+    made = [(i, " ".join(r.choice(["the", "of", "tea", "and", "house"]) for _ in range(60)), "en") for i in range(20)]
+    trained = quality.train(spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    assert trained.pairs.filter("g >= 0").count() > 1
+    m, n = trained.models[0], np.zeros(quality._IDS, np.int64)
+    u, counts = int(trained.words.ids.max()), quality.Counts()
+    for row in trained.pairs.filter("g >= 0").collect():
+        counts.add(*quality._counted(row["x"], row["y"]))
+    counts.merge()
+    code = counts.codes * quality._BACK & quality._MASK
+    mine = code >> quality.ID_BITS == u
+    n[code[mine] & (quality._IDS - 1)] = counts.n[0][mine]
+    v = np.arange(quality._IDS)
+    assert m.count[u] == n.sum() > 0 and np.exp2(-m.bits(np.full(len(v), u), v, n)).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_order_of_words_and_repetition_are_judged(spark):
+    """Sentences of a small grammar; the same words shuffled, and one word over and over, are rejected."""
+    r = random.Random(8)
+    names, verbs, things = [f"name{i}" for i in range(150)], [f"verb{i}" for i in range(150)], [f"thing{i}" for i in range(150)]
+    text = lambda: " ".join(f"the {(a := r.randrange(150), names[a])[1]} {verbs[(a * 7 + r.randint(0, 2)) % 150]} a {things[(a * 11 + r.randint(0, 2)) % 150]} ." for _ in range(60))
+    made = [(i, text(), "en") for i in range(300)]
+    salad = []
+    for i in range(20):
+        w = text().split()
+        r.shuffle(w)
+        salad.append((1000 + i, " ".join(w), "en"))
+    out = quality.quality(spark.createDataFrame(made + salad, "doc_id long, text string, lang string")).filter("not base_failed")
+    bad = {r["doc_id"] for r in out.filter("not kept").collect()}
+    assert {d for d, *_ in salad} <= bad and len(bad) == len(salad)
 
 
 @pytest.mark.parametrize("n_junk,copies", [(1, 1), (100, 1), (1, 100)])
