@@ -6,11 +6,11 @@ A later token can only start at a position from which the bytes so far are the b
 some token, so only those positions are alive, and every token above the deepest common
 ancestor of their chains is final. A state is the bytes after that ancestor with the tokens
 that the alive chains use; the alphabet has 256 letters and the lookahead is at most the longest
-token. States and transitions are made when first met and dropped together when there are too
-many, so memory is bounded.
+token. States, transitions and pairs are made when first met; their bytes are counted and they are
+dropped together at a fixed size, so memory is bounded.
 
 Two adjacent tokens belong to one encoding when merging their joined bytes gives the two back;
-that test is run once for each pair met.
+that is seen from the merges that build each of them, which are worked out once for a token.
 """
 
 from __future__ import annotations
@@ -47,47 +47,118 @@ def merge(ranks: dict[bytes, int], piece: bytes) -> list[bytes]:
     return parts
 
 
-class Transducer:
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
-        self.ranks, self.max_states = ranks, max_states
-        self.starts = {t[:i] for t in ranks for i in range(1, len(t))}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.reset()
+#: Bytes that states with their moves, and pieces met, may take at most in a worker.
+TABLE_BYTES, PIECE_BYTES = 128 << 20, 40 << 20
+#: Bytes of a state, a move and a piece besides their contents, from the growth of a worker.
+_STATE, _MOVE, _PIECE = 150, 90, 110
+_NEVER = 1 << 60
+
+
+class Recent:
+    """A table of two generations: what is not asked for while one fills up is forgotten, so its bytes are bounded."""
+
+    def __init__(self, max_bytes: int):
+        self.half, self.bytes, self.young, self.old = max_bytes // 2, 0, {}, {}
 
-    def reset(self) -> None:
+    def put(self, key, value, size: int) -> None:
+        if self.bytes + size > self.half:
+            self.old, self.young, self.bytes = self.young, {}, 0
+        self.young[key] = value
+        self.bytes += size
+
+
+class Tables:
+    """One generation of the states and transitions."""
+
+    def __init__(self):
         #: (bytes after the ancestor, length of the last token at each position or 0 if dead, token before)
         self.states: list[tuple[bytes, tuple[int, ...], bytes]] = [(b"", (), b"")]
         self.ids = {self.states[0]: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
-        if len(self.pairs) > 4 * self.max_states:
-            self.pairs.clear()
+        self.bytes = 0
 
-    def fits(self, left: bytes, right: bytes) -> bool:
-        known = self.pairs.get((left, right))
+    def id_of(self, state) -> int:
+        if (k := self.ids.get(state)) is None:
+            k = self.ids[state] = len(self.states)
+            self.states.append(state)
+            self.bytes += _STATE + 9 * len(state[0])
+        return k
+
+
+class Transducer:
+    """Tables are made as they are met. When one generation is full, the next takes over from it what is asked for again."""
+
+    def __init__(self, ranks: dict[bytes, int], max_bytes: int = TABLE_BYTES):
+        self.ranks, self.half = ranks, max_bytes // 2
+        self.starts = {t[:i] for t in ranks for i in range(1, len(t))}
+        self.grown: dict[bytes, tuple] = {}  # of tokens met: no more than there are tokens
+        self.now, self.old = Tables(), Tables()
+
+    def growth(self, token: bytes) -> tuple:
+        """Ranks of the merges that build a token alone, and its first and last part before and after each; all empty if they don't build it."""
+        known = self.grown.get(token)
         if known is None:
-            known = merge(self.ranks, left + right) == ([left, right] if left else [right])
-            self.pairs[left, right] = known
+            parts, steps = [token[i : i + 1] for i in range(len(token))], []
+            first, last = [parts[0]], [parts[-1]]
+            while len(parts) > 1:
+                rank, i = min((self.ranks.get(a + b, _NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+                if rank == _NEVER:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                steps.append(rank)
+                first.append(parts[0])
+                last.append(parts[-1])
+            known = self.grown[token] = ((*steps, _NEVER), tuple(first), tuple(last)) if len(parts) == 1 else ()
         return known
 
+    def fits(self, left: bytes, right: bytes) -> bool:
+        """Whether merging the joined bytes gives the two tokens: no merge across the bound comes before those inside."""
+        b = self.growth(right)
+        if not left or not b:
+            return bool(b)
+        a = self.growth(left)
+        if not a:
+            return False
+        get, i, j = self.ranks.get, 0, 0
+        steps, others, ends, begins = a[0], b[0], a[2], b[1]
+        while True:
+            x, y, across = steps[i], others[j], get(ends[i] + begins[j], _NEVER)
+            if across < x and across <= y:
+                return False
+            if x <= y:
+                if x == _NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        pending, last, before = self.states[state]
+        now, old = self.now, self.old
+        before = old.ids.get(now.states[state])
+        known = old.moves.get(before << 8 | byte) if before is not None else None
+        new, out = (old.states[known[0]], known[1]) if known else self.make(now.states[state], byte)
+        step = now.moves[state << 8 | byte] = (now.id_of(new), out)
+        now.bytes += _MOVE + 8 * len(out)
+        return step
+
+    def make(self, state, byte: int):
+        """The state that follows and the ids that became final."""
+        pending, last, before = state
         text = pending + bytes((byte,))
         n = len(text)
         size = [0, *last, 0]
-
-        def token(q: int) -> bytes:
-            return text[q - size[q] : q] if q else before
-
+        ends = [text[q:] if q == 0 or size[q] else b"" for q in range(n)]
         ranks, starts = self.ranks, self.starts
-        for q in range(n):
-            if (q == 0 or size[q]) and text[q:] in ranks and self.fits(token(q), text[q:]):
+        for q, end in enumerate(ends):
+            if end in ranks and self.fits(text[q - size[q] : q] if q else before, end):
                 size[n] = n - q
                 break
         else:
             raise ValueError("no token ends here: the ranks lack a single byte or can't be built by merges")
-        alive = [q for q in range(n) if (q == 0 or size[q]) and text[q:] in starts] + [n]
-        used, front = set(alive), set(alive)
+        alive = [q for q, end in enumerate(ends) if end in starts]
+        front = {*alive, n}
+        used = set(front)
         while len(front) > 1:
             q = max(front)
             front.discard(q)
@@ -96,84 +167,124 @@ class Transducer:
         (a,) = front
         out, q = [], a
         while q > 0:
-            out.append(self.ranks[token(q)])
+            out.append(ranks[text[q - size[q] : q]])
             q -= size[q]
         # the token before matters only while one can still start right behind it
-        new = (text[a:], tuple(size[q] if q in used else 0 for q in range(a + 1, n + 1)), token(a) if a in alive else b"")
-        if (k := self.ids.get(new)) is None:
-            k = self.ids[new] = len(self.states)
-            self.states.append(new)
-        step = self.moves[state << 8 | byte] = (k, tuple(reversed(out)))
-        return step
+        left = (text[a - size[a] : a] if a else before) if a in alive else b""
+        return (text[a:], tuple([size[q] if q in used else 0 for q in range(a + 1, n + 1)]), left), tuple(reversed(out))
 
     def end(self, state: int) -> tuple[int, ...]:
-        text, last, _ = self.states[state]
+        text, last, _ = self.now.states[state]
         out, q = [], len(text)
         while q > 0:
             out.append(self.ranks[text[q - last[q - 1] : q]])
             q -= last[q - 1]
-        done = self.ends[state] = tuple(reversed(out))
+        done = self.now.ends[state] = tuple(reversed(out))
+        self.now.bytes += _MOVE + 8 * len(out)
         return done
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        if len(self.states) > self.max_states:
-            self.reset()
-        state, out, moves = 0, [], self.moves
+        state, out, moves = 0, [], self.now.moves
         for byte in piece:
-            step = moves.get(state << 8 | byte) or self.move(state, byte)
+            step = moves.get(state << 8 | byte)
+            if step is None:
+                step = self.move(state, byte)
+                if self.now.bytes > self.half:
+                    here = self.now.states[step[0]]
+                    self.old, self.now = self.now, Tables()
+                    step, moves = (self.now.id_of(here), step[1]), self.now.moves
             state = step[0]
             if step[1]:
                 out += step[1]
-            if len(self.states) > 4 * self.max_states:  # within one very long piece
-                kept = self.states[state]
-                self.reset()
-                moves = self.moves
-                state = self.ids.setdefault(kept, len(self.states))
-                if state == len(self.states):
-                    self.states.append(kept)
-        return tuple(out) + (self.ends.get(state) or self.end(state))
-
-
-class _Pieces(dict):
-    """Ids of pieces met; emptied when full."""
-
-    def __init__(self, transducer: Transducer, size: int = 300_000):
-        self.transducer, self.size = transducer, size
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        rank = self.transducer.ranks.get(raw)
-        ids = (rank,) if rank is not None else self.transducer.encode(raw)
-        if len(piece) <= 64:
-            if len(self) >= self.size:
-                self.clear()
-            self[piece] = ids
+        return tuple(out) + (self.now.ends.get(state) or self.end(state))
+
+
+class _Pieces:
+    """Ids of the pieces met lately."""
+
+    def __init__(self, transducer: Transducer, max_bytes: int = PIECE_BYTES):
+        self.transducer, self.known = transducer, Recent(max_bytes)
+
+    def __call__(self, piece: str) -> tuple[int, ...]:
+        ids = self.known.young.get(piece)
+        if ids is None:
+            ids = self.known.old.get(piece)
+            if ids is None:
+                raw = piece.encode()
+                rank = self.transducer.ranks.get(raw)
+                ids = (rank,) if rank is not None else self.transducer.encode(raw)
+            if len(piece) <= 64:
+                self.known.put(piece, ids, _PIECE + len(piece) + 8 * len(ids))
         return ids
 
 
+def _machine() -> tuple[list[str], list[int]]:
+    """The states of UTF-8 and where each byte leads: state * 256 + byte -> state, -1 for a byte that can't come there.
+
+    State 0 is between characters; `rest n` waits for n more bytes; the others are lead bytes whose
+    second byte is restricted (no overlong forms, surrogates, or code points above 10FFFF).
+    """
+    names = ["whole", "rest 1", "rest 2", "rest 3", "E0", "ED", "F0", "F4"]
+    to = [-1] * (256 * len(names))
+    lead = [(0x00, 0x7F, "whole"), (0xC2, 0xDF, "rest 1"), (0xE0, 0xE0, "E0"), (0xE1, 0xEC, "rest 2"), (0xED, 0xED, "ED"), (0xEE, 0xEF, "rest 2"), (0xF0, 0xF0, "F0"), (0xF1, 0xF3, "rest 3"), (0xF4, 0xF4, "F4")]
+    then = {"rest 1": (0x80, 0xBF, "whole"), "rest 2": (0x80, 0xBF, "rest 1"), "rest 3": (0x80, 0xBF, "rest 2"), "E0": (0xA0, 0xBF, "rest 1"), "ED": (0x80, 0x9F, "rest 1"), "F0": (0x90, 0xBF, "rest 2"), "F4": (0x80, 0x8F, "rest 2")}
+    for a, b, name in lead:
+        to[a : b + 1] = [names.index(name)] * (b - a + 1)
+    for state, (a, b, name) in then.items():
+        k = 256 * names.index(state)
+        to[k + a : k + b + 1] = [names.index(name)] * (b - a + 1)
+    return names, to
+
+
+UTF8_STATES, UTF8_MOVES = _machine()
+
+
 class Utf8Stream:
-    """Decodes bytes that come in any cuts: a state machine finds where the last whole character ends."""
+    """Decodes bytes that come in any cuts, by the state machine of UTF-8.
+
+    Every byte moves the machine. Runs of ASCII and whole characters between two cuts stay in state 0 at
+    both ends and go through the built-in decoder, which is the same machine; the table is walked
+    for the bytes of a character that a cut divides. A byte that can't come ends the character with one
+    U+FFFD and is looked at again from state 0.
+    """
 
     def __init__(self):
-        self.tail = b""
+        self.state, self.held = 0, b""
+
+    def _step(self, byte: int) -> str:
+        to = UTF8_MOVES[self.state << 8 | byte]
+        if to < 0:
+            broken = "\ufffd"
+            if self.state:  # the byte starts anew
+                self.state, self.held = 0, b""
+                return broken + self._step(byte)
+            return broken
+        self.state, self.held = to, self.held + bytes((byte,))
+        if to:
+            return ""
+        done, self.held = self.held.decode(), b""
+        return done
 
     def feed(self, raw: bytes) -> str:
-        raw = self.tail + raw
-        whole = len(raw)
-        for back in range(1, min(3, len(raw)) + 1):
-            b = raw[-back]
-            if b >= 0xC0:  # a lead byte: how many bytes it asks for
-                if back < (2 if b < 0xE0 else 3 if b < 0xF0 else 4):
-                    whole -= back
+        out, at = [], 0
+        while self.state and at < len(raw):  # a character that the last cut divided
+            out.append(self._step(raw[at]))
+            at += 1
+        last = len(raw)
+        for back in range(1, min(3, last - at) + 1):  # the lead byte of a character that this cut divides
+            b = raw[last - back]
+            if b >= 0xC0:
+                last -= back
                 break
             if b < 0x80:
                 break
-        self.tail = raw[whole:]
-        return raw[:whole].decode("utf-8", "replace")
+        out.append(raw[at:last].decode("utf-8", "replace"))
+        out += map(self._step, raw[last:])
+        return "".join(out)
 
     def finish(self) -> str:
-        out, self.tail = self.tail.decode("utf-8", "replace"), b""
-        return out
+        left, self.state, self.held = self.state, 0, b""
+        return "\ufffd" if left else ""
 
 
 class Codec:
@@ -187,7 +298,7 @@ class Codec:
         self.name_of = {v: str(v) for v in ranks.values()}
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
+        return list(chain.from_iterable(map(self.pieces, self.split(text))))
 
     def decode(self, ids: list[int], step: int = 1 << 16):
         """Pieces of the text whose ids these are."""

@@ -89,10 +89,13 @@ def small_ranks(tmp_path):
 
 def test_transducer_equals_merging(tmp_path):
     _, ranks = small_ranks(tmp_path)
-    r, t = random.Random(3), bpe.Transducer(ranks, max_states=50)
+    r, t = random.Random(3), bpe.Transducer(ranks, max_bytes=30000)
     for _ in range(3000):
         s = "".join(r.choice(["t", "h", "e", "r", "in", "g", "a", " ", "é", "w1"]) for _ in range(r.randint(1, 30))).encode()
         assert list(t.encode(s)) == [ranks[x] for x in bpe.merge(ranks, s)]
+    for a in ranks:
+        for b in r.sample(sorted(ranks), 40):
+            assert t.fits(a, b) == (bpe.merge(ranks, a + b) == [a, b])
     assert len(t.encode(b"a" * 50000)) == 12500
 
 
@@ -103,6 +106,34 @@ def test_utf8_stream_takes_any_cut():
         assert "".join(s.feed(raw[i : i + step]) for i in range(0, len(raw), step)) + s.finish() == raw.decode()
 
 
+def test_utf8_stream_replaces_broken_bytes_as_python_does():
+    r = random.Random(6)
+    parts = ["a".encode(), "é".encode(), "漢".encode(), "😀".encode(), b"\xff", b"\xc3", b"\xe6\xbc", b"\xf0\x9f\x98", b"\x80", b"\xed\xa0\x80", b"\xe0\x80", b"\xc0\xaf", b"\xf5"]
+    for _ in range(2000):
+        raw, step = b"".join(r.choice(parts) for _ in range(r.randint(0, 9))), r.randint(1, 5)
+        s = bpe.Utf8Stream()
+        assert "".join(s.feed(raw[i : i + step]) for i in range(0, len(raw), step)) + s.finish() == raw.decode("utf-8", "replace"), (raw, step)
+
+
+def test_transducer_tables_stay_within_their_bytes():
+    import tracemalloc
+
+    P = pytest.importorskip("public_tokenizers")
+    assert P
+    path, pattern = queries.tokenizer()
+    raw, r = open(path, "rb").read(), random.Random(2)
+    codec = bpe.Codec(raw, pattern)
+    word = lambda: "".join(chr(r.choice([r.randint(97, 122), r.randint(0x400, 0x4FF)])) for _ in range(r.randint(3, 20)))
+    pieces = codec.pieces
+    pieces.known.half, pieces.transducer.half = 1 << 20, 1 << 20
+    tracemalloc.start()
+    for _ in range(3):
+        codec.encode(" ".join(word() for _ in range(2000)))
+    now, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert pieces.transducer.old.moves and pieces.known.old and now < 9 * (1 << 20)
+
+
 def test_bpe(spark, docs, tmp_path):
     path, ranks = small_ranks(tmp_path)
     out = bpe.encode(docs, str(path), r"\S+|\s+", digest=True)
