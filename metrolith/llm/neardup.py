@@ -6,7 +6,9 @@ those links are candidate clusters: two classes that share any bucket lie in one
 all candidate pairs do, without being listed. The text of each class goes to its cluster once.
 There all pairs are verified at once on their full shingle sets, as a product of the incidence
 matrix with itself, and joined by union-find. A cluster too large for one task is dealt into
-blocks, and each pair of blocks is a task; a last component search joins what they found.
+blocks by the size of the sets: sets whose sizes differ too much can't be linked, so only blocks of
+one size class or of neighbouring ones meet, each pair of them in a task. A last component search
+joins what they found, and the classes that share a doc_id.
 """
 
 from __future__ import annotations
@@ -18,14 +20,12 @@ from pyspark.sql import functions as F
 
 from metrolith.llm._spark import cut
 from metrolith.llm.graph import components
-from metrolith.llm._text import LOWER, SPACED, U, Words, chunks, filled, gram, mix, forget
+from metrolith.llm._text import LOWER, SPACED, U, Words, chunks, gram, mix, forget
 
 #: Components, and how many form a band: a pair at similarity 0.8 shares no band with probability 3e-6.
 SIZE, BAND = 252, 6
 #: Classes and text bytes of a cluster that one task verifies together.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 8 << 20
-#: Ids of classes without a doc_id begin here; doc_ids must be smaller.
-NAMELESS = 1 << 62
 _SHIFT = U(48)
 
 
@@ -111,42 +111,44 @@ def band_hashes(sig: np.ndarray, band: int = BAND) -> np.ndarray:
     return out
 
 
-def _names(h: np.ndarray, row: np.ndarray, rows: int) -> list[np.ndarray]:
-    """Two 64-bit names of each set: sums of scrambled elements."""
-    n, out = np.bincount(row, minlength=rows), []
+def _names(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit name of each set, from sums of scrambled elements."""
+    n = np.bincount(row, minlength=rows)
+    e, out = np.cumsum(n), n.astype(U)
     for salt in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A35):
         c = np.concatenate([np.zeros(1, U), np.cumsum(mix(h ^ U(salt)), dtype=U)])
-        e = np.cumsum(n)
-        out.append(mix(c[e] - c[e - n] + n.astype(U)).view(np.int64))
-    return out
+        out = mix(out ^ (c[e] - c[e - n]))
+    return out.view(np.int64)
 
 
 def signatures(docs: DataFrame, k: int = 2, column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, c1 and c2 (which name the set), bands array<bigint> (empty for no shingles) of each row."""
+    """doc_id, key (of doc_id and text), n_shingles, node (which names the set) and bands array<bigint> (empty for no shingles) of each row."""
 
     def run(batches):
         forget()
         for batch in batches:
-            cols = {n: [] for n in ("n", "c1", "c2", "bands")}
-            for _, data, off in chunks(batch.column(1), 1 << 20):
+            cols = {n: [] for n in ("n", "node", "bands")}
+            for _, data, off in chunks(batch.column(2), 1 << 20):
                 rows = len(off) - 1
                 h, row = shingles(Words(LOWER[data], off, SPACED), rows, k)
                 n = np.bincount(row, minlength=rows)
-                sums = _names(h, row, rows)
                 bands = band_hashes(superminhash(h, row, rows)).view(np.int64)
                 full = n > 0
                 ends = np.concatenate([[0], np.cumsum(full * bands.shape[1])]).astype(np.int32)
                 cols["n"].append(n)
-                cols["c1"].append(sums[0])
-                cols["c2"].append(sums[1])
+                cols["node"].append(_names(h, row, rows))
                 cols["bands"].append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[full].reshape(-1), pa.int64())))
             if not cols["n"]:
                 continue
             flat = lambda x: pa.array(np.concatenate(cols[x]).astype(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat("n"), flat("c1"), flat("c2"), pa.concat_arrays(cols["bands"])], names=["doc_id", "n_shingles", "c1", "c2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat("n"), flat("node"), pa.concat_arrays(cols["bands"])], names=["doc_id", "key", "n_shingles", "node", "bands"])
+
+    return _keyed(docs, column).mapInArrow(run, "doc_id bigint, key bigint, n_shingles bigint, node bigint, bands array<bigint>")
 
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column).cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint, bands array<bigint>")
+
+def _keyed(docs: DataFrame, column: str) -> DataFrame:
+    text = F.col(column).cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("bigint"), text).alias("key"), text.alias("t"))
 
 
 def links(h: np.ndarray, row: np.ndarray, rows: int, percent: int) -> np.ndarray:
@@ -233,18 +235,34 @@ def _verified(batches, k: int, percent: int):
         yield from solve(keys, ids, texts)
 
 
-def _nameless(docs: DataFrame, k: int, column: str) -> DataFrame:
-    """(id, t) of the rows without a doc_id, by the id that their class has if no member has one."""
+def _dealt(texts: DataFrame, percent: int, block_docs: int) -> DataFrame:
+    """(key, node, t) of every task in which a text (node, root, n, t) is compared.
 
-    def run(batches):
-        for batch in batches:
-            ids = []
-            for _, data, off in chunks(batch.column(0), 1 << 20):
-                ids.append(_names(*shingles(Words(LOWER[data], off, SPACED), len(off) - 1, k), len(off) - 1)[0])
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(ids) & (NAMELESS - 1)) + NAMELESS, pa.int64()), filled(batch.column(0)).cast(pa.string())], names=["id", "t"])
-
-    return docs.filter("doc_id is null").select(F.col(column).cast("string").alias("t")).mapInArrow(run, "id bigint, t string")
+    A cluster of at most `block_docs` texts and BLOCK_BYTES is one task. A larger one is dealt into
+    size classes, each a little wider than the ratio of sizes that a link allows, and these into blocks;
+    a task is a pair of blocks of one size class or of neighbouring ones.
+    """
+    step = float(np.log(max(1.01, 100.0 / max(1, percent) * 1.0001)))
+    rows = texts.withColumn("z", F.floor(F.log("n") / step))
+    per = rows.groupBy("root", "z").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("t")).alias("bytes"))
+    sizes = F.collect_list(F.struct("z", F.greatest(F.lit(1), F.ceil(F.col("docs") / block_docs), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("k")))
+    whole = per.groupBy("root").agg((F.sum("docs") <= block_docs).alias("few"), (F.sum("bytes") <= BLOCK_BYTES).alias("short"), sizes.alias("sizes"))
+    rows = rows.join(whole, "root")
+    mine = lambda k: F.pmod(F.xxhash64("node"), k).cast("int")
+    own = F.filter("sizes", lambda x: x["z"] == F.col("z"))[0]["k"]
+    rows = rows.withColumn("mine", mine(own))
+
+    def tasks(x):
+        other = F.sequence(F.lit(0), x["k"] - 1)
+        less = x["z"] < F.col("z")
+        same = x["z"] == F.col("z")
+        a = lambda j: F.when(same, F.least(j, F.col("mine"))).when(less, j).otherwise(F.col("mine"))
+        b = lambda j: F.when(same, F.greatest(j, F.col("mine"))).when(less, F.col("mine")).otherwise(j)
+        return F.transform(other, lambda j: F.xxhash64("root", F.least(x["z"], F.col("z")), F.greatest(x["z"], F.col("z")), a(j), b(j)))
+
+    near = F.filter("sizes", lambda x: F.abs(x["z"] - F.col("z")) <= 1)
+    keys = F.when(F.col("few") & F.col("short"), F.array(F.xxhash64("root"))).otherwise(F.flatten(F.transform(near, tasks)))
+    return rows.select(F.explode(keys).alias("key"), "node", "t")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, column: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -257,38 +275,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, column: str
     and 0.8 is for general use.
 
     Null and empty texts, and texts of white space alone, have no set, are linked with nothing and
-    stay. Rows of equal doc_id are one document. A row without doc_id can be linked; component_id is
-    null where no member has an id, and kept is true for such rows only. doc_ids lie below 2**62.
-    An empty table gives no rows; other columns are not looked at.
+    stay. Rows of equal doc_id are one document, whatever their texts, and links of any of these are
+    its links. A row without doc_id can be linked; component_id is null where no member has an id, and
+    kept is true for such rows only. Sets are named by 64 bits. An empty table gives no rows; other
+    columns are not looked at.
     """
     rows = cut(signatures(docs, k, column))
     full = rows.filter("n_shingles > 0")
-    name = F.coalesce(F.min("doc_id"), F.bit_or("c1").bitwiseAND(F.lit(NAMELESS - 1)) + F.lit(NAMELESS))
-    sets = full.groupBy("c1", "c2").agg(name.alias("node"), F.first("bands").alias("bands"))
+    sets = full.groupBy("node").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     banded = sets.select(F.explode("bands").alias("b"), "node")
     buckets = banded.groupBy("b").agg(F.min("node").alias("v"), F.max("node").alias("last")).filter("v <> last").select("b", "v")
     candidates = banded.join(buckets, "b").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    clusters = components(candidates)
-    # each class sends the text of one of its rows to its cluster, or to each pair of its blocks
-    named = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), F.col(column).cast("string").alias("t"))
-    named = named.unionByName(_nameless(docs, k, column))
-    if clusters.isEmpty():
-        found = None
-    else:
-        texts = named.join(clusters, named["id"] == clusters["node"]).select("node", "root", "t").groupBy("node", "root").agg(F.first("t", ignorenulls=True).alias("t"))
-        texts = cut(texts)
-        sizes = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("bytes"))
-        blocks = F.greatest(F.ceil(F.col("n") / block_docs), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-        dealt = texts.join(sizes.select("root", blocks.alias("k")), "root")
-        mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-        dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        dealt = dealt.select(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node", "t")
-        found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _verified(it, k, percent), "u bigint, v bigint")
-    named_sets = full.groupBy("c1", "c2").agg(name.alias("node"))
-    if found is not None:
-        named_sets = named_sets.join(components(found), "node", "left").select("c1", "c2", F.coalesce("root", "node").alias("root"))
-    else:
-        named_sets = named_sets.select("c1", "c2", F.col("node").alias("root"))
-    root = F.when(F.col("root").isNull(), F.col("doc_id")).when(F.col("root") < NAMELESS, F.col("root"))
-    out = rows.select("doc_id", "n_shingles", "c1", "c2").join(named_sets.withColumnsRenamed({"c1": "x1", "c2": "x2"}), (F.col("n_shingles") > 0) & (F.col("c1") == F.col("x1")) & (F.col("c2") == F.col("x2")), "left")
-    return out.select("doc_id", "n_shingles", root.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    clusters = cut(components(candidates))
+    # rows without a set are classes of their own document
+    place = F.when(F.col("n_shingles") > 0, F.col("node")).when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit("alone")))
+    placed = rows.select("doc_id", "n_shingles", place.alias("node"))
+    several = placed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("last")).filter("v <> last").select("doc_id", "v")
+    links_ = placed.join(several, "doc_id").filter("node <> v").select(F.col("node").alias("u"), "v")
+    if not clusters.isEmpty():
+        # each class sends the text of one of its rows to its cluster, or to the pairs of its blocks
+        ask = sets.select("node", "key", "n").join(clusters, "node")
+        texts = _keyed(docs, column).select("key", "t").join(ask, "key").groupBy("node", "root", "n").agg(F.first("t").alias("t"))
+        dealt = _dealt(cut(texts), percent, block_docs)
+        links_ = links_.unionByName(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _verified(it, k, percent), "u bigint, v bigint"))
+    classes = placed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(components(links_), "node", "left")
+    classes = classes.select("node", F.coalesce("root", "node").alias("root"), "least")
+    of = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("node").alias("class"), "component_id")
+    out = placed.join(of, F.col("node") == F.col("class"), "left").select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -296,6 +296,29 @@ def brute_groups(docs, k):
     return sorted([(d, len(sets[i]), least.get(find(i)), d == least.get(find(i))) for i, (d, *_) in enumerate(docs)], key=str)
 
 
+def test_documents_of_several_texts_lose_no_link(spark):
+    r = random.Random(12)
+    text = lambda: " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randint(0, 99)) for _ in range(40))
+    a, b, c = text(), text(), text()
+    near = a.replace(a.split()[39], "z", 1)
+    made = [(5, a), (5, b), (8, near), (3, c), (20, c), (20, b + " y"), (30, None), (30, text()), (31, ""), (None, c), (None, text()), (2**62 + 5, near), (-9, "one"), (40, "ONE"), (50, text())]
+    out = neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string").repartition(3), 2)
+    assert rows(out, "doc_id", "n_shingles", "component_id", "kept") == brute_groups(made, 2)
+
+
+def test_a_large_cluster_is_compared_by_size(spark):
+    """Every text shares a band with others, few are linked: tasks of sets too different in size are not made."""
+    r = random.Random(13)
+    base = [f"w{i}" for i in range(400)]
+    made = [(i, " ".join(base[: r.randint(40, 400)])) for i in range(300)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    out = neardup.near_duplicates(df, 2, block_docs=20)
+    assert rows(out, "doc_id", "n_shingles", "component_id", "kept") == brute_groups(made, 2)
+    texts = df.selectExpr("doc_id as node", "0L as root", "size(split(text, ' ')) - 1L as n", "text as t")
+    pairs = neardup._dealt(texts, 80, 20).groupBy("key").count().selectExpr("sum(count * (count - 1) / 2)").first()[0]
+    assert pairs < 0.75 * 300 * 299 / 2
+
+
 @pytest.mark.parametrize("k,block", [(2, 1024), (5, 3)])
 def test_near_duplicates(spark, docs, k, block):
     out = neardup.near_duplicates(docs, k, 80, block_docs=block)
