@@ -26,10 +26,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metrolith.llm._spark import extended, filled_name, plus, total_chars
+from metrolith.llm._spark import extended, filled_name, free, plus, total_chars
 from metrolith.llm._text import SPACED, U, Words, chunks, filled, gram, mix, strings, forget
 
 ANCHOR = 8
@@ -40,8 +40,9 @@ _SUFFIX_BYTES = 10
 _HOT_SHARE = 0.5
 #: Bytes of text whose equal suffixes are merged before they travel.
 _TASK_BYTES = 4 << 20
-_LAST = np.iinfo(np.int64).max
-_RUNS = np.dtype([("prefix", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("start", "<u4"), ("n", "u1")])
+#: Documents without an id are told apart by their hash; this bit of a start marks them.
+_NAMELESS = 31
+_RUNS = np.dtype([("prefix", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("start", "<u4"), ("n", "<u2")])
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -118,6 +119,8 @@ def hot_prefixes(docs: DataFrame, window: int, anchor: int, group_bytes: int, to
     """
     wanted = max(3, int(_HOT_SHARE * group_bytes / _SUFFIX_BYTES))
     base = docs.select(F.col(column).cast("string"))
+    if not total:
+        return np.zeros(0, U)
     stretches = total / _TASK_BYTES + total / (1 << 20) / 4 + base.rdd.getNumPartitions()
     least = max(1, int(2 * wanted / 3 / stretches))
     counts = base.mapInArrow(lambda it: _frequent(it, least, window, anchor), "p bigint, n bigint")
@@ -135,14 +138,15 @@ def _split(batches, bits: int, window: int, anchor: int, hot):
     """Suffix rows by group, and repeats that some texts of a task show by themselves."""
     forget()
     for batch in batches:
-        ids = np.asarray(batch.column(0).fill_null(_LAST))
+        ids = np.asarray(batch.column(0))
         hashes = np.asarray(batch.column(1)).astype(np.int64).view(U) & U(0xFFFFFFFF)
+        nameless = np.asarray(batch.column(2).cast(pa.int64())) << _NAMELESS
         got, held = [], 0
-        for row, data, off in chunks(batch.column(2)):
+        for row, data, off in chunks(batch.column(3)):
             w = Words(data, off, SPACED)
             ok, prefix, path, at = _suffixes(w, window, anchor)
             doc = w.row[ok] + row
-            got.append((prefix, path, doc, ok - w.first[w.row[ok]], at - w.first[w.row[ok]]))
+            got.append((prefix, path, doc, ok - w.first[w.row[ok]] + nameless[doc], at - w.first[w.row[ok]]))
             held += len(data)
             if held >= _TASK_BYTES:
                 yield from _leaves(got, ids, hashes, bits, hot.value)
@@ -166,7 +170,7 @@ def _leaves(got, ids: np.ndarray, hashes: np.ndarray, bits: int, hot: np.ndarray
     near[:-1] |= same[1:]
     if near.any():
         o = order[near]
-        o = o[np.lexsort((start[o], ids[doc[o]], path[o], prefix[o]))]
+        o = o[np.lexsort((start[o], ids[doc[o]], start[o] >> _NAMELESS, path[o], prefix[o]))]
         new = np.ones(len(o), bool)
         new[1:] = (prefix[o][1:] != prefix[o][:-1]) | (path[o][1:] != path[o][:-1])
         head = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))
@@ -223,7 +227,7 @@ def _subtree(table: pa.Table) -> pa.Table:
     near[:-1] |= near[1:]
     o = order[near]
     doc, start, pre = r["doc"][of[o]], r["start"][of[o]].astype(np.int64) + step[o], r["prefix"][of[o]]
-    s = np.lexsort((start, doc, path[o], pre))
+    s = np.lexsort((start, doc, start >> _NAMELESS, path[o], pre))
     o, doc, start, pre = o[s], doc[s], start[s], pre[s]
     new = np.ones(len(o), bool)
     new[1:] = (pre[1:] != pre[:-1]) | (path[o][1:] != path[o][:-1])
@@ -236,41 +240,51 @@ def _subtree(table: pa.Table) -> pa.Table:
 
 
 def repeats(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, group_bytes: int = GROUP_BYTES, column: str = "text") -> DataFrame:
-    """(doc, text, start, n): n windows from word `start` on that also start earlier. doc is the largest long for a null id; text is 32 bits of the text's hash."""
-    if not 1 <= anchor <= window:
-        raise ValueError("an anchor has 1 to `window` words")
+    """(doc, text, start, n): n windows from word `start` on that also start earlier.
+
+    text is 32 bits of the text's hash. doc is that hash for a null id, and bit 31 of start is set.
+    """
+    if not 1 <= anchor <= window < 1 << 16:
+        raise ValueError("a window has up to 65535 words, an anchor 1 to `window`")
     total = total_chars(docs, column)
     bits = max(4, int(np.ceil(np.log2(max(1, total) / 5 * _SUFFIX_BYTES / group_bytes + 1))))
     hot = docs.sparkSession.sparkContext.broadcast(hot_prefixes(docs, window, anchor, group_bytes, total, column))
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc"), (F.xxhash64(column).bitwiseAND(F.lit(0xFFFFFFFF))).alias("h"), F.col(column).cast("string").alias("t"))
+    base = docs.select(*_identity(column), F.col(column).cast("string").alias("t"))
     parts = base.mapInArrow(lambda it: _split(it, bits, window, anchor, hot), "g bigint, doc bigint, text bigint, start bigint, n bigint, rows binary")
     groups = parts.filter("g is not null").select("g", "rows").groupBy("g").applyInArrow(_subtree, _FOUND)
     return groups, parts.filter("g is null").select("doc", "text", "start", "n")
 
 
+def _identity(column: str) -> list[Column]:
+    """doc, h and nameless, which tell documents apart and order them."""
+    h = F.xxhash64(F.col(column).cast("string"))
+    return [F.coalesce(F.col("doc_id").cast("bigint"), h).alias("doc"), h.bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"), F.col("doc_id").cast("bigint").isNull().alias("nameless")]
+
+
 def dedup_substrings(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, group_bytes: int = GROUP_BYTES, column: str = "text") -> DataFrame:
     """Removes every word that a window of words covers which also starts earlier.
 
     Adds n_words and n_removed long and `kept` string: the kept words joined by one space, or the
     text itself where nothing is removed. Words are those of `[^\\x20\\x09-\\x0D]+`, unchanged.
     Earlier is a smaller doc_id, or the same one and an earlier word; windows are judged on the
-    input. A null doc_id comes after all others.
+    input. A null doc_id comes after all others; among these the hash of the text stands for it.
 
     Null, empty and short texts have no window and keep all they have (null: an empty text). Rows
     that repeat one doc_id and text stand at the same place, so neither is earlier. An empty table
     gives no rows. Columns that bear an added name are replaced.
     """
     groups, known = repeats(docs, window, anchor, group_bytes, column)
-    marks = groups.unionByName(known).groupBy("doc", "text").agg(F.collect_list(F.struct("start", "n")).alias("__runs"))
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "__text": F.xxhash64(column).bitwiseAND(F.lit(0xFFFFFFFF))})
-    marks = marks.withColumnsRenamed({"doc": "__doc", "text": "__text"})
-    joined = keyed.join(marks, ["__doc", "__text"], "left").drop("__doc", "__text")
+    marks = groups.unionByName(known).groupBy("doc", F.col("text").alias("h"), (F.shiftright("start", _NAMELESS) == 1).alias("nameless"))
+    kept, key = free(docs, "runs"), free(docs, "identity")
+    marks = marks.agg(F.collect_list(F.struct(F.col("start").bitwiseAND(F.lit((1 << _NAMELESS) - 1)).alias("start"), "n")).alias(kept))
+    marks = marks.select(F.struct("doc", "h", "nameless").alias(key), kept)
+    joined = docs.withColumn(key, F.struct(*_identity(column))).join(marks, key, "left").select(*[f"`{c}`" for c in docs.columns], kept)
 
     def run(batches):
         for batch in batches:
-            runs = batch.column(batch.schema.get_field_index("__runs"))
+            runs = batch.column(batch.schema.get_field_index(kept))
             text = filled(batch.column(batch.schema.get_field_index(filled_name(batch, column))))
-            total, removed, kept = [], [], []
+            total, removed, left = [], [], []
             for row, data, off in chunks(text):
                 w = Words(data, off, SPACED, hashed=False)
                 raws = strings(data, off)
@@ -280,7 +294,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, gr
                     total.append(int(n))
                     if not mine:
                         removed.append(0)
-                        kept.append(raws[r])
+                        left.append(raws[r])
                         continue
                     edge = np.zeros(n + 1, np.int64)
                     np.add.at(edge, [m["start"] for m in mine], 1)
@@ -288,9 +302,9 @@ def dedup_substrings(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, gr
                     stay = np.flatnonzero(np.cumsum(edge)[:-1] <= 0)
                     removed.append(int(n - len(stay)))
                     s, e = (w.start[a + stay] - off[r]).tolist(), (w.end[a + stay] - off[r]).tolist()
-                    kept.append(b" ".join([raws[r][x:y] for x, y in zip(s, e, strict=True)]))
-            rest = batch.select([n for n in batch.schema.names if n != "__runs"])
-            yield extended(rest, n_words=pa.array(total, pa.int64()), n_removed=pa.array(removed, pa.int64()), kept=pa.array(kept, pa.binary()).cast(pa.string()))
+                    left.append(b" ".join([raws[r][x:y] for x, y in zip(s, e, strict=True)]))
+            rest = batch.select([n for n in batch.schema.names if n != kept])
+            yield extended(rest, n_words=pa.array(total, pa.int64()), n_removed=pa.array(removed, pa.int64()), kept=pa.array(left, pa.binary()).cast(pa.string()))
 
     return joined.mapInArrow(run, plus(docs.schema, "n_words bigint, n_removed bigint, kept string"))
 

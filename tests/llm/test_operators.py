@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from metrolith.llm import bpe, chat, decontaminate, html, language, licenses, neardup, quality, queries, substrings, urlfilter
@@ -36,7 +37,7 @@ def odd_documents(seed=1):
 @pytest.fixture(scope="module")
 def docs(spark):
     df = spark.createDataFrame(odd_documents(), "doc_id long, text string, lang string").repartition(5)
-    clash = {c: F.lit("old") for c in ("n_words", "kept", "score", "labels", "ids", "h", "t", "doc", "g", "root", "host", "bits", "__x")}
+    clash = {c: F.lit("old") for c in ("n_words", "kept", "score", "labels", "ids", "h", "t", "doc", "g", "root", "host", "bits", "__x", "__doc", "__text", "__runs", "runs", "identity", "nameless", "__hits", "__items", "__longest", "hits", "items", "__norm", "__n", "__gate", "__mit", "key", "found", "norm")}
     return df.withColumns(clash)
 
 
@@ -163,12 +164,13 @@ def test_bpe_equals_the_library(spark):
 
 
 def brute_repeats(docs, size):
-    words = [(d if d is not None else 1 << 63, re.findall(SPACED, t or "")) for d, t, *_ in docs]
+    signed = lambda t: (h := xxhash.xxh64(t.encode(), seed=42).intdigest()) - (h >> 63 << 64)
+    words = [((0, d) if d is not None else (1, signed(t or "")), re.findall(SPACED, t or "")) for d, t, *_ in docs]
     first: dict = {}
     for d, w in words:
         for s in range(len(w) - size + 1):
             k = tuple(w[s : s + size])
-            first[k] = min(first.get(k, (1 << 64, 0)), (d, s))
+            first[k] = min(first.get(k, ((2, 0), 0)), (d, s))
     out = []
     for (d, w), (i, *_) in zip(words, docs, strict=True):
         gone = [False] * len(w)
@@ -180,7 +182,7 @@ def brute_repeats(docs, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("size,anchor", [(20, 8), (4, 2)])
+@pytest.mark.parametrize("size,anchor", [(20, 8), (4, 2), (600, 8)])
 def test_substrings(spark, docs, size, anchor):
     out = substrings.digests(substrings.dedup_substrings(docs, size, anchor))
     assert rows(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(odd_documents(), size)
@@ -196,7 +198,7 @@ def test_a_frequent_anchor_is_dealt_to_many_groups(spark):
     size = 1 << 10  # bytes of a group
     assert 0 < len(substrings.hot_prefixes(df, 20, 8, size, 10**5)) <= 40
     groups, hot = Counter(), spark.sparkContext.broadcast(substrings.hot_prefixes(df, 20, 8, size, 10**5))
-    for r_ in df.select("doc_id", F.lit(1).cast("long").alias("h"), "text").mapInArrow(lambda it: substrings._split(it, 8, 20, 8, hot), "g long, doc long, text long, start long, n long, rows binary").filter("g is not null").collect():
+    for r_ in df.select("doc_id", F.lit(1).cast("long").alias("h"), F.lit(False).alias("nameless"), "text").mapInArrow(lambda it: substrings._split(it, 8, 20, 8, hot), "g long, doc long, text long, start long, n long, rows binary").filter("g is not null").collect():
         groups[r_["g"]] += len(r_["rows"])
     assert max(groups.values()) < 0.05 * sum(groups.values())
     out = substrings.digests(substrings.dedup_substrings(df, 20, 8, size))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -45,9 +46,28 @@ def test_run(spark, corpus):
     assert {r["doc_id"] for r in out.collect()} == clean | {105, 106} and out.filter("n_tokens <= 0").count() == 0
 
 
+def test_odd_rows_and_clashing_names(spark, corpus):
+    """Rows without an id all stay until a rule of their own drops them; rows of one id with two texts both stay; no column is lost."""
+    at, _ = corpus
+    docs = spark.read.parquet(f"{at}/documents.parquet").filter("doc_id < 20")
+    first = {r["doc_id"]: r["text"] for r in docs.collect()}
+    more = spark.createDataFrame([(None, first[3]), (None, " ".join(first[4].split()[::-1])), (7, first[7]), (7, " ".join(first[8].split()[::-1]))], "doc_id long, text string")
+    docs = docs.unionByName(more, allowMissingColumns=True).withColumn("lang", F.lit("en"))
+    names = ("kept", "n_words", "bits", "Doc", "key", "h", "n_removed", "contaminated", "column 1", "hits", "__hits", "__doc")
+    docs = docs.withColumns({c: F.lit(f"old {c}") for c in names})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, at).cache()
+        assert docs.filter(" or ".join(f"`{c}` is null or `{c}` <> 'old {c}'" for c in names)).count() == 0, name
+        if name == "near_dedup":
+            ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in docs.select("doc_id").collect())
+            assert ids == sorted([(False, d) for d in [*first, 7]] + [(True, 0)] * 2)
+    assert docs.count() >= len(first)
+
+
 def test_empty_corpus(spark, corpus):
     at, _ = corpus
     docs = spark.read.parquet(f"{at}/documents.parquet").filter("false")
-    for _, stage in corpus_pipeline.STAGES[:4]:
-        docs = stage(spark, docs, at)
-        assert docs.count() == 0
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, at)
+        assert out.count() == 0
+        docs = docs if name == "tokenize" else out
