@@ -23,7 +23,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from metrolith.llm._spark import extended, filled_name, plus
 from metrolith.llm._text import filled, held
@@ -309,7 +309,7 @@ class Codec:
 
 
 def _codec(raw: bytes, pattern: str) -> Codec:
-    return held("bpe", hashlib.blake2b(raw + pattern.encode()).digest(), lambda: Codec(raw, pattern))
+    return held("bpe", (hashlib.sha256(raw).hexdigest(), pattern), lambda: Codec(raw, pattern))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, column: str = "text", digest: bool = False) -> DataFrame:
@@ -362,3 +362,15 @@ def decode(tokens: DataFrame, ranks_path: str, column: str = "ids", into: str =
             yield extended(batch, **{into: pa.array(["".join(codec.decode(x or [])) for x in ids], pa.string())})
 
     return tokens.mapInArrow(run, plus(tokens.schema, f"`{into}` string"))
+
+
+class TokenCounter:
+    """Counts the tokens of a string; travels to workers as a broadcast of the ranks."""
+
+    def __init__(self, spark: SparkSession, ranks_path: str, pattern: str):
+        raw = Path(ranks_path).read_bytes()
+        self.shared, self.pattern, self.key = spark.sparkContext.broadcast(raw), pattern, hashlib.sha256(raw).hexdigest()
+
+    def __call__(self, text: str) -> int:
+        codec = held("bpe", (self.key, self.pattern), lambda: Codec(self.shared.value, self.pattern))
+        return len(codec.encode(text)) if text else 0

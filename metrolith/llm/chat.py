@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -36,48 +37,66 @@ def count_tokens(s: str) -> int:
 
 
 class Windows:
-    """Takes the turns of one conversation in order and gives its windows."""
+    """Takes the turns of one conversation in order and gives its windows.
+
+    `turns` holds what may still be repeated and then what no window has had; `sums` are the prefix sums of
+    their tokens, in which the bounds of a window are found by binary search.
+    """
 
     def __init__(self, conv: int | None, budget: int, history: int, count: Callable[[str], int], targets: str):
         self.conv, self.budget, self.history, self.count, self.targets = conv, budget, history, count, targets
         self.system: tuple[str, str, int] | None = None
-        self.recent: list[tuple[str, str, int]] = []  # the last turns within the history budget
-        self.fresh: list[tuple[str, str, int]] = []
-        self.prefix = [0]  # prefix sums of the tokens of the fresh turns
+        self.turns: list[tuple[str, str, int]] = []
+        self.sums = [0]
+        self.done = 0  # turns at the front of `turns` that a window has had
         self.seen = self.number = 0
 
-    def lead(self) -> list[tuple[str, str, int]]:
-        head = [self.system] if self.system and self.number else []
-        return head + self.recent
-
     def add(self, role: str, text: str):
-        n = self.count(role) + self.count(text) + 4
-        room = self.budget - sum(x[2] for x in self.lead())
-        if self.fresh and self.prefix[-1] + n > room:
-            yield self.window()
-        self.fresh.append((role, text, n))
-        self.prefix.append(self.prefix[-1] + n)
+        turn = role, text, self.count(role) + self.count(text) + 4
         if self.seen == 0 and role == "system":
-            self.system = self.fresh[0]
+            self.system = turn
+        self.turns.append(turn)
+        self.sums.append(self.sums[-1] + turn[2])
         self.seen += 1
+        while self.end() < len(self.turns):
+            yield self.window()
 
-    def window(self) -> tuple:
-        lead, parts, spans, at = self.lead(), [], [], 0
-        for k, (role, text, _) in enumerate(lead + self.fresh):
+    def bounds(self) -> tuple[int, int]:
+        """Tokens of the system turn to repeat, and the first turn to repeat, so that the next turn fits if it can.
+
+        History goes first, its oldest turn before the others; then the system turn.
+        """
+        system = self.system[2] if self.system and self.number else 0
+        need = self.sums[self.done + 1] - self.sums[self.done]
+        if system + need > self.budget:
+            system = 0
+        room = min(self.history, max(0, self.budget - system - need))
+        return system, min(self.done, bisect_left(self.sums, self.sums[self.done] - room))
+
+    def end(self) -> int:
+        """The end of the longest run of turns that fits; one turn at least."""
+        system, first = self.bounds()
+        return max(self.done + 1, bisect_right(self.sums, self.sums[first] + self.budget - system) - 1)
+
+    def window(self, last: bool = False) -> tuple:
+        system, first = self.bounds()
+        end = len(self.turns) if last else self.end()
+        lead = [self.system] * bool(system) + self.turns[first : self.done]
+        fresh = self.turns[self.done : end]
+        parts, spans, at = [], [], 0
+        for k, (role, text, _) in enumerate(lead + fresh):
             old = k < len(lead)
             mark, body = f"<{'ctx' if old else 'turn'}:{escape(role)}>", escape(text)
             if role == self.targets and not old:
                 spans += [at + len(mark), at + len(mark) + len(body)]
             parts.append(f"{mark}{body}</turn>\n")
             at += len(parts[-1])
-        out = (self.conv, self.number, self.seen - len(self.fresh), len(self.fresh), len(lead), sum(x[2] for x in lead) + self.prefix[-1], "".join(parts), spans)
-        keep, total = [], 0
-        for turn in reversed(self.recent + [x for x in self.fresh if x is not self.system]):
-            total += turn[2]
-            if total > self.history:
-                break
-            keep.append(turn)
-        self.recent, self.fresh, self.prefix, self.number = keep[::-1], [], [0], self.number + 1
+        out = (self.conv, self.number, self.seen - len(self.turns) + self.done, len(fresh), len(lead), sum(x[2] for x in lead + fresh), "".join(parts), spans)
+        # the system turn is no history; what can't be repeated any more goes
+        keep = max(bisect_left(self.sums, self.sums[end] - self.history), 1 if self.turns[0] is self.system else 0)
+        keep = min(keep, end)
+        self.turns, self.done, self.number = self.turns[keep:], end - keep, self.number + 1
+        self.sums = [x - self.sums[keep] for x in self.sums[keep:]]
         return out
 
 
@@ -101,8 +120,10 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
 
     `turns` has conv_id, turn, role and text. Prefix sums of turn tokens choose the longest run of
     whole turns that fits the budget behind what is repeated: the system turn (where the first turn
-    is one) and the last turns within the history budget. A turn that is too long by itself is a
-    window by itself, over the budget. loss_spans holds start and end (code points of `formatted`) of
+    is one) and the last turns within the history budget. Where the next turn would not fit behind
+    these, the oldest turns of the history are given up first, then the rest of it, then the system turn.
+    So only a turn that is too long by itself is a window over the budget, and alone in it. `count`
+    gives the tokens of a string; a turn has 4 more for its marks. loss_spans holds start and end (code points of `formatted`) of
     each text of the target role, once: repeated turns bear no loss.
 
     Turns are ordered by turn, role, text (null first). Turns pass through as a sorted stream and
@@ -119,12 +140,12 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
             for batch in batches:
                 for conv, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
                     if now is None or now.conv != conv:
-                        if now is not None:
-                            yield now.window()
+                        if now is not None and now.done < len(now.turns):
+                            yield now.window(last=True)
                         now = Windows(conv, budget, history, count, targets)
                     yield from now.add(role or "", text or "")
-            if now is not None:
-                yield now.window()
+            if now is not None and now.done < len(now.turns):
+                yield now.window(last=True)
 
         yield from _batches(rows(), _WINDOW_SCHEMA)
 
