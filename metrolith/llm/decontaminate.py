@@ -13,18 +13,20 @@ documents are never shuffled and a test set of any size fits.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metrolith.llm._spark import extended, filled_name, plus
+from metrolith.llm._spark import extended, filled_name, free, plus
 from metrolith.llm._text import ALNUM, LOWER, U, Words, chunks, gram, forget
 
 #: Words that a suffix shares with a test window before it enters the suffix array.
 LEAD = 4
-_PAIRS = 1 << 20
+#: Bytes of item text kept in sorted lists behind windows.
+_REST_BYTES = 8 << 20
 
 
 class Block:
@@ -53,6 +55,7 @@ class Block:
         new[1:] = (r[1:] != r[:-1]).any(1) | (z[1:] != z[:-1])
         self.order, self.begin = order, np.append(np.flatnonzero(new), len(order))
         self.keys, self.sizes = r[new], z[new]
+        self.rest: dict[int, list[bytes]] = {}
         self.leads = {}
         for d in np.unique(np.minimum(self.sizes, LEAD)).tolist():
             mine = np.minimum(self.sizes, LEAD) == d
@@ -61,6 +64,21 @@ class Block:
             bits[(g >> U(42)).astype(np.int64)] = True
             self.leads[d] = (np.unique(g), bits)
 
+    def items_of(self, windows: np.ndarray) -> np.ndarray:
+        """The items that hold any of these windows."""
+        return np.unique(np.concatenate([self.item[self.order[self.begin[q] : self.begin[q + 1]]] for q in windows.tolist()]))
+
+    def after(self, q: int) -> list[bytes]:
+        """What follows window q in the items that hold it: distinct, sorted."""
+        if q not in self.rest:
+            big = self.words.astype(">u8")
+            here = self.at[self.order[self.begin[q] : self.begin[q + 1]]]
+            ends = self.item_end[np.searchsorted(self.item_end, here, "right")]
+            if sum(map(len, (x for v in self.rest.values() for x in v))) > _REST_BYTES:
+                self.rest.clear()
+            self.rest[q] = sorted({big[a + self.sizes[q] : e].tobytes() for a, e in zip(here.tolist(), ends.tolist(), strict=True)})
+        return self.rest[q]
+
     def _rows(self, words, at, size):
         """The words of windows, one row each, 0 behind their end."""
         if not len(at):
@@ -95,12 +113,18 @@ def _bounds(suffixes: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> tuple[
     return out[0], out[1]
 
 
-def match(w: Words, block: Block):
-    """Per location found: (first word, words of the window, item, words of the longest match)."""
-    none = (np.zeros(0, np.int64),) * 4
+class Found:
+    """Places of windows in some texts: first word, size, number of the window, words of the longest match there."""
+
+    def __init__(self, parts: list[tuple]):
+        z = np.zeros(0, np.int64)
+        self.place, self.size, self.window, self.longest = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (z, z, z, z)
+
+
+def match(w: Words, block: Block) -> Found:
     n = len(w)
     if not n or not len(block.keys):
-        return none
+        return Found([])
     last = w.first[w.row + 1]  # end of the text of each word
     found, known = np.zeros(n, bool), np.zeros(len(block.keys), bool)
     for d, (leads, bits) in block.leads.items():
@@ -115,7 +139,7 @@ def match(w: Words, block: Block):
         known[mine[np.isin(own, g[at])]] = True
     at = np.flatnonzero(found)
     if not len(at):
-        return none
+        return Found([])
     j = np.arange(block.window)
     rows = np.where(at[:, None] + j < last[at][:, None], w.hash[np.minimum(at[:, None] + j, n - 1)], U(0))
     order = np.lexsort(rows.T[::-1])
@@ -126,31 +150,39 @@ def match(w: Words, block: Block):
     ask, lo, hi = ask[hit], lo[hit], hi[hit]
     parts = []
     for q, a, b in zip(ask.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        place = at[a:b]
-        size = block.sizes[q]
+        place, size = at[a:b], block.sizes[q]
         place = place[place + size <= last[place]]
-        for o in range(block.begin[q], block.begin[q + 1]):  # the items that hold this window
-            src = block.order[o]
-            for s in range(0, len(place), _PAIRS):
-                p = place[s : s + _PAIRS]
-                parts.append((p, np.full(len(p), size), np.full(len(p), block.item[src]), _longest(w.hash, p, last[p], block, block.at[src], size)))
-    return tuple(np.concatenate([x[i] for x in parts]) for i in range(4)) if parts else none
-
-
-def _longest(h, p, last, block, at, size) -> np.ndarray:
-    """How far the text at p goes on as the item does at `at`."""
-    room = np.minimum(last - p, block.item_end[np.searchsorted(block.item_end, at, "right")] - at)
-    out = np.minimum(room, size)
-    live = np.flatnonzero(room > size)
-    k = int(size)
-    while len(live):
-        live = live[(h[p[live] + k] == block.words[at + k])]
-        k += 1
-        out[live] = k
-        live = live[room[live] > k]
+        parts.append((place, np.full(len(place), size), np.full(len(place), q), _longest(w.hash, place, last[place], block, q)))
+    return Found(parts)
+
+
+def _longest(h, p, last, block: Block, q: int) -> np.ndarray:
+    """How far the text at each place of window q goes on as an item does.
+
+    What follows the window in the items is a sorted list; what follows a place agrees longest with one
+    of the two neighbours of where it belongs in the list. One look a place, however many items.
+    """
+    size, after = int(block.sizes[q]), block.after(q)
+    most, out = max(map(len, after)) // 8, np.full(len(p), size, np.int64)
+    if not most:
+        return out
+    big = h.astype(">u8")
+    for k, (a, end) in enumerate(zip(p.tolist(), last.tolist(), strict=True)):
+        mine = big[a + size : min(end, a + size + most)].tobytes()
+        i = bisect_left(after, mine)
+        out[k] += max(_common(mine, x) for x in after[max(0, i - 1) : i + 1])
     return out
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Words of 8 bytes that both begin with."""
+    n = min(len(a), len(b)) // 8
+    if a[: 8 * n] == b[: 8 * n]:
+        return n
+    differ = np.frombuffer(a, "u8", n) != np.frombuffer(b, "u8", n)
+    return int(differ.argmax())
+
+
 def blocks_of(benchmark: DataFrame, window: int, block_words: int):
     """The test items in blocks, read a piece at a time."""
     items, n = [], 0
@@ -182,6 +214,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     """
     out, state = docs, False
     sc = docs.sparkSession.sparkContext
+    held = {k: free(docs, f"{k} so far") for k in ("hits", "items", "longest")}
 
     def step(df: DataFrame, block, state: bool, final: bool) -> DataFrame:
         shared = sc.broadcast(block)
@@ -191,20 +224,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
             block = shared.value
             for batch in batches:
                 cols = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "hits", "items")}
-                old = {k: batch.column(batch.schema.get_field_index(f"__{k}")).to_pylist() for k in ("hits", "items", "longest")} if state else None
+                old = {k: batch.column(batch.schema.get_field_index(v)).to_pylist() for k, v in held.items()} if state else None
                 for row, data, off in chunks(batch.column(batch.schema.get_field_index(filled_name(batch, column)))):
                     w = Words(LOWER[data], off, ALNUM)
-                    p, size, item, longest = match(w, block) if block is not None else (np.zeros(0, np.int64),) * 4
+                    f = match(w, block) if block is not None else Found([])
                     edge = np.zeros(len(w) + 1, np.int64)
-                    np.add.at(edge, p, 1)
-                    np.add.at(edge, p + size, -1)
+                    np.add.at(edge, f.place, 1)
+                    np.add.at(edge, f.place + f.size, -1)
                     hit = np.cumsum(edge)[:-1] > 0
-                    doc = w.row[p]
+                    doc = w.row[f.place]
                     far = np.zeros(len(off) - 1, np.int64)
-                    np.maximum.at(far, doc, longest)
+                    np.maximum.at(far, doc, f.longest)
                     names: dict[int, set] = {}
-                    for x in np.unique(doc * np.int64(1 << 32) + item).tolist():
-                        names.setdefault(x >> 32, set()).add(block.names[x & 0xFFFFFFFF])
+                    pairs = np.unique(np.stack([doc, f.window]), axis=1)  # each window of a text once
+                    for r in np.unique(pairs[0]).tolist():
+                        names[r] = {block.names[i] for i in block.items_of(pairs[1][pairs[0] == r]).tolist()}
                     for r in range(len(off) - 1):
                         h = hit[w.first[r] : w.first[r + 1]]
                         mine, most = names.get(r, set()), int(far[r])
@@ -224,14 +258,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
                             cols["items"].append(sorted(mine))
                 long = lambda k: pa.array(cols[k], pa.int64())
                 lists = lambda k, kind: pa.array(cols[k], pa.list_(kind))
+                keep = batch.select([n for n in batch.schema.names if n not in held.values()])
                 if final:
-                    keep = batch.select([n for n in batch.schema.names if n not in ("__hits", "__items", "__longest")])
                     more = {"hits": lists("hits", pa.int64())} if spans else {}
                     yield extended(keep, n_words=long("n_words"), n_hit=long("n_hit"), n_items=long("n_items"), items_sha256=pa.array(cols["items_sha256"], pa.string()), contaminated=pa.array(cols["contaminated"], pa.bool_()), longest=long("longest"), **more)
                 else:
-                    yield extended(batch, __hits=lists("hits", pa.int64()), __items=lists("items", pa.string()), __longest=long("longest"))
+                    yield extended(keep, **{held["hits"]: lists("hits", pa.int64()), held["items"]: lists("items", pa.string()), held["longest"]: long("longest")})
 
-        schema = plus(docs.schema, "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest bigint" + ", hits array<bigint>" * spans) if final else plus(df.schema, "__hits array<bigint>, __items array<string>, __longest bigint")
+        schema = plus(docs.schema, "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest bigint" + ", hits array<bigint>" * spans) if final else plus(docs.schema, f"`{held['hits']}` array<bigint>, `{held['items']}` array<string>, `{held['longest']}` bigint")
         return df.mapInArrow(run, schema)
 
     before = None
