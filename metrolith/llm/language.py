@@ -61,6 +61,17 @@ class Kernel:
             out[row[ok].astype(np.int64) * self.size + at[ok]] = 1
         return out.reshape(len(off) - 1, self.size)
 
+    def __getstate__(self):
+        """Without the dense tables, which workers make anew."""
+        codes = [np.flatnonzero(t >= 0) for t in self.tables]
+        return {**self.__dict__, "tables": [(c.astype(np.int32), t[c]) for c, t in zip(codes, self.tables, strict=True)]}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.tables = [np.full(256**n, -1, np.int32) for n in (1, 2, 3)]
+        for table, (codes, places) in zip(self.tables, state["tables"], strict=True):
+            table[codes] = places
+
     @staticmethod
     def _unit(a: np.ndarray) -> np.ndarray:
         return a / np.sqrt(np.maximum(1, a.sum(1)))[:, None]
@@ -124,7 +135,7 @@ def identify(docs: DataFrame, training: DataFrame, column: str = "text", lang: s
     """Adds lang_pred string and score double (0 to 1) to every row of `docs`.
 
     `training` has texts and languages; rows of null language teach nothing. What is learned from
-    is a sample of SAMPLE distinct texts a language (up to SAMPLE_BYTES, longer ones cut only
+    is fitted once, on the driver, from a sample of SAMPLE distinct texts a language (up to SAMPLE_BYTES, longer ones cut only
     where a language has no others), which bounds the driver's
     share; languages are as many as the labels name. Prediction reads whole texts, in place.
 
@@ -132,15 +143,11 @@ def identify(docs: DataFrame, training: DataFrame, column: str = "text", lang: s
     could be learned. Ties go to the first language by name. An empty table gives no rows;
     columns that bear an added name are replaced.
     """
-    pairs = sample(training, column, lang)
-    shared = docs.sparkSession.sparkContext.broadcast(pairs)
-    made: dict = {}
+    shared = docs.sparkSession.sparkContext.broadcast(train(sample(training, column, lang)))  # bounded by the sample
 
     def run(batches):
         forget()
-        if "model" not in made:
-            made["model"] = train(shared.value)
-        names, kernel = made["model"]
+        names, kernel = shared.value
         for batch in batches:
             best, score = [], []
             for _, data, off in chunks(batch.column(batch.schema.get_field_index(filled_name(batch, column))), 1 << 20):
