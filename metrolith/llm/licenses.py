@@ -2,9 +2,10 @@
 
 Every rule has a label, a priority, a keyword and a hand-written regular expression. A text that
 holds none of the gate words is done; otherwise a rule's expression runs only if the text holds
-its keyword. Detections are intervals; one that lies inside another of a priority at least as high
-is dropped, and so is one that holds another of a higher priority (of equal intervals the higher
-priority stays). So a long statement wins over its parts, and a label over a generic line about it.
+its keyword. Detections are intervals, taken from the highest priority down (of one priority the
+earlier, then the longer first). One that lies inside an earlier one is dropped; one that overlaps one
+that stands is dropped too, but covers what lies inside it. So a long statement wins over its parts,
+a label over a generic line about it, and no two that stand overlap.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metrolith.llm._spark import free
 from metrolith.llm.urlfilter import LOWER, UPPER
 
 #: A text without any of these has no detection: whatever a rule matches holds one of them.
@@ -167,8 +169,17 @@ license-line; 10; licen; licen[cs]ed? under
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
 
 
+#: Labels that are no licenses of a name of their own.
+GENERIC = frozenset("spdx license-line copyright all-rights-reserved some-rights-reserved proprietary commercial permission no-warranty terms-of-use public-domain".split())
+
+
 def rules(text: str = RULES) -> list[tuple[str, int, str, str]]:
-    return [(a, int(b), c, d) for a, b, c, d in (tuple(x.split("; ", 3)) for x in text.strip().splitlines())]
+    """label, priority, keyword and expression of the rules above, and of one rule a label for its SPDX identifier."""
+    out = [(a, int(b), c, d) for a, b, c, d in (tuple(x.split("; ", 3)) for x in text.strip().splitlines())]
+    for label in sorted({x[0] for x in out} - GENERIC):
+        words = label.replace("+", " or later").replace("-", " ").replace(".", " ")
+        out.append((label, 98 if label.endswith("+") else 95, "spdx", f"spdx license identifier {words}"))
+    return out
 
 
 def words_of(text: Column) -> Column:
@@ -220,43 +231,45 @@ def scan(docs: DataFrame, column: str = "text", table: list[tuple[str, int, str,
     """
     table = table or rules()
     names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "n_detections", "score")
-    out = docs.drop(*names).withColumn("__norm", words_of(F.col(column)))
-    norm = F.col("__norm")
+    own = {c: free(docs, f"its {c}") for c in ("norm", "n", "gate", "found", *(label for label, _ in BASE))}
+    col = lambda c: F.col(f"`{own[c]}`")
+    out = docs.withColumn(own["norm"], words_of(F.col(column)))
+    norm = col("norm")
     gate = F.lit(False)
     for g in GATES:
         gate = gate | norm.contains(g)
-    out = out.withColumns({"__n": _spaces(norm) - 1, "__gate": gate})
+    out = out.withColumns({own["n"]: _spaces(norm) - 1, own["gate"]: gate})
     for label, phrase in BASE:
-        gaps = F.when(F.col("__gate") & norm.contains(f" {phrase} "), F.split(norm, f"(?<= ){phrase}(?= )", -1))
-        out = out.withColumn(f"__{label}", gaps)
-    n = {label: F.when(F.col(f"__{label}").isNull(), F.lit(0).cast("bigint")).otherwise(F.size(f"__{label}").cast("bigint") - 1) for label, _ in BASE}
-    first = [_spaces(F.get(f"__{label}", F.lit(0))) - 1 for label, _ in BASE]
-    last = [F.col("__n") - len(phrase.split()) - (_spaces(F.element_at(f"__{label}", -1)) - 1) for label, phrase in BASE]
+        gaps = F.when(col("gate") & norm.contains(f" {phrase} "), F.split(norm, f"(?<= ){phrase}(?= )", -1))
+        out = out.withColumn(own[label], gaps)
+    n = {label: F.when(col(label).isNull(), F.lit(0).cast("bigint")).otherwise(F.size(col(label)).cast("bigint") - 1) for label, _ in BASE}
+    first = [_spaces(F.get(col(label), F.lit(0))) - 1 for label, _ in BASE]
+    last = [col("n") - len(phrase.split()) - (_spaces(F.element_at(col(label), -1)) - 1) for label, phrase in BASE]
     start = F.struct(F.array().alias("seen"), F.array().cast("array<string>").alias("labels"), F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("best")).cast(_STATE)
 
     def keep(acc: Column, d: Column) -> Column:
         a, b = d["start"], -d["end"]
         # what a dropped line covers stays covered: `licensed under` of a longer line does not come back
         inside = F.exists(acc["seen"], lambda k: (k["start"] <= a) & (k["end"] >= b))
-        around = F.exists(acc["seen"], lambda k: k["stay"] & (k["start"] >= a) & (k["end"] <= b))
+        across = F.exists(acc["seen"], lambda k: k["stay"] & (k["start"] < b) & (k["end"] > a))
         seen = lambda stay: F.array_append(acc["seen"], F.struct(a.alias("start"), b.alias("end"), F.lit(stay).alias("stay"))).alias("seen")
         dropped = F.struct(seen(False), acc["labels"].alias("labels"), acc["n"].alias("n"), acc["best"].alias("best"))
         stay = F.struct(seen(True), F.array_union(acc["labels"], F.array(d["label"])).alias("labels"), (acc["n"] + 1).alias("n"), F.greatest(acc["best"], -d["priority"]).alias("best"))
-        return F.when(inside, acc).when(around, dropped).otherwise(stay).cast(_STATE)
+        return F.when(inside, acc).when(across, dropped).otherwise(stay).cast(_STATE)
 
-    found = F.when(F.col("__gate"), F.aggregate(_detections(norm, table), start, keep))
-    out = out.withColumn("__found", found)
+    found = F.when(col("gate"), F.aggregate(_detections(norm, table), start, keep))
+    out = out.withColumn(own["found"], found)
     base = F.array_compact(F.array(*[F.when(n[label] > 0, F.lit(label)) for label, _ in BASE]))
     total = sum((n[label] for label, _ in BASE[1:]), n[BASE[0][0]])
-    labels = F.array_union(base, F.coalesce(F.col("__found.labels"), F.array().cast("array<string>")))
-    out = out.withColumns({
-        "n_words": F.col("__n"),
+    labels = F.array_union(base, F.coalesce(F.col(f"`{own['found']}`.labels"), F.array().cast("array<string>")))
+    added = {
+        "n_words": col("n"),
         "n_base": total,
         "first_word": F.least(*first),
         "last_word": F.greatest(*last),
         "base_labels": F.array_join(F.array_sort(base), ","),
         "labels": F.array_join(F.array_sort(labels), ","),
-        "n_detections": F.coalesce(F.col("__found.n"), F.lit(0).cast("bigint")),
-        "score": F.when(total > 0, F.lit(1.0)).otherwise(F.coalesce(F.col("__found.best") / 100.0, F.lit(0.0))).cast("double"),
-    })
-    return out.drop("__norm", "__n", "__gate", "__found", *[f"__{label}" for label, _ in BASE])
+        "n_detections": F.coalesce(F.col(f"`{own['found']}`.n"), F.lit(0).cast("bigint")),
+        "score": F.when(total > 0, F.lit(1.0)).otherwise(F.coalesce(F.col(f"`{own['found']}`.best") / 100.0, F.lit(0.0))).cast("double"),
+    }
+    return out.select(*[f"`{c}`" for c in docs.columns if c.lower() not in names], *[v.alias(n) for n, v in added.items()])
