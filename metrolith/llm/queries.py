@@ -43,13 +43,13 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    return urlfilter.filter_urls(pages, URL_RULES, urlfilter.listed_by_words(pages)).select("page_id", "host", "path", "rule", "verdict")
+    return urlfilter.filter_urls(pages, URL_RULES, urlfilter.listed_by_digest(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), window=10)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
+    out = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), window=10, spans=True)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "hits")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
     more = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
-    return chat.digests(chat.format_windows(turns.unionByName(more)))
+    return chat.digests(chat.format_windows(turns.unionByName(more), count=bpe.TokenCounter(spark, *tokenizer())))
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +103,7 @@ SQL: dict[str, str] = {
     "op4_url_filter": f"""
         select page_id, host, path, case {_longest(lambda v, h, p: h + p)} end as rule,
                case {_longest(lambda v, h, p: v)}
-                    when regexp_matches(host, '(^|[.-])({'|'.join(urlfilter.LISTED_WORDS)})([.-]|$)') then 'block' else 'allow' end as verdict
+                    when len(list_filter(list_transform(range(1, len(string_split(host, '.'))), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')), lambda d: md5(d) < '1')) > 0
+                    then 'block' else 'allow' end as verdict
         from (select page_id, {_HOST} as host, {_PATH} as path from pages)""",
 }

@@ -76,6 +76,31 @@ def test_language_sample_heeds_copies_and_long_texts(spark):
     assert all(len(t) <= language.SAMPLE_BYTES + 2 for _, t in got)
 
 
+def test_scores_equal_exact_kernel_ridge_regression():
+    """With every training text a landmark, the Nystroem features span the whole kernel."""
+    import numpy as np
+
+    r = random.Random(5)
+    text = lambda parts: " ".join("".join(r.choices(parts, k=3)) for _ in range(12)).encode()
+    parts = {"aa": ["the", "and", "er"], "bb": ["der", "ung", "sch"], "cc": ["les", "eau", "oi"]}
+    pairs = [(l, text(p)) for l, p in parts.items() for _ in range(8)]
+    names, kernel = language.train(pairs, landmarks=8)
+    grams = lambda t: {t[i : i + n].lower() for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    every = set().union(*(grams(t) for _, t in pairs))
+
+    def k(a, b):
+        x, y = grams(a) & every, grams(b) & every
+        return len(x & y) / np.sqrt(len(x) * len(y)) + 1  # the constant is the intercept's
+
+    train, test = [t for _, t in pairs], [text(p) for p in parts.values() for _ in range(3)]
+    gram = np.array([[k(a, b) for b in train] for a in train])
+    y = np.array([[float(l == n) for n in names] for l, _ in pairs])
+    want = np.array([[k(a, b) for b in train] for a in test]) @ np.linalg.solve(gram + language.RIDGE * np.eye(len(train)), y)
+    import pickle
+
+    assert pickle.loads(pickle.dumps(kernel)).score(*language._joined(test)) == pytest.approx(want, abs=2e-3)
+
+
 # 2
 
 
@@ -222,16 +247,29 @@ def test_urls(spark):
     ran_empty(spark, lambda e: urlfilter.filter_urls(e, queries.URL_RULES, listed), "page_id long, url string")
 
 
-def test_cascade_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(urlfilter, "BITS", 2)  # many mistakes, so many levels
-    universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
-    listed = universe.filter(F.crc32("key") % 5 == 0)
-    levels = urlfilter.cascade(universe, listed)
-    assert len(levels) > 2
-    said = universe.filter(urlfilter.is_listed(F.col("key"), levels))
-    assert said.exceptAll(listed).count() == 0 and listed.exceptAll(said).count() == 0
-    monkeypatch.setattr(urlfilter, "MAX_WORDS", 1)
-    assert urlfilter.cascade(universe, listed) is None
+@pytest.mark.parametrize("bits,keys,shard,most", [(2, 3000, 1 << 18, 4 << 20), (2, 3000, 100, 200), (10, 2_400_000, 1 << 18, 1 << 20)])
+def test_cascade_is_exact(spark, monkeypatch, bits, keys, shard, most):
+    """Many levels, many shards, several passes, and more than a million listed keys."""
+    for name, v in (("BITS", bits), ("SHARD_KEYS", shard), ("PASS_BYTES", most)):
+        monkeypatch.setattr(urlfilter, name, v)
+    universe = spark.range(keys).select(F.concat(F.lit("k"), "id").alias("key"))
+    bad = (F.crc32("key") % 5 == 0) if keys < 10**6 else (F.crc32("key") % 2 == 0)
+    found = urlfilter.cascade(universe, universe.filter(bad).unionByName(spark.createDataFrame([("foreign",), (None,)], "key string")))
+    said, passes = F.lit(False), found.passes()
+    for lo, hi in passes:
+        said = said | found.listed(F.col("key"), lo, hi)
+    assert len(found.levels) > 2 and (len(passes) > 1) == (most < 4 << 20)
+    assert universe.filter(said != bad).count() == 0
+    assert keys < 10**6 or universe.filter(bad).count() > 10**6
+
+
+def test_list_of_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "SHARD_KEYS", 2)
+    monkeypatch.setattr(urlfilter, "PASS_BYTES", 30)
+    pages = spark.range(60).selectExpr("id as page_id", "concat('http://a', id, '.b', id % 7, '.com/x') as url", "'old' as `new block`")
+    listed = spark.createDataFrame([(f"a{i}.b{i % 7}.com",) for i in range(0, 60, 3)] + [("b2.com",)], "key string")
+    got = {r["page_id"]: r for r in urlfilter.filter_urls(pages, [], listed).collect()}
+    assert [got[i]["verdict"] for i in range(60)] == ["block" if i % 3 == 0 or i % 7 == 2 else "allow" for i in range(60)] and got[0]["new block"] == "old"
 
 
 # 5
@@ -265,6 +303,26 @@ def test_decontamination(spark, block):
     ran_empty(spark, lambda e: decontaminate.decontaminate(e, b))
 
 
+def test_longest_match_and_locations_equal_brute_force(spark):
+    r = random.Random(11)
+    stock = "s0 s1 s2 s3 s4 s5 s6 s7 s8 s9"
+    bench = [(str(i), " ".join([r.choice("ab") for _ in range(r.randint(0, 6))] + [stock] + [r.choice("ab") for _ in range(r.randint(0, 12))])) for i in range(60)]
+    made = [(i, " ".join(" ".join([stock] + [r.choice("abc") for _ in range(r.randint(0, 14))]) for _ in range(r.randint(1, 4)))) for i in range(40)]
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(bench, "item_id string, text string"), spans=True).collect()}
+    items = [f" {t} " for _, t in bench]
+    for d, t in made:
+        w = t.split()
+        best, hit = 0, [False] * len(w)
+        for a in range(len(w)):
+            for b in range(a + 10, len(w) + 1):
+                if not any(f" {' '.join(w[a:b])} " in x for x in items):
+                    break
+                best = max(best, b - a)
+                hit[a:b] = [True] * (b - a)
+        h = got[d]["hits"]
+        assert got[d]["longest"] == best and sorted(i for a, b in zip(h[::2], h[1::2], strict=True) for i in range(a, b)) == [i for i, x in enumerate(hit) if x]
+
+
 def test_longest_match(spark):
     b = spark.createDataFrame([("i", "a b c d e f g h i j k l m n")], "item_id string, text string")
     d = spark.createDataFrame([(1, "z a b c d e f g h i j k l q"), (2, "b c d e f g h i j k l m n o")], "doc_id long, text string")
@@ -366,8 +424,8 @@ def test_chat(spark, budget, history):
         want.append((c, len(mine), sha("".join(f"{t[2] or ''}\n{t[3] or ''}\n" for t in mine)), len(loss), sha(loss)))
     windows = chat.format_windows(df, budget, history)
     assert rows(chat.digests(windows), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256") == sorted(want, key=str)
-    over = [w for w in windows.collect() if w["n_tokens"] > budget]
-    assert all(w["n_turns"] == 1 for w in over)
+    for w in windows.collect():
+        assert w["n_tokens"] <= budget or w["n_turns"] == 1 and w["n_repeated"] == 0
     assert chat.digests(chat.format_windows(df.filter("false"))).count() == 0
 
 
@@ -377,6 +435,43 @@ def test_system_turn_and_history_are_repeated(spark):
     assert len(windows) > 2 and all(w["formatted"].startswith("<ctx:system>be brief") for w in windows[1:]) and all(w["n_repeated"] >= 2 for w in windows[1:])
 
 
+def test_windows_stay_within_the_budget_if_the_turn_does(spark):
+    words = lambda n: " ".join(["w"] * (n - 5))
+    for sizes in ([200, 900, 200, 950], [1500, 300, 900, 400, 1000, 60], [90, 90, 90, 700, 340, 100, 1024, 3]):
+        turns = [(1, i, "system" if i == 0 else "user", words(max(6, n))) for i, n in enumerate(sizes)]
+        got = chat.format_windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).orderBy("window").collect()
+        assert sum(w["n_turns"] for w in got) == len(sizes) and [w["first_turn"] for w in got] == [sum(x["n_turns"] for x in got[:k]) for k in range(len(got))]
+        assert all(w["n_tokens"] <= chat.BUDGET or w["n_turns"] == 1 and w["n_repeated"] == 0 and sizes[w["first_turn"]] > chat.BUDGET for w in got), [(w["n_tokens"], w["n_turns"]) for w in got]
+
+
+def test_spans_are_the_longest_that_fit(spark):
+    """Against a plain search: no window could take one more turn with what it repeats."""
+    r = random.Random(4)
+    turns = [(c, t, "system" if t == 0 and c % 2 else r.choice(["user", "assistant"]), " ".join(["w"] * r.randint(0, 40))) for c in range(20) for t in range(r.randint(1, 25))]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    for budget, history in ((100, 30), (60, 60), (46, 0)):
+        windows: dict = {}
+        for w in chat.format_windows(df, budget, history).orderBy("conv_id", "window").collect():
+            windows.setdefault(w["conv_id"], []).append(w)
+        for c, got in windows.items():
+            size = [1 + len(t[3].split()) + 4 for t in turns if t[0] == c]
+            for a, b in zip(got, got[1:], strict=False):
+                assert a["n_tokens"] + size[b["first_turn"]] > budget
+                system = c % 2 == 1
+                repeated = list(chat.read_turns(b["formatted"]))[: b["n_repeated"]]
+                tail = b["n_repeated"] - (1 if system and repeated and repeated[0][1] == "system" else 0)
+                first = b["first_turn"] - tail
+                assert sum(size[first : b["first_turn"]]) <= history
+
+
+def test_tokens_are_counted_by_the_tokenizer(spark):
+    pytest.importorskip("public_tokenizers")
+    turns = spark.createDataFrame([(1, 0, "user", "Hello there, wörld"), (1, 1, "assistant", "")], "conv_id long, turn long, role string, text string")
+    codec = bpe.Codec(open(queries.tokenizer()[0], "rb").read(), queries.tokenizer()[1])
+    want = sum(len(codec.encode(x)) for x in ("Hello there, wörld", "user", "assistant")) + 8
+    assert chat.format_windows(turns, count=bpe.TokenCounter(spark, *queries.tokenizer())).first()["n_tokens"] == want
+
+
 # 8
 
 
@@ -545,6 +640,7 @@ def test_a_generic_line_leaves_every_label(spark):
         return x
 
     made = [(i, f"It is released under the {sample(e)} now" + f" {k}" * (k not in e), label) for i, (label, _, k, e) in enumerate(licenses.rules()) if label != "license-line"]
+    assert len(made) < 900
     made += [(900 + i, f"{v} {x} License.", y) for i, (v, x, y) in enumerate([("released under the", "GNU Lesser General Public", "lgpl"), ("Licensed under the", "ISC", "isc"), ("distributed under the", "BSD", "bsd"), ("Licensed under the", "Mozilla Public", "mpl"), ("Licensed under the", "Eclipse Public", "epl"), ("under a", "Creative Commons", "creative-commons"), ("licensed under the", "Foo Bar", "license-line")])]
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(made, "doc_id long, text string, label string")).collect()}
     assert [(t, l, got[i]["labels"]) for i, t, l in made if l not in got[i]["labels"].split(",")] == []
@@ -552,6 +648,29 @@ def test_a_generic_line_leaves_every_label(spark):
     assert [got[i]["score"] for i, *_ in made if i >= 901] == [0.85, 0.6, 0.65, 0.65, 0.55, 0.2]
 
 
+def test_scan_equals_a_plain_scan(spark):
+    r = random.Random(14)
+    table = licenses.rules()
+    assert len(table) > 200
+    pieces = ["licensed under the", "mit license", "apache license version 2 0", "gnu general public license version 3", "or any later version", "all rights reserved", "spdx license identifier", "bsd 3 clause", "mozilla public license", "creative commons attribution", "share alike 4 0", "copyright 2020 acme", "without warranty", "the", "x", "cc by sa 4 0", "proprietary license", "released under the", "permission"]
+    made = [(i, " ".join(r.choice(pieces) for _ in range(r.randint(1, 12)))) for i in range(150)]
+    got = {x["doc_id"]: x for x in licenses.scan(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    for d, t in made:
+        norm, found = f" {t} ", []
+        for label, priority, keyword, expression in table:
+            if keyword in norm:
+                found += [(-priority, m.start(), -m.end(), label) for m in re.finditer(f"(?<= ){expression}(?= )", norm)]
+        seen, labels, best, n = [], {label for label, phrase in licenses.BASE if f" {phrase} " in norm}, 0, 0
+        for p, a, b, label in sorted(found):
+            if any(x <= a and y >= -b for x, y, _ in seen):
+                continue
+            stands = not any(z and x < -b and y > a for x, y, z in seen)
+            seen.append((a, -b, stands))
+            if stands:
+                labels, best, n = labels | {label}, max(best, -p), n + 1
+        assert (got[d]["labels"], got[d]["n_detections"]) == (",".join(sorted(labels)), n), t
+
+
 def test_every_gate_lets_its_rules_through():
     for label, _, keyword, expression in licenses.rules():
         sure = expression
