@@ -1,8 +1,9 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 Every element is a binary variable, content or not. A factor joins each element to its parent;
-others join it to its tag, to words in its class, id and role, to its link density, its own text and
-its form fields. Sum-product messages pass up and down the tree once and give the exact marginal
+others join it to its tag, to each word of its class, id and role, to its link density, its own text
+and its form fields. The weights of words are learned and bounded, so no word decides by itself, and
+a word never seen says nothing. Sum-product messages pass up and down the tree once and give the exact marginal
 of every element; a block of text is kept when that of its element is above one half. The
 factors are counts with smoothing from labelled pages, which `labelled_pages` writes by rule.
 """
@@ -22,48 +23,47 @@ from metrolith.llm._text import filled, held
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+#: Elements whose content a browser does not show as text.
+RAW = frozenset("script style noscript template textarea iframe title".split())
+INLINE = frozenset("math mi mn mo ms mtext mrow msup msub mfrac msqrt svg g tspan a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul body".split())
 #: An open element of the values ends where one of the key begins, up to the nearest of the bounds.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 BOUNDS = frozenset("ul ol dl table select body html article section div".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
-
-BAD = re.compile(r"\b(?:ad|ads|adv|advert\w*|banner|breadcrumb\w*|comment\w*|reply|replies|consent|cookie\w*|gdpr|disclaimer|foot|footer|head|header|login|masthead|menu\w*|modal|nav\w*|newsletter|notice\w*|alert|outbrain|pager|pagination|popup|promo\w*|related|recommend\w*|rail|search|share|sharing|side|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|tags|teaser|toolbar|topbar|widget\w*|complementary|contentinfo|navigation)\b", re.I)
-GOOD = re.compile(r"\b(?:article|articlebody|body|content|contents|entry|main|page|post|prose|story|text)\b", re.I)
+_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
+_HIDDEN = re.compile(r"\saria-hidden\s*=\s*[\"']?true|\sstyle\s*=\s*(?:\"[^\"]*|'[^']*|\S*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_BARE_HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)", re.I)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("children", "fields", "linked", "names", "own", "parent", "tag", "total", "label")
+    __slots__ = ("fields", "hidden", "label", "linked", "names", "own", "parent", "tag", "total")
 
-    def __init__(self, tag: str, parent: int, names: str = "", label: int = -1):
-        self.tag, self.parent, self.names, self.label = tag, parent, names, label
+    def __init__(self, tag: str, parent: int, names: tuple[str, ...] = (), label: int = -1, hidden: bool = False):
+        self.tag, self.parent, self.names, self.label, self.hidden = tag, parent, names, label, hidden
         self.own = self.total = self.linked = self.fields = 0
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Elements in page order (parents first), and the blocks of text with their element."""
-    nodes, stack = [Node("#", -1)], [0]
+    nodes = [Node("#", -1)]
+    stack = [(0, 0, False)]  # element, nearest block element, whether inside a link
+    open_tags: dict[str, int] = {}
     blocks: list[tuple[int, list[str]]] = []
     open_block = None
 
-    def owner() -> int:
-        for i in reversed(stack):
-            if nodes[i].tag not in INLINE:
-                return i
-        return 0
-
     def text(s: str) -> None:
         nonlocal open_block
         if not s:
             return
         if "&" in s:
             s = html.unescape(s)
-        k = owner()
+        _, k, link = stack[-1]
+        if nodes[stack[-1][0]].hidden:
+            return
         if open_block is None or blocks[open_block][0] != k:
             if not s.strip():
                 return
@@ -72,13 +72,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         blocks[open_block][1].append(s)
         n = len(s.split())
         nodes[k].own += n
-        if any(nodes[i].tag == "a" for i in stack[stack.index(k) :]):
+        if link:
             nodes[k].linked += n
 
     def close_to(depth: int) -> None:
-        nonlocal open_block
+        for i, _, _ in stack[depth:]:
+            open_tags[nodes[i].tag] -= 1
         del stack[depth:]
 
+    def tag_at(depth: int) -> str:
+        return nodes[stack[depth][0]].tag
+
     at, end, size = 0, 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
@@ -98,51 +102,57 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if block:
             open_block = None
         if closing:
-            for d in range(len(stack) - 1, 0, -1):
-                if nodes[stack[d]].tag == tag:
-                    close_to(d)
-                    break
-                if not block and nodes[stack[d]].tag not in INLINE:
-                    break
+            if open_tags.get(tag):
+                for d in range(len(stack) - 1, 0, -1):
+                    if tag_at(d) == tag:
+                        close_to(d)
+                        break
+                    if not block and tag_at(d) not in INLINE:
+                        break
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else (size if tag in ("script", "style", "textarea", "title") else at)
             if tag == "textarea":
-                nodes[owner()].fields += 1
+                nodes[stack[-1][1]].fields += 1
             continue
         if tag in VOID:
             if tag == "input":
-                nodes[owner()].fields += 1
+                nodes[stack[-1][1]].fields += 1
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_tags.get("p"):
             for d in range(len(stack) - 1, 0, -1):
-                if nodes[stack[d]].tag == "p":
+                if tag_at(d) == "p":
                     close_to(d)
                     break
-                if nodes[stack[d]].tag not in INLINE:
+                if tag_at(d) not in INLINE:
                     break
-        for d in range(len(stack) - 1, 0, -1):
-            t = nodes[stack[d]].tag
-            if t in SIBLINGS.get(tag, ()):
-                close_to(d)
-                if tag not in ("tr", "tbody", "tfoot"):
+        if any(open_tags.get(t) for t in SIBLINGS.get(tag, ())):
+            for d in range(len(stack) - 1, 0, -1):
+                t = tag_at(d)
+                if t in SIBLINGS[tag]:
+                    close_to(d)
+                    if tag not in ("tr", "tbody", "tfoot"):
+                        break
+                elif t in BOUNDS:
                     break
-            elif t in BOUNDS:
-                break
-        if tag in ("html", "body") and any(nodes[i].tag == tag for i in stack):
+        if tag in ("html", "body") and open_tags.get(tag):
             continue
         attrs = m[3]
-        names = " ".join(x[1] or x[2] or x[3] for x in _ATTR.findall(attrs)) if attrs and "=" in attrs else ""
-        if attrs and _HIDDEN.search(attrs):
-            names += " advert hidden"
-        node = Node(tag, stack[-1], names.replace("_", " ").replace("-", " "))
+        names = tuple(dict.fromkeys(w.lower() for x in _ATTR.findall(attrs) for w in _WORD.findall(x[1] or x[2] or x[3]))) if attrs and "=" in attrs else ()
+        parent, owner, link = stack[-1]
+        hidden = nodes[parent].hidden
+        if attrs and not hidden and ("hidden" in attrs.lower() or "none" in attrs.lower()):
+            hidden = bool(_HIDDEN.search(attrs) or _BARE_HIDDEN.search(_QUOTED.sub("=x", attrs)))
+        node = Node(tag, parent, names, hidden=hidden)
         if "data-y=" in attrs:
             node.label = int("data-y=1" in attrs)
-        if tag in ("select", "button", "input"):
-            nodes[owner()].fields += 1
+        if tag in ("select", "button"):
+            nodes[owner].fields += 1
         nodes.append(node)
-        stack.append(len(nodes) - 1)
+        k = len(nodes) - 1
+        stack.append((k, k if block else owner, link or tag == "a"))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     for n in nodes:
         n.total = n.own
     for i in range(len(nodes) - 1, 0, -1):
@@ -166,14 +176,17 @@ def features(n: Node) -> tuple[str, ...]:
     density = n.linked / n.total if n.total else -1
     return (
         "tag " + kind,
-        "bad" if n.names and BAD.search(n.names) else "no bad",
-        "good" if n.names and GOOD.search(n.names) else "no good",
+        "named" if n.names else "no name",
         "links " + ("none" if density < 0 else "0" if density == 0 else "few" if density < 0.4 else "many"),
         "own " + ("0" if not n.own else "1" if n.own < 4 else "4" if n.own < 15 else "15"),
         "fields" if n.fields else "no fields",
     )
 
 
+#: Weight that one word of a name, and all of them together, have at most (log odds).
+WORD_WEIGHT, NAME_WEIGHT = 2.5, 4.0
+
+
 _PLAIN = frozenset(("p", "h", "list", "li", "table", "inline"))
 
 
@@ -186,7 +199,7 @@ class Model:
     """log P(feature | label) and log P(label | label of parent, group) by counting with smoothing."""
 
     def __init__(self, pages: list[str]):
-        seen, pair, label = {}, {}, [1.0, 1.0]
+        seen, pair, word, label, named = {}, {}, {}, [1.0, 1.0], [1.0, 1.0]
         for page in pages:
             nodes, _ = parse(page)
             for n in nodes:
@@ -196,10 +209,15 @@ class Model:
                 label[n.label] += 1
                 for f in features(n):
                     seen.setdefault(f, [0.5, 0.5])[n.label] += 1
+                named[n.label] += bool(n.names)
+                for w in n.names:
+                    word.setdefault(w, [0, 0])[n.label] += 1
                 if n.parent >= 0:
                     pair.setdefault((group(n), nodes[n.parent].label), [0.5, 0.5])[n.label] += 1
         self.prior = [math.log(x / sum(label)) for x in label]
         self.unary = {f: tuple(math.log(c / t) for c, t in zip(v, label, strict=True)) for f, v in seen.items()}
+        clip = lambda x: max(-WORD_WEIGHT, min(WORD_WEIGHT, x))
+        self.word = {w: clip(math.log((v[1] + 0.5) / named[1]) - math.log((v[0] + 0.5) / named[0])) for w, v in word.items()}
         self.pair = {p: tuple(math.log(x / sum(v)) for x in v) for p, v in pair.items()}
         for g in (False, True):
             for p in (0, 1):
@@ -217,6 +235,8 @@ class Model:
                 if u:
                     a += u[0]
                     b += u[1]
+            if x.names:
+                b += max(-NAME_WEIGHT, min(NAME_WEIGHT, sum(self.word.get(w, 0.0) for w in x.names)))
             here.append([a, b])
         here[0][0] += self.prior[0]
         here[0][1] += self.prior[1]
@@ -247,7 +267,7 @@ def _plus(a: float, b: float) -> float:
     return max(a, b) + math.log1p(math.exp(-abs(a - b)))
 
 
-def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
+def labelled_pages(count: int = 700, seed: int = 7) -> list[str]:
     """Pages of several layouts with the label of each part in `data-y` (children inherit it)."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(("an", "be", "co", "di", "er", "fo", "in", "ka", "lo", "me", "on", "ra", "st", "ti", "un")) for _ in range(r.randint(1, 4)))
@@ -272,26 +292,41 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
             return "<table>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{words(1, 6)}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>"
         return f"<figure><img src=x><figcaption>{words(2, 10)}</figcaption></figure>"
 
+    pick = lambda x: r.choice(x.split())
+    MENU, TOP = "menu nav navbar navigation topnav breadcrumb breadcrumbs main-menu site-nav mobile-menu nav-links pager pagination tabs toolbar toc", "header site-header masthead branding topbar page-header banner logo global-header"
+    FOOT, SIDE = "footer site-footer colophon copyright legal page-footer footer-links disclaimer", "sidebar rail widget widgets side secondary related related-posts recommended trending popular most-read teaser teasers outbrain side-bar right-column read-next"
+    NOTE, ADVERT = "cookie cookie-notice cookie-banner consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup paywall site-notice privacy-notice", "ad ads advert advertisement adsense ad-slot banner sponsor sponsored promo promotion ad-container"
+    SAY, TALK = "share sharing social share-buttons follow post-tags tags skip skip-link print-link", "comments reader-comments comment-list discussion replies disqus responses comment-section"
+    MAIN = "content post-content entry story main article article-body entry-content post body-text rich-text page-content story-body markdown-body main-content post-body document prose"
+    WITHIN = "header-image post-header entry-header article-header related-work search-results side-by-side comments-policy footnotes footnote section chapter intro lead summary abstract figure caption gallery quote pullquote note table wrapper row column paragraph text block highlight code example references video embed list steps content-block title headline subtitle menu-guide navigation-systems social-studies ad-hoc banner-year share-prices alert-levels"
+
     def bad(cls: str, tag: str = "div") -> str:
         inner = f"<p>{words(2, 40)}.</p>" if r.random() < 0.5 else words(1, 25)
         return f'<{tag} data-y=0 class="{cls}">{inner}</{tag}>'
 
     def comments() -> str:
-        one = lambda: f'<{r.choice(("div", "li", "article"))} class="{r.choice(("comment", "reply"))}"><p>{words(1, 50)}.</p></div>'.replace("</div>", "")
-        return f'<{(t := r.choice(("section", "div")))} data-y=0 id="comments" class="{r.choice(("comments", "reader-comments", "comment-list"))}"><h3>{words(1, 2)}</h3>' + "".join(f'<div class="comment"><p>{words(1, 50)}.</p></div>' if r.random() < 0.7 else one().replace("<article", "<div").replace("<li", "<div") + "</div>" for _ in range(r.randint(1, 5))) + f"</{t}>"
+        one = lambda: f'<{(t := pick("div li article"))} class="{pick("comment reply comment-body response")}"><p>{words(1, 50)}.</p></{t}>'
+        return f'<{(t := pick("section div"))} data-y=0 id="{pick("comments responses discussion")}" class="{pick(TALK)}"><h3>{words(1, 2)}</h3>' + "".join(one() for _ in range(r.randint(1, 5))) + f"</{t}>"
 
     def form() -> str:
-        return f'<form data-y=0 action="/x"><label>{words(1, 4)}</label><input name=q>' + (f"<p>{words(2, 15)}</p>" if r.random() < 0.4 else "") + f"<button>{words(1, 2)}</button></form>"
+        name = f' class="{pick("search search-form login contact-form signup-form")}"' if r.random() < 0.5 else ""
+        return f"<form data-y=0 action=/x{name}><label>{words(1, 4)}</label><input name=q>" + (f"<p>{words(2, 15)}</p>" if r.random() < 0.4 else "") + f"<button>{words(1, 2)}</button></form>"
+
+    def within(body: str) -> str:
+        """A part of the article with a name of its own, which may hold words that elsewhere name other parts."""
+        return f'<{(t := pick("div div section figure"))} {pick("class class id")}="{pick(WITHIN)}">{body}</{t}>'
 
     extras = [
         lambda: f"<nav data-y=0><ul>{items(2, 9)}</ul></nav>",
-        lambda: f'<div data-y=0 class="{r.choice(("menu", "navbar", "breadcrumbs"))}">{link()} {link()} {link()}</div>',
-        lambda: f'<header data-y=0 class="{r.choice(("", "site-header"))}"><h1>{words(1, 4)}</h1><p>{words(1, 9)}</p></header>',
-        lambda: f'<aside data-y=0 class="{r.choice(("", "sidebar", "related"))}"><h3>{words(1, 3)}</h3>' + (f"<ul>{items(1, 6)}</ul>" if r.random() < 0.5 else f"<p>{words(3, 50)}.</p>") + "</aside>",
-        lambda: bad(r.choice(("ad", "ads", "advert", "advertisement", "banner", "sponsored", "promo"))),
-        lambda: bad(r.choice(("cookie-notice", "notice", "cookie-banner", "consent", "alert", "newsletter", "popup"))),
-        lambda: bad(r.choice(("sidebar", "related", "share", "social", "widget"))),
+        lambda: f'<div data-y=0 class="{pick(MENU)}">{link()} {link()} {link()}</div>',
+        lambda: f'<header data-y=0 class="{r.choice(("", pick(TOP)))}"><h1>{words(1, 4)}</h1><p>{words(1, 9)}</p></header>',
+        lambda: f'<aside data-y=0 class="{r.choice(("", pick(SIDE)))}"><h3>{words(1, 3)}</h3>' + (f"<ul>{items(1, 6)}</ul>" if r.random() < 0.5 else f"<p>{words(3, 50)}.</p>") + "</aside>",
+        lambda: bad(pick(ADVERT)),
+        lambda: bad(pick(NOTE)),
+        lambda: bad(pick(SIDE)) if r.random() < 0.5 else bad(pick(SAY)),
         form,
+        lambda: f'<div data-y=0 {pick("class id")}="{pick(TOP)}"><a href=/>{words(1, 3)}</a> {words(1, 8)}</div>',
+        lambda: f'<div data-y=0 {pick("class id")}="{pick(SIDE)}"><h3>{words(1, 3)}</h3><ul>{items(2, 6)}</ul></div>',
         lambda: "<!-- x -->",
         lambda: "<script>var a=1;</script>",
     ]
@@ -300,23 +335,29 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
         h = f"<h1>{words(1, 12)}</h1>"
         if r.random() < 0.15:
             h = f"<header>{h}</header>"
-        body = h * (r.random() < 0.85) + "".join(prose() for _ in range(r.choice((1, 1, 2, 2, 4, 8, 15))))
+        if r.random() < 0.2:
+            h = within(h + (f"<p>{words(2, 12)}</p>" if r.random() < 0.5 else ""))
+        pieces = [prose() for _ in range(r.choice((1, 1, 2, 2, 4, 8, 15)))]
+        pieces = [within(x) if r.random() < 0.15 and x.endswith(">") else x for x in pieces]
+        body = h * (r.random() < 0.85) + "".join(pieces)
         for _ in range(r.choice((0, 0, 0, 1, 2))):  # what stands amid the article
             cut = body.rfind("<p", 0, r.randint(1, max(2, len(body))))
             if cut > 0:
                 body = body[:cut] + r.choice([extras[4], extras[5], extras[7], extras[3]])() + body[cut:]
         kind = r.random()
         if kind < 0.55:
-            main = f"<article data-y=1>{body}</article>"
+            name = f' class="{pick(MAIN + " " + WITHIN)}"' if r.random() < 0.4 else ""
+            main = f"<article data-y=1{name}>{body}</article>"
         elif kind < 0.75:
             main = f"<main data-y=1><article>{body}</article></main>"
         elif kind < 0.9:
-            main = f'<div data-y=1 class="{r.choice(("content", "post-content", "entry", "story", "main"))}">{body}</div>'
+            main = f'<div data-y=1 {pick("class class id")}="{pick(MAIN)}">{body}</div>'
         else:
             main = f"<main data-y=1>{body}</main>"
         before = "".join(r.choice(extras)() for _ in range(r.randint(0, 5)))
         after = "".join(r.choice(extras)() for _ in range(r.randint(0, 3))) + (comments() if r.random() < 0.35 else "")
-        foot = f"<footer data-y=0>{r.choice(('', '&copy; '))}{words(1, 12)} {link() if r.random() < 0.4 else ''}</footer>" if r.random() < 0.85 else ""
+        named = f' class="{pick(FOOT)}"' if r.random() < 0.4 else ""
+        foot = f"<{(t := pick('footer footer footer div') if named else 'footer')} data-y=0{named}>{r.choice(('', '&copy; '))}{words(1, 12)} {link() if r.random() < 0.4 else ''}</{t}>" if r.random() < 0.85 else ""
         if r.random() < 0.2:
             main = f'<div class="{r.choice(("wrapper", "container", "page"))}">{before}{main}{after}</div>'
             before = after = ""
@@ -335,7 +376,8 @@ def extract(pages: DataFrame, column: str = "html", labelled: list[str] | None =
 
     `labelled` pages mark content by a `data-y` attribute of 1 and the rest by 0; the default is
     `labelled_pages()`. References are decoded, white space within a block becomes one space, blocks are
-    joined by one newline in page order. Unclosed and cut tags are borne as browsers do.
+    joined by one newline in page order. Unclosed and cut tags are borne as browsers do. What a browser
+    does not show (hidden elements, noscript, iframe, template, title) is no text; math, object and svg are.
 
     A null or empty page, or one without content, has an empty text. Rows are handled in place, one
     by one; an empty table gives no rows and an older column of an added name is replaced.
