@@ -16,7 +16,7 @@ def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """Precision and recall at each distinct score, from counts by score."""
     c = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.count(F.lit(1)).alias("n"))
     total = c.agg(F.sum("p").alias("t")).first()["t"] or 0.0
-    c = table.prefix_sum(table.prefix_sum(c.withColumn("down", -F.col("threshold")), "down", "p", "hit"), "down", "n", "all")
+    c = table.prefix_sums(c.withColumn("down", -F.col("threshold")), "down", {"p": "hit", "n": "all"})
     return c.select("threshold", (F.col("hit") / F.col("all")).alias("precision"), (F.col("hit") / F.lit(float(total) or None)).alias("recall"))
 
 
@@ -41,9 +41,15 @@ def conformal(df: DataFrame, residual: str, alpha: float = 0.1) -> float:
 
 def stratified_split(df: DataFrame, label: str, part: float, *key: str, seed: int = 0) -> DataFrame:
     """A column `test`: in each class the given part of the rows, those of least hash."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), *key), *key)
-    size = F.count(F.lit(1)).over(Window.partitionBy(label))
-    return df.withColumn("test", F.row_number().over(w) <= F.round(size * part))
+    # by class and cell of the hash: no task holds a class
+    rows = df.withColumn("__h", F.xxhash64(F.lit(seed), *key)).withColumn("__cell", F.shiftright(F.col("__h"), 52))
+    cells = rows.groupBy(label, "__cell").agg(F.count(F.lit(1)).alias("__n"))  # 4096 a class at most
+    w = Window.partitionBy(label)
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select(F.col(label).alias("__label"), F.col("__cell").alias("__c"), (F.round(F.sum("__n").over(w) * part) - before).alias("__left"))
+    joined = rows.join(cells, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__cell") == F.col("__c")))
+    place = F.row_number().over(Window.partitionBy(label, "__cell").orderBy("__h", *key))
+    return joined.withColumn("test", place <= F.col("__left")).drop("__h", "__cell", "__label", "__c", "__left")
 
 
 def quantile_normalize(df: DataFrame, x: str) -> DataFrame:

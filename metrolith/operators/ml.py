@@ -32,19 +32,21 @@ def classification_scores(df: DataFrame, actual: str, predicted: str) -> DataFra
 
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """threshold, fpr, tpr at every distinct score: counts by score, then a prefix sum over distinct scores."""
-    from metrolith.operators.table import prefix_sum
+    from metrolith.operators.table import prefix_sums
 
     c = df.groupBy(score).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.sum((1 - F.col(label)).cast("bigint")).alias("q")).withColumn("__o", -F.col(score))
     total = c.agg(F.sum("p").alias("P"), F.sum("q").alias("Q")).first()
-    out = prefix_sum(prefix_sum(c, "__o", "p", "tp"), "__o", "q", "fp")
+    out = prefix_sums(c, "__o", {"p": "tp", "q": "fp"})
     return out.select(F.col(score).alias("threshold"), (F.col("fp") / F.lit(max(1, total["Q"] or 0))).alias("fpr"), (F.col("tp") / F.lit(max(1, total["P"] or 0))).alias("tpr"))
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve by trapezoids."""
-    w = Window.orderBy("fpr", "tpr")  # distinct scores only
-    roc = roc_curve(df, label, score).withColumns({"x0": F.coalesce(F.lag("fpr").over(w), F.lit(0.0)), "y0": F.coalesce(F.lag("tpr").over(w), F.lit(0.0))})
-    return roc.agg(F.sum((F.col("fpr") - F.col("x0")) * (F.col("tpr") + F.col("y0")) / 2).alias("auc"))
+    """Area under the ROC curve by trapezoids: a sum over distinct scores, once the counts above each are known."""
+    from metrolith.operators.table import prefix_sums
+
+    c = df.groupBy((-F.col(score)).alias("o")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.sum(1 - F.col(label).cast("double")).alias("q"))
+    out = prefix_sums(c, "o", {"p": "tp"})
+    return out.agg((F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2)) / F.nullif(F.sum("p") * F.sum("q"), F.lit(0.0))).alias("auc"))
 
 
 def scaler(df: DataFrame, names: list[str], kind: str = "standard") -> DataFrame:
@@ -125,8 +127,8 @@ def naive_bayes(df: DataFrame, x: list[str], label: str) -> DataFrame:
 
 
 def kmeans(df: DataFrame, x: list[str], k: int, iterations: int = 20, seed: int = 0) -> np.ndarray:
-    """Lloyd's steps as aggregates; starts from the k rows of least hash. k centres are all that reaches the driver."""
-    start = df.select(*x).orderBy(F.xxhash64(F.lit(seed), *x)).limit(k).collect()
+    """Lloyd's steps as aggregates; starts from the k distinct rows of least hash. k centres are all that reaches the driver."""
+    start = df.select(*x).distinct().orderBy(F.xxhash64(F.lit(seed), *x)).limit(k).collect()
     centres = np.array([[float(v) for v in r] for r in start])
     for _ in range(iterations):
         rows = nearest_centre(df, x, centres).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in x]).collect()
@@ -167,9 +169,13 @@ def knn(queries: DataFrame, data: DataFrame, k: int, vector: str = "embedding",
                 if not b.num_rows:
                     continue
                 mine = np.asarray(b.column(0))
-                v = np.array(b.column(1).to_pylist(), np.float64)
+                order = np.argsort(mine, kind="stable")  # of equal distances the least ids come first
+                mine, v = mine[order], np.array(b.column(1).to_pylist(), np.float64)[order]
                 d = ((q**2).sum(1)[:, None] - 2 * q @ v.T + (v**2).sum(1)[None, :]).clip(0)
-                top = np.argsort(d, 1, kind="stable")[:, :k]
+                best = min(k, len(mine))
+                far = np.partition(d, best - 1, 1)[:, best - 1]
+                near = [np.flatnonzero(row <= x) for row, x in zip(d, far, strict=True)]
+                top = np.stack([n[np.argsort(row[n], kind="stable")[:best]] for n, row in zip(near, d, strict=True)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top.shape[1])), pa.array(mine[top].reshape(-1)), pa.array(np.sqrt(np.take_along_axis(d, top, 1)).reshape(-1))], names=["q", "id", "dist"])
 
         return data.select(F.col(id_).cast("bigint"), vector).mapInArrow(run, "q bigint, id bigint, dist double")
@@ -188,12 +194,15 @@ def knn(queries: DataFrame, data: DataFrame, k: int, vector: str = "embedding",
     return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bootstrap(df: DataFrame, value: str, rounds: int = 200, seed: int = 0) -> DataFrame:
-    """Means of Poisson resamples, all in one pass: weight of a row in a round from its own hash."""
+def bootstrap(df: DataFrame, value: str, rounds: int = 200, seed: int = 0, key: tuple[str, ...] = ()) -> DataFrame:
+    """Means of Poisson resamples, all in one pass: weight of a row in a round from the hash of its key.
+
+    Without a key rows are told apart by their place, so equal rows still get weights of their own.
+    """
     u = lambda r: F.pmod(F.xxhash64(F.lit(seed), F.lit(r), F.col("__row")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     cdf = np.cumsum([np.exp(-1) / np.prod(range(1, i + 1)) if i else np.exp(-1) for i in range(8)])
     weight = lambda r: sum((F.when(u(r) >= float(c), 1).otherwise(0) for c in cdf), F.lit(0))
-    rows = df.withColumn("__row", F.xxhash64(*df.columns))
+    rows = df.withColumn("__row", F.xxhash64(*key) if key else F.xxhash64(F.monotonically_increasing_id()))
     one = rows.agg(*[(F.sum(F.col(value) * weight(r)) / F.sum(weight(r))).alias(f"m{r}") for r in range(rounds)])
     return one.select(F.explode(F.array(*[f"m{r}" for r in range(rounds)])).alias("mean"))
 
@@ -220,3 +229,65 @@ def spark_model(df: DataFrame, kind: str, x: list[str], y: str, **options):
     wide = VectorAssembler(inputCols=x, outputCol="features").transform(df)
     model = made(**({"labelCol": y} if y and kind not in ("gmm", "bisecting_kmeans") else {}), **options).fit(wide)
     return model, model.transform(wide)
+
+
+def time_folds(df: DataFrame, order: str, k: int, gap: int = 0) -> DataFrame:
+    """Time-ordered folds: `fold` k trains on all rows before its block and tests on the block, less `gap` rows between.
+
+    Rows of one fold and role are told by columns fold and role (train or test). Row numbers come from a
+    running count over ranges of the order, which must be unique.
+    """
+    from metrolith.operators.table import prefix_sum
+
+    n = df.count()
+    size = n // (k + 1)
+    if not size:
+        raise ValueError("fewer rows than folds")
+    at = prefix_sum(df.withColumn("__one", F.lit(1)), order, "__one", "__at").withColumn("__at", F.col("__at") - 1).drop("__one")
+    out = None
+    for f in range(k):
+        start, end = n - (k - f) * size, n - (k - f - 1) * size
+        role = F.when((F.col("__at") >= start) & (F.col("__at") < end), "test").when(F.col("__at") < start - gap, "train")
+        part = at.withColumns({"fold": F.lit(f), "role": role}).filter("role is not null")
+        out = part if out is None else out.unionByName(part)
+    return out.drop("__at")
+
+
+class Estimator:
+    """fit, predict, score and transform around a fitting and an applying function.
+
+    `fit(df)` gives the fitted state, small and on the driver; `apply(df, state)` adds columns, of which
+    `prediction` is scored against `target`.
+    """
+
+    def __init__(self, fit: Callable, apply: Callable, target: str | None = None, regression: bool = True):
+        self._fit, self._apply, self.target, self.regression, self.state = fit, apply, target, regression, None
+
+    def fit(self, df: DataFrame) -> Estimator:
+        self.state = self._fit(df)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        if self.state is None:
+            raise ValueError("not fitted")
+        return self._apply(df, self.state)
+
+    predict = transform
+
+    def score(self, df: DataFrame) -> float:
+        """R squared of a regression, else the share of right predictions."""
+        out, y, p = self.predict(df), F.col(self.target), F.col("prediction")
+        if not self.regression:
+            return float(out.agg(F.avg((y == p).cast("double")).alias("s")).first()["s"])
+        return float(out.agg((1 - F.sum((y - p) ** 2) / (F.var_pop(y) * F.count(y))).alias("s")).first()["s"])
+
+
+def linear_estimator(x: list[str], y: str) -> Estimator:
+    def apply(df: DataFrame, coef) -> DataFrame:
+        return df.withColumn("prediction", sum((F.lit(float(b)) * F.col(c) for b, c in zip(coef[1:], x, strict=True)), F.lit(float(coef[0]))))
+
+    return Estimator(lambda df: ols(df, x, y), apply, y)
+
+
+def centre_estimator(x: list[str], k: int) -> Estimator:
+    return Estimator(lambda df: kmeans(df, x, k), lambda df, c: nearest_centre(df, x, c).withColumn("prediction", F.col("cluster")), regression=False)

@@ -201,17 +201,32 @@ def outliers(df: DataFrame, key: tuple[str, ...], x: str, method: str = "zscore"
         far = (threshold or 1.5) * (F.col("__s") - F.col("__m"))
         flag = (v < F.col("__m") - far) | (v > F.col("__s") + far)
     elif method == "modified_zscore":
-        stats = df.groupBy(*key).agg(F.array_sort(F.collect_list(v)).alias("__a")).withColumn("__m", F.get("__a", (F.size("__a") / 2).cast("int")))
-        dev = F.array_sort(F.transform("__a", lambda a: F.abs(a - F.col("__m"))))
-        mad = F.get(dev, (F.size(dev) / 2).cast("int"))
-        mean = F.aggregate(dev, F.lit(0.0), lambda a, b: a + b) / F.greatest(F.size(dev), F.lit(1))
-        stats = stats.select(*key, "__m", F.when(mad > 0, mad / 0.6745).otherwise(mean * 1.253314).alias("__s"))
+        upper = lambda c: F.expr(f"percentile_disc(0.5) within group (order by {c} desc)")  # noqa: E731  of an even number the upper middle
+        middle = df.withColumn("__v", v.cast("double")).groupBy(*key).agg(upper("__v").alias("__m"))
+        far = df.join(middle, list(key)).withColumn("__d", F.abs(v - F.col("__m"))).groupBy(*key).agg(upper("__d").alias("__mad"), F.avg("__d").alias("__mean"))
+        stats = middle.join(far, list(key)).select(*key, "__m", F.when(F.col("__mad") > 0, F.col("__mad") / 0.6745).otherwise(F.col("__mean") * 1.253314).alias("__s"))
         flag = (F.col("__s") > 0) & (F.abs(v - F.col("__m")) > (threshold or 3.5) * F.col("__s"))
     else:
         raise ValueError(f"no method {method}")
     return df.join(stats, list(key)).withColumn("outlier", F.coalesce(flag, F.lit(False))).drop("__m", "__s")
 
 
+def remove_outliers(df: DataFrame, key: tuple[str, ...], x: str, method: str = "zscore", threshold: float | None = None) -> DataFrame:
+    """Without the rows that `outliers` flags."""
+    return outliers(df, key, x, method, threshold).filter("not outlier").drop("outlier")
+
+
+def replace_outliers(df: DataFrame, s: Series, x: str, method: str = "zscore", threshold: float | None = None, fill: str = "linear", value: float | None = None) -> DataFrame:
+    """Flagged values are taken as missing and filled from those that are left, as fill_missing does."""
+    bad = outliers(df, s.key, x, method, threshold)
+    return fill_missing(bad.withColumn(x, F.when(~F.col("outlier"), F.col(x))).drop("outlier"), s, x, fill, value)
+
+
+def fifo(df: DataFrame, s: Series, x: str, size: int) -> DataFrame:
+    """Adds `fifo`: the last `size` values, the oldest first, as a queue of that size holds them at each row."""
+    return df.withColumn("fifo", F.collect_list(x).over(s.window.rowsBetween(1 - size, 0)))
+
+
 def acf(df: DataFrame, s: Series, x: str, lags: int) -> DataFrame:
     """Autocorrelation by lag for each key, 1 at lag 0: one window pass, one aggregate."""
     mean = df.groupBy(*s.key).agg(F.avg(x).alias("__m"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from metrolith.operators.ranks import bounds, quantiles, range_of
+
 AGGREGATES = ("mean", "sum", "count", "min", "max", "std", "median", "var", "first", "last")
 
 
@@ -82,12 +84,34 @@ def _aggregate(name: str, c: str) -> Column:
     return found[name]
 
 
-def group_by_agg(df: DataFrame, key: str, specs: list[tuple[str, str]]) -> DataFrame:
-    """One pass of (column, aggregate) pairs by key; the key is returned as text. std is the population's, NaN never wins min or max."""
+def group_by_agg(df: DataFrame, key: str, specs: list[tuple[str, str]], pos: str | None = None) -> DataFrame:
+    """One pass of (column, aggregate) pairs by key; the key is returned as text. std is the population's, NaN never wins min or max.
+
+    With `pos`, a column of row positions, groups come in the order they are first seen.
+    """
     if not specs:
         raise ValueError("no aggregates")
     _need(df, key, *[c for c, _ in specs])
-    return df.groupBy(F.col(key).cast("string").alias(key)).agg(*[_aggregate(a, c).alias(f"{a}_{c}") for c, a in specs])
+    aggs = [_aggregate(a, c).alias(f"{a}_{c}") for c, a in specs]
+    if pos is None:
+        return df.groupBy(F.col(key).cast("string").alias(key)).agg(*aggs)
+    return df.groupBy(F.col(key).cast("string").alias(key)).agg(*aggs, F.min(pos).alias("__first")).orderBy("__first").drop("__first")
+
+
+def literal(spark, **columns: list) -> DataFrame:
+    """A table from columns of one length; a shorter one is an error."""
+    import pyarrow as pa
+
+    if len({len(v) for v in columns.values()}) > 1:
+        raise ValueError("columns differ in length")
+    return spark.createDataFrame(pa.table({k: pa.array(v) for k, v in columns.items()}))
+
+
+def dict_get(df: DataFrame, key: str, entries: dict, default, name: str) -> DataFrame:
+    """Adds the entry of a dictionary for each key, or the default: a join with the entries, which Spark sizes."""
+    kind = df.schema[key].dataType.simpleString()
+    made = df.sparkSession.createDataFrame([(k, v) for k, v in entries.items() if k is not None]).toDF("__k", "__v").select(F.col("__k").cast(kind), "__v")
+    return df.join(made, F.col(key) == F.col("__k"), "left").withColumn(name, F.coalesce("__v", F.lit(default))).drop("__k", "__v")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -95,13 +119,13 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def describe(df: DataFrame, *names: str) -> DataFrame:
-    """One row per column: count, mean, std (N - 1), min, quartiles, max; a single aggregate."""
+    """One row per column: count, mean, std (N - 1), min, quartiles, max. Quartiles are exact, by `ranks.quantiles`."""
     names = names or tuple(numeric_columns(df))
-    stats = {"count": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0)), "min": lambda c: F.min(c).cast("double"), "q": lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))), "max": lambda c: F.max(c).cast("double")}
-    one = df.agg(*[f(F.col(c)).alias(f"{c}\x00{s}") for c in names for s, f in stats.items()])
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}\x00{s}`").alias(s) for s in stats]) for c in names])).alias("r")
-    quartiles = [F.get("r.q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))]  # of one sorted map a column
-    return one.select(rows).select("r.column", "r.count", "r.mean", "r.std", "r.min", *quartiles, "r.max")
+    stats = {"count": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0)), "min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double")}
+    one = df.agg(*[f(F.col(c)).alias(f"{c}\x00{s}") for c in names for s, f in stats.items()]).first()
+    q = quantiles(df, list(names), [0.25, 0.5, 0.75])
+    rows = [(c, *(one[f"{c}\x00{s}"] for s in ("count", "mean", "std", "min")), *q[c], one[f"{c}\x00max"]) for c in names]
+    return df.sparkSession.createDataFrame(rows, "column string, count double, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
 
 
 def corr_matrix(df: DataFrame, *names: str) -> DataFrame:
@@ -145,13 +169,24 @@ def ecdf(df: DataFrame, c: str) -> DataFrame:
     return prefix_sum(counts, c, "n", "below").select(c, (F.col("below") / F.lit(max(1, total))).alias("p"))
 
 
+def prefix_sums(df: DataFrame, order: str, values: dict[str, str], parts: int | None = None) -> DataFrame:
+    """Global running sums (value column -> new column) without one global window: ranges, sums of ranges, then sums within each.
+
+    The bounds of the ranges are fixed first, so the sums of ranges and the rows always agree.
+    """
+    cuts = bounds(df, order, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.withColumn("__part", range_of(df, order, cuts))
+    sums = ranged.groupBy("__part").agg(*[F.sum(v).alias(f"__s{i}") for i, v in enumerate(values)])  # one row a range
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__part", *[F.coalesce(F.sum(f"__s{i}").over(before), F.lit(0)).alias(f"__b{i}") for i, _ in enumerate(values)])
+    w = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.select("*", *[F.sum(v).over(w).alias(f"__in{i}") for i, v in enumerate(values)]).join(F.broadcast(offsets), "__part")
+    return out.select(*[f"`{c}`" for c in df.columns if c not in values.values()], *[(F.col(f"__in{i}") + F.col(f"__b{i}")).alias(n) for i, n in enumerate(values.values())])
+
+
 def prefix_sum(df: DataFrame, order: str, value: str, name: str, parts: int | None = None) -> DataFrame:
-    """A global running sum without one global window: ranges, sums of ranges, then sums within each."""
-    ranged = df.repartitionByRange(parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), order).withColumn("__part", F.spark_partition_id())
-    sums = ranged.groupBy("__part").agg(F.sum(value).alias("__s"))  # one row a partition
-    offsets = sums.select("__part", (F.sum("__s").over(Window.orderBy("__part")) - F.col("__s")).alias("__before"))
-    within = F.sum(value).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("__in", within).join(F.broadcast(offsets), "__part").withColumn(name, F.col("__in") + F.col("__before")).drop("__part", "__in", "__before")
+    """One running sum, as prefix_sums."""
+    return prefix_sums(df, order, {value: name}, parts)
 
 
 def periodic_profile(df: DataFrame, seconds: Column, value: str, period: float, bins: int, agg: str = "mean") -> DataFrame:

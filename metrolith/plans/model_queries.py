@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
 from metrolith.catalog import register
@@ -55,11 +52,6 @@ def _(df):
     return rounded(ml.auc(_scored(df), "y", "s"), 8)
 
 
-@query("ml_roc_curve", "labels")
-def _(df):
-    return ml.roc_curve(_scored(df), "y", "s")
-
-
 @query("ml_scaler_standard", "customer", "select c_custkey, round((c_acctbal - avg(c_acctbal) over ()) / stddev_samp(c_acctbal) over (), 6) as c_acctbal from customer")
 def _(df):
     return rounded(ml.scaler(df, ["c_acctbal"]).select("c_custkey", "c_acctbal"), 6)
@@ -129,7 +121,7 @@ def _(df):
 
 @query("ml_bootstrap", "customer")
 def _(df):
-    return ml.bootstrap(df.select("c_custkey", "c_acctbal"), "c_acctbal", 20)
+    return ml.bootstrap(df.select("c_custkey", "c_acctbal"), "c_acctbal", 20, key=("c_custkey",))
 
 
 @query("ml_decision_tree", "lineitem")
@@ -188,15 +180,10 @@ def _stream(spark, d):
     return streams.read_files(spark, f"{d}/events.parquet*", df.schema)
 
 
-def _shared(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream")
-    return f"{base}/stream-{uuid4().hex}"
-
-
 @register("stream_tumbling", "select event_type, time_bucket(interval 1 day, ts) as day, count(*) as n from events group by 1, 2")
 def _(spark, d):
     out = streams.tumbling(_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp_ntz").cast("timestamp")), "ts", "1 day", "0 seconds", ["event_type"], F.count(F.lit(1)).alias("n"))
-    got = streams.available_now(out, f"t{uuid4().hex}", "complete", _shared(spark))
+    got = streams.available_now(out, "complete")
     return got.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
 
 
@@ -204,14 +191,14 @@ def _(spark, d):
 def _(spark, d):
     src = _stream(spark, d).select("user_id", "event_id", "value")
     out = streams.stateful(src, "user_id", ["event_id"], streams.exponential_step(0.25, "user_id", "value", "event_id"), (0.0, 0), "y double, n bigint", "user_id bigint, event_id bigint, y double")
-    return streams.available_now(out, f"s{uuid4().hex}", "append", _shared(spark))
+    return streams.available_now(out)
 
 
 @register("csv_round_trip", "select cast(p_partkey as double) as p_partkey, p_name, p_retailprice from part")
 def _(spark, d):
     from metrolith.sources import files
 
-    at = _shared(spark)
+    at = streams.shared_folder(spark)
     files.write_csv(read(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"), at)
     return files.read_csv(spark, at)
 
@@ -249,3 +236,24 @@ def _(df):
     steps = df.select(F.col("event_type").alias("a"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("b")).filter("b is not null")
     counts = steps.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("p", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("a")), 8))
+
+
+@query("ml_roc_curve", "labels", f"""
+    with c as (select s, sum(y) as p, sum(1 - y) as q from {_SCORED} group by 1)
+    select round(s, 8) as threshold, round(sum(q) over w / (select sum(q) from c), 8) as fpr, round(sum(p) over w / (select sum(p) from c), 8) as tpr from c window w as (order by s desc)""")
+def _(df):
+    s = df.select(F.col("quality").alias("y"), ((F.col("doc_id") * 7919 % 101) / 101.0 + F.col("quality") * 0.3).alias("s"))
+    return rounded(ml.roc_curve(s, "y", "s"), 8)
+
+
+@query("ml_time_folds", "events", "with n as (select *, row_number() over (order by event_id) - 1 as k, count(*) over () as n from events) select f.f as fold, case when k < n - (4 - f.f) * (n // 5) - 7 then 'train' else 'test' end as role, count(*) as rows, sum(event_id)::bigint as ids from n, (select unnest([0, 1, 2, 3]) as f) f where k < n - (4 - f.f) * (n // 5) - 7 or (k >= n - (4 - f.f) * (n // 5) and k < n - (3 - f.f) * (n // 5)) group by 1, 2")
+def _(df):
+    out = ml.time_folds(df.select("event_id", "value"), "event_id", 4, gap=7)
+    return out.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("rows"), F.sum("event_id").alias("ids"))
+
+
+@query("ml_estimator", "lineitem", "select round(regr_intercept(l_extendedprice, l_quantity) + regr_slope(l_extendedprice, l_quantity) * l_quantity, 3) as prediction, count(*) as n, (select round(regr_r2(l_extendedprice, l_quantity), 6) from lineitem) as score from lineitem a, (select 1) group by l_quantity".replace("regr_intercept(l_extendedprice, l_quantity) + regr_slope(l_extendedprice, l_quantity) * l_quantity", "(select regr_intercept(l_extendedprice, l_quantity) from lineitem) + (select regr_slope(l_extendedprice, l_quantity) from lineitem) * l_quantity"))
+def _(df):
+    m = ml.linear_estimator(["l_quantity"], "l_extendedprice").fit(df)
+    out = m.predict(df).groupBy("l_quantity").agg(F.round(F.first("prediction"), 3).alias("prediction"), F.count(F.lit(1)).alias("n"))
+    return out.select("prediction", "n", F.lit(round(m.score(df), 6)).alias("score"))

@@ -140,3 +140,21 @@ def _(df):
 @query("series_tumbling_windows", "events", "select event_type, time_bucket(interval 1 day, ts) as day, count(*) as n, round(avg(value), 6) as mean from events group by 1, 2")
 def _(df):
     return df.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean")).select("event_type", F.col("w.start").alias("day"), "n", "mean")
+
+
+_Z = "(select *, coalesce(s > 0 and abs(value - m) > 1.5 * s, false) as bad from (select *, avg(value) over (partition by user_id) as m, stddev_samp(value) over (partition by user_id) as s from events))"
+
+
+@query("series_remove_outliers", "events", f"select event_id, value from {_Z} where not bad")
+def _(df):
+    return S.remove_outliers(df, ("user_id",), "value", "zscore", 1.5).select("event_id", "value")
+
+
+@query("series_replace_outliers", "events", f"select event_id, round(coalesce(last_value(case when not bad then value end ignore nulls) over ({_W} rows between unbounded preceding and current row)), 6) as value from {_Z}")
+def _(df):
+    return rounded(S.replace_outliers(df, ONE, "value", "zscore", 1.5, "previous").select("event_id", "value"), 6)
+
+
+@query("series_fifo", "events", f"select event_id, list(value) over ({_W} rows between 3 preceding and current row) as fifo from events")
+def _(df):
+    return S.fifo(df, ONE, "value", 4).select("event_id", "fifo")

@@ -291,3 +291,24 @@ def _(spark, d):
 @register("set_except", "select n_nationkey as k from nation except select s_nationkey from supplier where s_acctbal > 5000")
 def _(spark, d):
     return read(spark, d, "nation").select(F.col("n_nationkey").alias("k")).subtract(read(spark, d, "supplier").filter("s_acctbal > 5000").select("s_nationkey"))
+
+
+@query("table_lookup_default", "nation", "select n_name, case n_regionkey when 1 then 'west' when 2 then 'east' else 'other' end as side from nation")
+def _(df):
+    return T.dict_get(df, "n_regionkey", {1: "west", 2: "east", 77: "none"}, "other", "side").select("n_name", "side")
+
+
+@query("table_group_first_seen", "orders", "select o_orderpriority, round(sum(o_totalprice), 2) as sum_o_totalprice from orders group by 1 order by min(o_orderkey)")
+def _(df):
+    return rounded(T.group_by_agg(df, "o_orderpriority", [("o_totalprice", "sum")], "o_orderkey"), 2)
+
+
+@register("table_literal", "select * from (values (1, 'a'), (2, 'b'), (3, null)) t(k, v)")
+def _(spark, d):
+    return T.literal(spark, k=[1, 2, 3], v=["a", "b", None]).select(F.col("k").cast("int").alias("k"), "v")
+
+
+@query("table_zip", "customer", "select c_custkey, list_zip(string_split(c_name, '#'), string_split(c_mktsegment, 'I')) as pairs from customer")
+def _(df):
+    pairs = F.arrays_zip(F.split("c_name", "#", -1).alias("a"), F.split("c_mktsegment", "I", -1).alias("b"))
+    return df.select("c_custkey", pairs.alias("pairs"))

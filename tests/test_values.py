@@ -100,6 +100,63 @@ def test_prefix_sum_over_many_partitions(spark):
     assert [r["s"] for r in out] == np.cumsum(range(1000)).tolist()
 
 
+def test_prefix_sum_of_a_wide_table_over_many_partitions(spark):
+    """Columns that the sum does not need are pruned from one use of the ranges only; the totals agree all the same."""
+    df = spark.range(200_000).selectExpr("id", "pmod(hash(id), 1000003) * 200000L + id as o", "id % 7 as v", "cast(id as string) as w").repartition(9)
+    out = T.prefix_sum(df, "o", "v", "s", 16)
+    rows = out.select("id", "o", "v", "s", "w").toPandas().sort_values("o")
+    assert (rows["s"] == rows["v"].cumsum()).all() and len(rows) == 200_000
+    odd = spark.createDataFrame([(None, 2), ("b", 1), ("a", 5), ("a", 1)], "o string, v int")
+    assert sorted(r["s"] for r in T.prefix_sum(odd, "o", "v", "s", 3).collect())[-1] == 9
+
+
+def test_roc_curve_of_many_scores_is_monotone(spark):
+    df = spark.range(100_000).selectExpr("cast(hash(id) % 3 = 0 as int) as y", "id / 100000.0 as s")
+    r = ml.roc_curve(df, "y", "s").toPandas().sort_values("threshold", ascending=False)
+    assert r["fpr"].is_monotonic_increasing and r["tpr"].is_monotonic_increasing and r["tpr"].iloc[-1] == r["fpr"].iloc[-1] == 1
+    pdf = df.toPandas()
+    rank = pdf["s"].rank()
+    n1 = pdf["y"].sum()
+    want = (rank[pdf["y"] == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(pdf) - n1))
+    assert ml.auc(df, "y", "s").first()["auc"] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("few", [100_000, 50])
+def test_quantiles_are_exact(spark, monkeypatch, few):
+    from metrolith.operators import ranks
+
+    monkeypatch.setattr(ranks, "FEW", few)
+    monkeypatch.setattr(ranks, "ACCURACY", 100)
+    g = np.random.default_rng(3)
+    a, b = g.normal(size=20_000), g.integers(0, 4, 20_000)
+    df = spark.createDataFrame([(float(x), int(y), None, float(y) if y else None) for x, y in zip(a, b, strict=True)], "a double, b int, c double, d double")
+    got = ranks.quantiles(df, ["a", "b", "c", "d"], [0.0, 0.25, 0.5, 0.999, 1.0])
+    assert got["a"] == pytest.approx(np.quantile(a, [0, 0.25, 0.5, 0.999, 1]).tolist())
+    assert got["b"] == pytest.approx(np.quantile(b, [0, 0.25, 0.5, 0.999, 1]).tolist()) and got["c"] == [None] * 5
+    assert got["d"] == pytest.approx(np.quantile(b[b > 0], [0, 0.25, 0.5, 0.999, 1]).tolist())
+
+
+def test_ties_and_copies(spark):
+    """Of equal distances the least ids win; copies get weights and centres of their own."""
+    data = spark.createDataFrame([(i, [1.0, 0.0]) for i in (9, 8, 7, 6, 5, 4, 3, 2, 1)], "vec_id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(0, [0.0, 0.0])], "query_id long, embedding array<double>")
+    assert sorted(r["id"] for r in ml.knn(q, data, 3).collect()) == [1, 2, 3]
+    same = spark.createDataFrame([(1.0,)] * 50 + [(0.0,)] * 50, "x double")
+    means = [r["mean"] for r in ml.bootstrap(same, "x", 40).collect()]
+    assert len({round(m, 6) for m in means}) > 10 and abs(np.mean(means) - 0.5) < 0.1
+    c = ml.kmeans(spark.createDataFrame([(1.0, 1.0)] * 20 + [(5.0, 5.0)] * 20, "a double, b double"), ["a", "b"], 2)
+    assert sorted(map(tuple, c.tolist())) == [(1.0, 1.0), (5.0, 5.0)]
+
+
+def test_estimator_protocol(spark):
+    df = spark.range(100).selectExpr("cast(id as double) as x", "3.0 * id + 1 as y")
+    m = ml.linear_estimator(["x"], "y")
+    with pytest.raises(ValueError):
+        m.predict(df)
+    assert m.fit(df).score(df) == pytest.approx(1) and m.predict(df).filter("x = 10").first()["prediction"] == pytest.approx(31)
+    assert ml.centre_estimator(["x"], 2).fit(df).transform(df).select("prediction").distinct().count() == 2
+
+
 def test_text_edges(spark):
     one = spark.range(1)
     get = lambda c: one.select(c.alias("v")).first()["v"]
@@ -187,7 +244,7 @@ def test_state_is_kept_between_batches(spark, tmp_path):
         spark.createDataFrame([(1, k * 2 + j, float(k * 2 + j)) for j in range(2)], "u long, i long, x double").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
     src = streams.read_files(spark, str(tmp_path / "in" / "*"), "u long, i long, x double", per_trigger=1)
     out = streams.stateful(src, "u", ["i"], streams.exponential_step(0.5, "u", "x", "i"), (0.0, 0), "y double, n long", "u long, i long, y double")
-    got = [r["y"] for r in streams.available_now(out, "kept", checkpoint=str(tmp_path / "cp")).orderBy("i").collect()]
+    got = [r["y"] for r in streams.available_now(out, checkpoint=str(tmp_path / "cp"), out=str(tmp_path / "out")).orderBy("i").collect()]
     y, want = 0.0, []
     for x in range(6):
         y = x if x == 0 else y + 0.5 * (x - y)
