@@ -56,6 +56,7 @@ class Block:
         self.order, self.begin = order, np.append(np.flatnonzero(new), len(order))
         self.keys, self.sizes = r[new], z[new]
         self.rest: dict[int, list[bytes]] = {}
+        self.rest_bytes = 0
         self.leads = {}
         for d in np.unique(np.minimum(self.sizes, LEAD)).tolist():
             mine = np.minimum(self.sizes, LEAD) == d
@@ -71,12 +72,13 @@ class Block:
     def after(self, q: int) -> list[bytes]:
         """What follows window q in the items that hold it: distinct, sorted."""
         if q not in self.rest:
-            big = self.words.astype(">u8")
             here = self.at[self.order[self.begin[q] : self.begin[q + 1]]]
             ends = self.item_end[np.searchsorted(self.item_end, here, "right")]
-            if sum(map(len, (x for v in self.rest.values() for x in v))) > _REST_BYTES:
+            if self.rest_bytes > _REST_BYTES:
                 self.rest.clear()
-            self.rest[q] = sorted({big[a + self.sizes[q] : e].tobytes() for a, e in zip(here.tolist(), ends.tolist(), strict=True)})
+                self.rest_bytes = 0
+            self.rest[q] = sorted({self.words[a + self.sizes[q] : e].astype(">u8").tobytes() for a, e in zip(here.tolist(), ends.tolist(), strict=True)})
+            self.rest_bytes += sum(map(len, self.rest[q]))
         return self.rest[q]
 
     def _rows(self, words, at, size):
@@ -148,15 +150,15 @@ def match(w: Words, block: Block) -> Found:
     lo, hi = _bounds(rows, block.keys[ask], block.sizes[ask])
     hit = hi > lo
     ask, lo, hi = ask[hit], lo[hit], hi[hit]
-    parts = []
+    parts, big = [], w.hash.astype(">u8")  # whose bytes sort as the words do
     for q, a, b in zip(ask.tolist(), lo.tolist(), hi.tolist(), strict=True):
         place, size = at[a:b], block.sizes[q]
         place = place[place + size <= last[place]]
-        parts.append((place, np.full(len(place), size), np.full(len(place), q), _longest(w.hash, place, last[place], block, q)))
+        parts.append((place, np.full(len(place), size), np.full(len(place), q), _longest(big, place, last[place], block, q)))
     return Found(parts)
 
 
-def _longest(h, p, last, block: Block, q: int) -> np.ndarray:
+def _longest(big, p, last, block: Block, q: int) -> np.ndarray:
     """How far the text at each place of window q goes on as an item does.
 
     What follows the window in the items is a sorted list; what follows a place agrees longest with one
@@ -166,7 +168,6 @@ def _longest(h, p, last, block: Block, q: int) -> np.ndarray:
     most, out = max(map(len, after)) // 8, np.full(len(p), size, np.int64)
     if not most:
         return out
-    big = h.astype(">u8")
     for k, (a, end) in enumerate(zip(p.tolist(), last.tolist(), strict=True)):
         mine = big[a + size : min(end, a + size + most)].tobytes()
         i = bisect_left(after, mine)
