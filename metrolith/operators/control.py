@@ -331,3 +331,123 @@ def group_delay(b, a, n: int = 512) -> tuple[np.ndarray, np.ndarray]:
 def allpass(c: float) -> tuple[np.ndarray, np.ndarray]:
     """First order: all frequencies at gain 1."""
     return np.array([c, 1.0]), np.array([1.0, c])
+
+
+# elliptic filters
+
+
+def agm(a: float, b: float) -> float:
+    """Arithmetic-geometric mean."""
+    while abs(a - b) > 4e-16 * a:
+        a, b = (a + b) / 2, np.sqrt(a * b)
+    return float(a)
+
+
+def ellipke(m: float) -> tuple[float, float]:
+    """Complete elliptic integrals of the first and second kind of the parameter m = k^2."""
+    if not m <= 1:
+        raise ValueError("the parameter is 1 at most")
+    if m == 1:
+        return float("inf"), 1.0
+    a, b, c, weight, lost = 1.0, np.sqrt(1 - m), m, 0.5, 0.0
+    while weight * abs(c) > 1e-17:
+        lost += weight * c
+        a, b, c, weight = (a + b) / 2, np.sqrt(a * b), ((a - b) / 2) ** 2, weight * 2
+    k = float(np.pi / (2 * a))
+    return k, k * (1 - lost)
+
+
+def _incomplete(angle: float, k: float) -> float:
+    """Elliptic integral of the first kind up to an angle, along the same means."""
+    a, b, n = 1.0, np.sqrt(1 - k * k), 0
+    while abs(a - b) > 1e-15 * a:
+        angle += np.arctan(b / a * np.tan(angle)) + np.pi * np.floor(angle / np.pi + 0.5)
+        a, b, n = (a + b) / 2, np.sqrt(a * b), n + 1
+    return float(angle / (2**n * a))
+
+
+def _cd(u: np.ndarray, k: float) -> np.ndarray:
+    """Jacobi's cd at u quarter periods, by ascent from the cosine of a vanishing modulus."""
+    steps = []
+    while k > 1e-16:
+        k = (k / (1 + np.sqrt(1 - k * k))) ** 2
+        steps.append(k)
+    w = np.cos(np.asarray(u) * np.pi / 2)
+    for v in reversed(steps):
+        w = (1 + v) * w / (1 + v * w * w)
+    return w
+
+
+def ellip(order: int, ripple: float, attenuation: float, cut: float, kind: str = "low") -> System:
+    """Equal ripple in both bands: `ripple` dB up to `cut`, `attenuation` dB beyond a transition as narrow as the order allows."""
+    e, stop = np.sqrt(10 ** (ripple / 10) - 1), np.sqrt(10 ** (attenuation / 10) - 1)
+    if not 0 < e < stop:
+        raise ValueError("the attenuation exceeds the ripple, and the ripple is positive")
+    k1 = e / stop
+    k1c = np.sqrt(1 - k1 * k1)
+    # the modulus of which the nome is the order-th root of that of k1
+    q = np.exp(-np.pi * agm(1, k1c) / agm(1, k1) / order)
+    m = np.arange(1, 40)
+    k = float(4 * np.sqrt(q) * ((1 + np.sum(q ** (m * (m + 1.0)))) / (1 + 2 * np.sum(q ** (m * m * 1.0)))) ** 2)
+    shift = _incomplete(np.arctan(1 / e), k1c) * 2 * agm(1, k1c) / np.pi / order
+    u = (2 * np.arange(1, order // 2 + 1) - 1) / order
+    z = 1j / (k * _cd(u, k))
+    p = 1j * _cd(u - 1j * shift, k)
+    z, p = np.r_[z, z.conj()], np.r_[p, p.conj()]
+    if order % 2:
+        p = np.r_[p, 1j * _cd(1 - 1j * shift, k)]
+    level = 1.0 if order % 2 else 10 ** (-ripple / 20)
+    return _to_digital(z, p, float(level * np.real(np.prod(-p) / np.prod(-z))), cut, kind)
+
+
+def ellipord(wp: float, ws: float, ripple: float, attenuation: float) -> tuple[int, float]:
+    """Least order of an elliptic low-pass, and its cut."""
+    k = np.tan(np.pi * wp / 2) / np.tan(np.pi * ws / 2)
+    k1 = np.sqrt((10 ** (ripple / 10) - 1) / (10 ** (attenuation / 10) - 1))
+    ratio = lambda x: agm(1, x) / agm(1, np.sqrt(1 - x * x))
+    return int(np.ceil(ratio(k1) ** -1 * ratio(k) - 1e-9)), wp
+
+
+def remez(n: int, bands: list[float], desired: list[float], weight: list[float] | None = None, rounds: int = 60) -> np.ndarray:
+    """Equiripple taps of odd length: bands as shares of the Nyquist frequency, one gain and weight a band."""
+    if n % 2 == 0:
+        raise ValueError("the length is odd")
+    r = (n - 1) // 2 + 2
+    per = [max(8, int(np.ceil(32 * r * (hi - lo)))) for lo, hi in zip(bands[::2], bands[1::2], strict=True)]
+    grid = [np.linspace(lo, hi, k) for lo, hi, k in zip(bands[::2], bands[1::2], per, strict=True)]
+    want = np.concatenate([np.full(len(g), d) for g, d in zip(grid, desired, strict=True)])
+    w = np.concatenate([np.full(len(g), x) for g, x in zip(grid, weight or [1.0] * len(grid), strict=True)])
+    edge = np.cumsum(per)[:-1]
+    x = np.cos(np.pi * np.concatenate(grid))
+    at = np.round(np.linspace(0, len(x) - 1, r)).astype(int)
+    sign = (-1.0) ** np.arange(r)
+    for _ in range(rounds):
+        # cosine polynomial and level through the alternation
+        c = np.column_stack([np.cos(np.outer(np.arccos(x[at]), np.arange(r - 1))), sign / w[at]])
+        a = np.linalg.solve(c, want[at])
+        error = w * (want - np.cos(np.outer(np.arccos(x), np.arange(r - 1))) @ a[:-1])
+        size = np.abs(error)
+        # extrema within each band, then one for each run of a sign
+        peaks = []
+        for lo, hi in zip(np.r_[0, edge], np.r_[edge, len(x)], strict=True):
+            s = size[lo:hi]
+            peaks += (lo + np.flatnonzero((s >= np.r_[-1, s[:-1]]) & (s >= np.r_[s[1:], -1]))).tolist()
+        best = []
+        for i in peaks:
+            if best and np.sign(error[best[-1]]) == np.sign(error[i]):
+                best[-1] = i if size[i] > size[best[-1]] else best[-1]
+            else:
+                best.append(i)
+        while len(best) > r:
+            if len(best) == r + 1 or size[best[0]] < size[best[-1]]:
+                best.pop(0 if size[best[0]] < size[best[-1]] else -1)
+            else:
+                best.pop()
+        if len(best) < r:
+            break
+        done = size[best].max() - size[best].min() <= 1e-6 * size[best].max()
+        at = np.array(best)
+        if done:
+            break
+    a = a[:-1]
+    return np.r_[a[:0:-1] / 2, a[0], a[1:] / 2]

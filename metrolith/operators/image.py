@@ -357,3 +357,97 @@ def multi_otsu(df: DataFrame, classes: int = 3) -> DataFrame:
         return cut[::-1]
 
     return _thresholds(df, best)
+
+
+def canny(m: np.ndarray, low: float = 10.0, high: float = 30.0, sigma: float = 1.0) -> np.ndarray:
+    """Edges (1.0): ridges of the smoothed gradient above `high`, and those above `low` that touch such a one."""
+    r = max(1, math.ceil(3 * sigma))
+    g = np.exp(-np.arange(-r, r + 1) ** 2 / (2 * sigma * sigma))
+    p = np.pad(m.astype(float), r, mode="edge")
+    for axis in (0, 1):
+        p = np.apply_along_axis(np.convolve, axis, p, g / g.sum(), "valid")
+    e = np.pad(p, 1, mode="edge")
+    gx = (e[:-2, 2:] + 2 * e[1:-1, 2:] + e[2:, 2:] - e[:-2, :-2] - 2 * e[1:-1, :-2] - e[2:, :-2]) / 4
+    gy = (e[2:, :-2] + 2 * e[2:, 1:-1] + e[2:, 2:] - e[:-2, :-2] - 2 * e[:-2, 1:-1] - e[:-2, 2:]) / 4
+    size = np.hypot(gx, gy)
+    way = np.round(np.arctan2(gy, gx) / (np.pi / 4)).astype(int) % 4
+    z = np.pad(size, 1)
+    ridge = np.zeros(m.shape, bool)
+    for k, (dy, dx) in enumerate([(0, 1), (1, 1), (1, 0), (1, -1)]):
+        ahead = z[1 + dy : z.shape[0] - 1 + dy, 1 + dx : z.shape[1] - 1 + dx]
+        behind = z[1 - dy : z.shape[0] - 1 - dy, 1 - dx : z.shape[1] - 1 - dx]
+        ridge |= (way == k) & (size >= ahead) & (size > behind)
+    weak, edge = ridge & (size >= low), ridge & (size >= high)
+    while True:
+        b = np.pad(edge, 1)
+        near = np.zeros_like(edge)
+        for dy in range(3):
+            for dx in range(3):
+                near |= b[dy : dy + edge.shape[0], dx : dx + edge.shape[1]]
+        new = near & weak
+        if (new == edge).all():
+            return edge.astype(float)
+        edge = new
+
+
+def clahe(m: np.ndarray, tile: int, clip: float = 2.0) -> np.ndarray:
+    """Equalisation by tiles with clipped histograms; a pixel's value lies between the maps of the four tile centres around it."""
+    v = np.clip(np.round(m), 0, 255).astype(int)
+    tops, lefts = range(0, m.shape[0], tile), range(0, m.shape[1], tile)
+    maps, ys, xs = np.empty((len(tops), len(lefts), 256)), [], []
+    for i, y in enumerate(tops):
+        for j, x in enumerate(lefts):
+            part = v[y : y + tile, x : x + tile]
+            n = np.bincount(part.reshape(-1), minlength=256).astype(float)
+            most = max(1.0, clip * part.size / 256)
+            over = np.maximum(n - most, 0).sum()
+            maps[i, j] = np.cumsum(np.minimum(n, most) + over / 256) * 255 / part.size
+            if i == 0:
+                xs.append(x + (part.shape[1] - 1) / 2)
+        ys.append(y + (v[y : y + tile].shape[0] - 1) / 2)
+
+    def between(centres: list[float], n: int):
+        at = np.interp(np.arange(n), centres, np.arange(len(centres))) if len(centres) > 1 else np.zeros(n)
+        low = np.minimum(at.astype(int), max(0, len(centres) - 2))
+        return low, np.minimum(low + 1, len(centres) - 1), at - low
+
+    y0, y1, fy = between(ys, m.shape[0])
+    x0, x1, fx = between(xs, m.shape[1])
+    look = lambda a, b: maps[a[:, None], b[None, :], v]
+    up = look(y0, x0) * (1 - fx) + look(y0, x1) * fx
+    down = look(y1, x0) * (1 - fx) + look(y1, x1) * fx
+    return np.round(up * (1 - fy[:, None]) + down * fy[:, None])
+
+
+def flooded(surface: np.ndarray, markers: np.ndarray) -> np.ndarray:
+    """Basins of the markers (0: none): pixels are taken in the order of their height, then of arrival, by four neighbours."""
+    import heapq
+
+    label = markers.astype(int).copy()
+    heap, count = [], 0
+    for y, x in zip(*np.nonzero(label), strict=True):
+        heap.append((surface[y, x], count, int(y), int(x)))
+        count += 1
+    heapq.heapify(heap)
+    while heap:
+        level, _, y, x = heapq.heappop(heap)
+        for a, b in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
+            if 0 <= a < label.shape[0] and 0 <= b < label.shape[1] and not label[a, b]:
+                label[a, b] = label[y, x]
+                heapq.heappush(heap, (max(level, surface[a, b]), count, a, b))
+                count += 1
+    return label
+
+
+def watershed(df: DataFrame) -> DataFrame:
+    """Pixels (image, y, x, v, marker) with the label of their basin as v; 0 where no flood comes. One image is one task's memory."""
+    kind = df.schema["image"].dataType.simpleString()
+
+    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf["y"].to_numpy(int), pdf["x"].to_numpy(int)
+        surface, marker = np.full((y.max() + 1, x.max() + 1), np.inf), np.zeros((y.max() + 1, x.max() + 1), int)
+        surface[y, x], marker[y, x] = pdf["v"].to_numpy(float), pdf["marker"].to_numpy(int)
+        out = flooded(surface, marker)
+        return pd.DataFrame({"image": [k[0]] * len(y), "y": y, "x": x, "v": out[y, x]})
+
+    return df.select("image", "y", "x", "v", "marker").groupBy("image").applyInPandas(run, f"image {kind}, y bigint, x bigint, v bigint")

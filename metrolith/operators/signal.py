@@ -298,3 +298,54 @@ def cwt(x: np.ndarray, scales: tuple[float, ...] = (1, 2, 4, 8)) -> dict[str, np
         lo = (len(w) - 1) // 2
         out.append(full[lo : lo + len(x)])
     return {"scale": np.repeat(np.array(scales, float), len(x)), "value": np.concatenate(out) if len(x) else np.zeros(0)}
+
+
+def vmd(x: np.ndarray, modes: int = 3, alpha: float = 2000.0, tolerance: float = 1e-7, rounds: int = 500) -> dict[str, np.ndarray]:
+    """Band-limited modes of a series mirrored at both ends, each a Wiener filter around its own centre (cycles a sample)."""
+    n = len(x)
+    half = n // 2
+    f = np.r_[x[:half][::-1], x, x[n - half :][::-1]] if half else x
+    size = len(f)
+    spectrum_ = np.fft.fft(f)
+    w = np.fft.fftfreq(size)
+    positive = w >= 0
+    spectrum_ = np.where(positive, spectrum_, 0)
+    u = np.zeros((modes, size), complex)
+    centre = 0.5 / modes * np.arange(modes)
+    for _ in range(rounds):
+        change = 0.0
+        for k in range(modes):
+            rest = spectrum_ - u.sum(0) + u[k]
+            new = np.where(positive, rest / (1 + 2 * alpha * (w - centre[k]) ** 2), 0)
+            power = np.abs(new[positive]) ** 2
+            centre[k] = (w[positive] @ power) / power.sum() if power.sum() > 0 else centre[k]
+            change += (np.abs(new - u[k]) ** 2).sum() / max((np.abs(u[k]) ** 2).sum(), 1e-300)
+            u[k] = new
+        if change < tolerance:
+            break
+    order = np.argsort(centre, kind="stable")
+    double = np.where(w > 0, 2.0, 1.0)
+    out = np.real(np.fft.ifft(u * double, axis=1))[:, half : half + n]
+    return {"mode": np.repeat(np.arange(modes), n), "i": np.tile(np.arange(n), modes), "centre": np.repeat(centre[order], n), "y": out[order].reshape(-1)}
+
+
+def cqt(x: np.ndarray, fs: float = 1.0, fmin: float = 1 / 64, fmax: float | None = None, per_octave: int = 12, hop: int | None = None) -> dict[str, np.ndarray]:
+    """Frames and bins in octave steps, all of one ratio of frequency to width; a bin's window is as long as its width asks."""
+    fmax, hop = fmax or fs / 2, hop or max(1, round(fs / 100))
+    bins = int(np.floor(per_octave * np.log2(fmax / fmin) + 1e-9)) + 1
+    freq = fmin * 2.0 ** (np.arange(bins) / per_octave)
+    freq = freq[freq < fs / 2 + 1e-12]
+    q = 1 / (2 ** (1 / per_octave) - 1)
+    at = np.arange(0, len(x), hop)
+    frames, out = [], []
+    for f in freq:
+        n = int(np.ceil(q * fs / f))
+        t = np.arange(n) - n // 2
+        shape = np.hanning(n + 2)[1:-1]
+        kernel = shape / shape.sum() * np.exp(-2j * np.pi * f / fs * t)
+        p = np.r_[np.zeros(n // 2), x, np.zeros(n)]
+        size = 1 << int(np.ceil(np.log2(len(p) + n)))
+        y = np.fft.ifft(np.fft.fft(p, size) * np.conj(np.fft.fft(np.conj(kernel), size)))
+        frames.append(np.abs(y[at]))
+        out.append(np.full(len(at), f))
+    return {"frame": np.tile(np.arange(len(at)), len(freq)), "freq": np.concatenate(out) if out else np.zeros(0), "magnitude": np.concatenate(frames) if frames else np.zeros(0)}
