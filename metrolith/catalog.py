@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    for name in ("table", "series", "function", "model", "physical", "learning"):
+    for name in ("table", "series", "function", "model", "physical", "learning", "further"):
         importlib.import_module(f"metrolith.plans.{name}_queries")
 
 

@@ -229,6 +229,62 @@ def isprime(n: Column) -> Column:
     return _udf(test, n) == 1
 
 
+def ellipke_of(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Complete elliptic integrals of the first and second kind of the parameter m = k^2, by arithmetic-geometric means."""
+    m = np.asarray(m, float)
+    if np.any(m > 1):
+        raise ValueError("the parameter is 1 at most")
+    a, b, weight, lost = np.ones_like(m), np.sqrt(1 - m), 0.5, m / 2
+    for _ in range(40):
+        a, b, c = (a + b) / 2, np.sqrt(a * b), ((a - b) / 2) ** 2
+        weight *= 2
+        lost = lost + weight * c
+        if np.all(~(c > 1e-34)):
+            break
+    with np.errstate(divide="ignore", invalid="ignore"):
+        k = np.where(m == 1, np.inf, np.pi / (2 * a))
+        return k, np.where(m == 1, 1.0, k * (1 - lost))
+
+
+def ellipk(m: Column) -> Column:
+    return pandas_udf(lambda s: pd.Series(ellipke_of(s.to_numpy(float))[0]), "double")(m.cast("double"))
+
+
+def ellipe(m: Column) -> Column:
+    return pandas_udf(lambda s: pd.Series(ellipke_of(s.to_numpy(float))[1]), "double")(m.cast("double"))
+
+
+# The Bernoulli numbers of even index from 2 on
+_BERNOULLI = (1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66, -691 / 2730, 7 / 6, -3617 / 510, 43867 / 798, -174611 / 330)
+
+
+def zeta_of(s: np.ndarray) -> np.ndarray:
+    """Riemann's zeta: a sum of 20 terms and Euler and Maclaurin's rest, below 0 by reflection. At 1 there is no value: an error."""
+    s = np.asarray(s, float)
+    if np.any(s == 1):
+        raise ValueError("zeta has a pole at 1")
+    t = np.where(s < 0, 1 - s, s)
+    n, safe = 20, np.where(np.isfinite(t), t, 2.0)
+    out = (np.arange(1, n)[:, None] ** -safe.reshape(1, -1)).sum(0).reshape(safe.shape) + n ** (1 - safe) / (safe - 1) + n**-safe / 2
+    rising = safe * n ** (-safe - 1)
+    for k, b in enumerate(_BERNOULLI, 1):
+        out = out + b / math.factorial(2 * k) * rising
+        rising = rising * (safe + 2 * k - 1) * (safe + 2 * k) / n**2
+    out = np.where(np.isnan(t), np.nan, np.where(t == np.inf, 1.0, out))
+    low = s < 0
+    if low.any():
+        gamma_ = np.array([math.gamma(v) if l and v < 171 else np.inf for v, l in zip(t.reshape(-1), low.reshape(-1), strict=True)]).reshape(t.shape)
+        below = np.where(low, s, 0.0)
+        wave = np.where(below % 2 == 0, 0.0, np.sin(np.pi * below / 2))
+        with np.errstate(invalid="ignore"):
+            out = np.where(low, np.where(wave == 0, 0.0, 2**below * np.pi ** (below - 1) * wave * gamma_ * out), out)
+    return out
+
+
+def zeta(s: Column) -> Column:
+    return pandas_udf(lambda v: pd.Series(zeta_of(v.to_numpy(float))), "double")(s.cast("double"))
+
+
 # matrices as array<array<double>>
 
 
@@ -280,6 +336,26 @@ def expm_of(a: np.ndarray) -> np.ndarray:
 expm = _matrix(expm_of, _M)
 
 
+def logm(a: Column) -> Column:
+    """Principal logarithm; null where an eigenvalue on the closed negative axis leaves none."""
+    from metrolith.operators.solve import logm as of
+
+    def run(m: np.ndarray) -> np.ndarray | None:
+        try:
+            return of(m)
+        except ValueError:
+            return None
+
+    return _matrix(run, _M)(a)
+
+
+def schur(a: Column) -> Column:
+    """The quasi-triangular factor of the real Schur form."""
+    from metrolith.operators.solve import schur as of
+
+    return _matrix(lambda m: of(m)[0], _M)(a)
+
+
 def matmul(a: Column, b: Column) -> Column:
     """Product of matrix columns in the JVM, for small matrices."""
     row = lambda r: F.transform(F.sequence(F.lit(0), F.size(F.get(b, F.lit(0))) - 1), lambda j: F.aggregate(F.zip_with(r, b, lambda x, y: x * F.get(y, j)), F.lit(0.0), lambda s, v: s + v))

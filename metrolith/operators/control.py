@@ -343,20 +343,6 @@ def agm(a: float, b: float) -> float:
     return float(a)
 
 
-def ellipke(m: float) -> tuple[float, float]:
-    """Complete elliptic integrals of the first and second kind of the parameter m = k^2."""
-    if not m <= 1:
-        raise ValueError("the parameter is 1 at most")
-    if m == 1:
-        return float("inf"), 1.0
-    a, b, c, weight, lost = 1.0, np.sqrt(1 - m), m, 0.5, 0.0
-    while weight * abs(c) > 1e-17:
-        lost += weight * c
-        a, b, c, weight = (a + b) / 2, np.sqrt(a * b), ((a - b) / 2) ** 2, weight * 2
-    k = float(np.pi / (2 * a))
-    return k, k * (1 - lost)
-
-
 def _incomplete(angle: float, k: float) -> float:
     """Elliptic integral of the first kind up to an angle, along the same means."""
     a, b, n = 1.0, np.sqrt(1 - k * k), 0

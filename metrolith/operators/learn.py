@@ -260,3 +260,99 @@ def particle_filter(x: np.ndarray, q: float = 1.0, r: float = 1.0, particles: in
         out[i] = w @ p
         p = p[np.minimum(particles - 1, np.searchsorted(np.cumsum(w), (g.random() + np.arange(particles)) / particles))]
     return out
+
+
+def arima(x: np.ndarray, p: int = 1, d: int = 0, q: int = 0) -> dict:
+    """Differenced d times, then `arma`: ar, ma, mu (mean of the differences), residuals and what a forecast starts from."""
+    levels, z = [], np.asarray(x, float)
+    for _ in range(d):
+        levels.append(z[-1] if len(z) else np.nan)
+        z = np.diff(z)
+    c, ma, e = arma(z, p, q)
+    rest = 1 - c[1:].sum()
+    return {"ar": c[1:], "ma": ma, "mu": float(c[0] / rest) if rest else float(c[0]), "constant": float(c[0]), "residuals": e, "history": z[len(z) - p :], "shocks": e[len(e) - q :], "levels": levels}
+
+
+def forecast(model: dict, steps: int) -> np.ndarray:
+    """Further values of a fitted `arima`, without shocks to come."""
+    z, e = list(model["history"]), list(model["shocks"])
+    out = []
+    for _ in range(steps):
+        v = model["constant"] + sum(a * z[-1 - i] for i, a in enumerate(model["ar"])) + sum(b * e[-1 - i] for i, b in enumerate(model["ma"]))
+        z.append(v)
+        e.append(0.0)
+        out.append(v)
+    y = np.array(out)
+    for last in reversed(model["levels"]):
+        y = last + np.cumsum(y)
+    return y
+
+
+def kmedians(df: DataFrame, x: list[str], k: int, iterations: int = 20, seed: int = 0) -> np.ndarray:
+    """Centres of least summed distance along the axes: exact medians by column of the rows nearest to each, found by narrowing."""
+    from metrolith.operators import ranks
+
+    start = df.select(*x).distinct().orderBy(F.xxhash64(F.lit(seed), *x)).limit(k).collect()
+    centres = np.array([[float(v) for v in r] for r in start])
+    for _ in range(iterations):
+        near, new = nearest_median(df, x, centres), centres.copy()
+        for i in range(len(centres)):
+            found = ranks.quantiles(near.filter(F.col("cluster") == i), x, [0.5])
+            new[i] = [centres[i][j] if found[c][0] is None else float(found[c][0]) for j, c in enumerate(x)]
+        if np.allclose(new, centres, atol=1e-12):
+            break
+        centres = new
+    return centres
+
+
+def nearest_median(df: DataFrame, x: list[str], centres: np.ndarray) -> DataFrame:
+    """Adds `cluster`: the centre of least summed distance along the axes, the first of equals."""
+    d = [sum((F.abs(F.col(c) - F.lit(float(v))) for c, v in zip(x, centre, strict=True)), F.lit(0.0)) for centre in centres]
+    return df.withColumn("cluster", F.array_min(F.array(*[F.struct(e.alias("d"), F.lit(i).alias("i")) for i, e in enumerate(d)]))["i"])
+
+
+def grid_search(df: DataFrame, make: Callable[..., ml.Estimator], grid: dict[str, list], fold: Column, folds: int = 5) -> dict:
+    """Every combination scored on the same folds (`fold`: 0 to folds - 1 of a row); the last name varies fastest, the best is the first of equals."""
+    import itertools
+
+    combinations = [dict(zip(grid, v, strict=True)) for v in itertools.product(*grid.values())]
+    if not 1 <= len(combinations) <= 10000:
+        raise ValueError("1 to 10000 combinations")
+    cut = df.withColumn("__fold", fold)
+    results = []
+    for params in combinations:
+        scores = [make(**params).fit(cut.filter(F.col("__fold") != f).drop("__fold")).score(cut.filter(F.col("__fold") == f).drop("__fold")) for f in range(folds)]
+        results.append({"params": params, "mean": float(np.mean(scores)), "std": float(np.std(scores))})
+    best = max(range(len(results)), key=lambda i: (results[i]["mean"], -i))
+    return {"best_params": results[best]["params"], "best_score": results[best]["mean"], "best_index": best, "results": results}
+
+
+def mrmr(df: DataFrame, x: list[str], y: str, n: int) -> list[str]:
+    """The n columns of greatest mean correlation with y less their mean correlation among each other (absolute values).
+
+    One aggregate gives all correlations; a best-first search with the greatest further relevance as
+    bound then finds the best set.
+    """
+    import heapq
+
+    if not 1 <= n <= len(x):
+        raise ValueError("1 to all columns")
+    g, _ = ml.gram(df, [*x, y])
+    m = g[1:, 1:] / g[0, 0] - np.outer(g[0, 1:], g[0, 1:]) / g[0, 0] ** 2
+    s = np.sqrt(np.maximum(np.diag(m), 0))
+    r = np.abs(m / np.where(np.outer(s, s) > 0, np.outer(s, s), np.inf))
+    relevance, red, pairs = r[:-1, -1] / n, r[:-1, :-1], max(1, n * (n - 1) / 2)
+
+    def bound(value: float, size: int, after: int) -> float:
+        return value + float(np.sort(relevance[after:])[::-1][: n - size].sum())
+
+    heap = [(-bound(0.0, 0, 0), (), 0.0)]
+    while heap:
+        _, chosen, value = heapq.heappop(heap)
+        if len(chosen) == n:
+            return [x[i] for i in chosen]
+        first = chosen[-1] + 1 if chosen else 0
+        for i in range(first, len(x) - (n - len(chosen)) + 1):
+            v = value + float(relevance[i]) - sum(float(red[i, j]) for j in chosen) / pairs
+            heapq.heappush(heap, (-bound(v, len(chosen) + 1, i + 1), (*chosen, i), v))
+    raise AssertionError

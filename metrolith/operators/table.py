@@ -262,3 +262,32 @@ def range_join(points: DataFrame, ranges: DataFrame, x: str, lo: str, hi: str, w
     """Points in [lo, hi): both sides are dealt to cells of `width`, so it is an equi-join with a check."""
     cells = ranges.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
     return points.withColumn("__cell", F.floor(F.col(x) / width)).join(cells, "__cell").filter((F.col(x) >= F.col(lo)) & (F.col(x) < F.col(hi))).drop("__cell")
+
+
+def exact_sum(df: DataFrame, c: str) -> float:
+    """The sum of a column rounded once, whatever the order of rows; nulls left out.
+
+    A task keeps its sum as a few doubles that add up exactly; these, a handful a partition, reach the driver.
+    """
+    import math
+
+    import pyarrow as pa
+
+    def run(batches):
+        parts: list[float] = []
+        for batch in batches:
+            x = batch.column(0).drop_null().to_pylist()
+            if not all(map(math.isfinite, x)):
+                parts.append(sum(v for v in x if not math.isfinite(v)))
+                x = [v for v in x if math.isfinite(v)]
+            odd = [v for v in parts if not math.isfinite(v)]
+            x += [v for v in parts if math.isfinite(v)]
+            parts = odd
+            while r := math.fsum(x):
+                parts.append(r)
+                x.append(-r)
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.float64())], names=["s"])
+
+    got = [r["s"] for r in df.select(F.col(c).cast("double")).mapInArrow(run, "s double").collect()]
+    odd = [v for v in got if not math.isfinite(v)]
+    return sum(odd) if odd else math.fsum(got)

@@ -1,25 +1,30 @@
 """Further filters, solvers, image and signal kernels, codes and searches against identities and small cases."""
 
+import itertools
 import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from metrolith.functions import codes
+from metrolith.functions import special as P
 from metrolith.operators import control as C
-from metrolith.operators import image
-from metrolith.operators import signal
+from metrolith.operators import image, ml, signal, table
+from metrolith.operators import learn as L
 from metrolith.operators import solve as S
+from metrolith.sources import files
 
 
 def test_elliptic_integrals():
-    assert C.ellipke(0.0) == pytest.approx((math.pi / 2, math.pi / 2))
-    k, e = C.ellipke(0.5)
+    assert P.ellipke_of(0.0) == pytest.approx((math.pi / 2, math.pi / 2))
+    k, e = P.ellipke_of(0.5)
     t = (np.arange(200000) + 0.5) / 200000 * math.pi / 2
     assert k == pytest.approx(np.mean(1 / np.sqrt(1 - 0.5 * np.sin(t) ** 2)) * math.pi / 2, rel=1e-9)
     assert e == pytest.approx(np.mean(np.sqrt(1 - 0.5 * np.sin(t) ** 2)) * math.pi / 2, rel=1e-9)
     # Legendre's relation
-    k2, e2 = C.ellipke(0.3)
-    k7, e7 = C.ellipke(0.7)
+    k2, e2 = P.ellipke_of(0.3)
+    k7, e7 = P.ellipke_of(0.7)
     assert e2 * k7 + e7 * k2 - k2 * k7 == pytest.approx(math.pi / 2)
 
 
@@ -138,3 +143,88 @@ def test_modes_and_constant_q():
     at = c["freq"][c["frame"] == 50][np.argmax(c["magnitude"][c["frame"] == 50])]
     assert at == pytest.approx(440) and c["magnitude"][c["frame"] == 50].max() == pytest.approx(0.5, abs=0.01)
     assert len(signal.cqt(np.zeros(0), 100.0, 10.0)["freq"]) == 0
+
+
+def test_zeta():
+    z = P.zeta_of(np.array([2.0, 4.0, 0.0, -1.0, -2.0, 3.0, np.inf, 0.5, -3.0, np.nan]))
+    assert z[:9] == pytest.approx([math.pi**2 / 6, math.pi**4 / 90, -0.5, -1 / 12, 0, 1.2020569031595942, 1, -1.4603545088095868, 1 / 120], rel=1e-13) and math.isnan(z[9])
+    with pytest.raises(ValueError):
+        P.zeta_of(np.array([1.0]))
+
+
+@pytest.mark.parametrize("data", [b"a", b"aaaa", b"abracadabra" * 40, bytes(range(256)) * 3, np.random.default_rng(0).geometric(0.3, 5000).clip(0, 255).astype(np.uint8).tobytes()])
+def test_codes_come_back(data):
+    h, r = codes.huffman(data), codes.rans(data)
+    assert codes.unhuffman(np.array(h["lengths"]), h["bits"], h["bit_len"]) == data
+    assert codes.unrans(np.array(r["freqs"]), r["bytes"], r["state"], r["symbol_count"]) == data
+    n = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    p = n[n > 0] / len(data)
+    entropy = -(p * np.log2(p)).sum() * len(data)
+    assert entropy <= h["bit_len"] + 1e-6 and h["bit_len"] <= entropy + len(data)
+    assert sum(2.0**-k for k in h["lengths"] if k) <= 1
+    assert 8 * len(r["bytes"]) <= entropy * 1.02 + 64
+
+
+def test_codes_of_columns(spark):
+    df = spark.createDataFrame([(1, "hello hello"), (2, ""), (3, None), (4, "\u00e9\u4e2d")], "i int, s string")
+    for to, back in ((codes.huffman_encode, codes.huffman_decode), (codes.rans_encode, codes.rans_decode)):
+        got = df.select("i", to(F.col("s")).alias("e")).select("i", back(F.col("e")).cast("string").alias("s"), "e.symbol_count").orderBy("i").collect()
+        assert [(r.s, r.symbol_count) for r in got] == [("hello hello", 11), (None, None), (None, None), ("\u00e9\u4e2d", 5)]
+
+
+def test_exact_sum_does_not_depend_on_order(spark):
+    x = [1e16, 1.0, -1e16, 1e-3, 3.0, 1e100, -1e100, 0.1] * 50
+    for parts in (1, 7):
+        df = spark.createDataFrame([(v,) for v in x] + [(None,)], "v double").repartition(parts)
+        assert table.exact_sum(df, "v") == math.fsum(x)
+    assert table.exact_sum(spark.createDataFrame([], "v double"), "v") == 0
+    assert math.isnan(table.exact_sum(spark.createDataFrame([(math.inf,), (-math.inf,), (1.0,)], "v double"), "v"))
+
+
+def test_arrays_are_written(spark, tmp_path):
+    df = spark.range(1000).select("id", F.when(F.col("id") != 5, F.col("id") * 0.5).alias("v")).repartition(5)
+    files.write_npy(df, str(tmp_path / "a.npy"), "id", "v")
+    x = np.load(tmp_path / "a.npy")
+    assert len(x) == 1000 and math.isnan(x[5]) and x[999] == 499.5
+    files.write_npz(str(tmp_path / "b.npz"), {"v": (df, "id", "v"), "none": (df.limit(0), "id", "v")})
+    with np.load(tmp_path / "b.npz") as z:
+        assert z["v"][7] == 3.5 and len(z["none"]) == 0
+    assert files.read_npz(spark, str(tmp_path)).filter("name = 'v'").count() == 1000
+
+
+def test_arima_follows_a_trend():
+    r = np.random.default_rng(5)
+    e = r.normal(size=4000)
+    z = np.zeros(4000)
+    for i in range(1, 4000):
+        z[i] = 0.5 + 0.6 * z[i - 1] + e[i]
+    m = L.arima(np.cumsum(z), 1, 1, 0)
+    assert m["ar"] == pytest.approx([0.6], abs=0.05) and m["mu"] == pytest.approx(1.25, abs=0.15)
+    f = L.forecast(m, 200)
+    assert np.diff(f)[-1] == pytest.approx(m["mu"], abs=1e-6) and abs(f[0] - np.cumsum(z)[-1] - (m["constant"] + m["ar"][0] * z[-1])) < 1e-9
+    line = L.forecast(L.arima(np.arange(300.0) ** 2, 0, 2, 0), 3)
+    assert line == pytest.approx([300**2, 301**2, 302**2])
+
+
+def test_kmedians_ignore_an_outlier(spark):
+    rows = [(float(v), 0.0) for v in (1, 2, 3, 1000)] + [(v + 5000.0, 1.0) for v in range(5)]
+    centres = L.kmedians(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], 2)
+    assert sorted(map(tuple, centres)) == [(2.5, 0.0), (5002.0, 1.0)]
+
+
+def test_mrmr_is_the_best_set(spark):
+    r = np.random.default_rng(3)
+    a, b, c = r.normal(size=(3, 300))
+    data = {"x0": a, "x1": a + 0.05 * c, "x2": b, "x3": c, "x4": r.normal(size=300), "y": a + 0.8 * b}
+    df = spark.createDataFrame(list(zip(*[v.tolist() for v in data.values()], strict=True)), list(data))
+    corr = np.abs(np.corrcoef(list(data.values())))
+    for n in (1, 2, 3, 5):
+        score = lambda s, n=n: corr[list(s), 5].sum() / n - sum(corr[i, j] for i, j in itertools.combinations(s, 2)) / max(1, n * (n - 1) / 2)
+        best = max(itertools.combinations(range(5), n), key=score)
+        assert L.mrmr(df, ["x0", "x1", "x2", "x3", "x4"], "y", n) == [f"x{i}" for i in best]
+
+
+def test_grid_search(spark):
+    df = spark.range(60).select("id", (F.col("id") * 1.0).alias("x"), (F.col("id") * 2.0 + 1).alias("y"), F.sin(F.col("id") * 1.0).alias("z"))
+    got = L.grid_search(df, lambda name, tag: ml.linear_estimator([name], "y"), {"name": ["z", "x"], "tag": [1, 2]}, F.pmod("id", F.lit(3)), 3)
+    assert got["best_params"] == {"name": "x", "tag": 1} and got["best_index"] == 2 and got["best_score"] == pytest.approx(1) and len(got["results"]) == 4
