@@ -156,16 +156,31 @@ def cdf(family: str, x: Column, *p: float) -> Column:
     return _udf(lambda v: f(v, *p), x)
 
 
+def support(family: str, *p: float) -> tuple[float, float]:
+    """The least and the greatest value of a family, infinite where it has none."""
+    if family in ("norm", "t"):
+        return -math.inf, math.inf
+    if family == "hyge":
+        return max(0.0, p[1] + p[2] - p[0]), min(p[1], p[2])
+    known = {"unif": p, "beta": (0.0, 1.0), "bern": (0.0, 1.0), "unid": (1.0, *p), "bino": (0.0, p[0])}
+    return known.get(family, (0.0, math.inf))
+
+
 def inv(family: str, q: Column, *p: float) -> Column:
+    """The least value of the support whose cdf reaches q; the bounds of the support for 0 and 1."""
     f = FAMILIES[family][1]
+    low, high = support(family, *p)
+    ends = {0.0: low, 1.0: high}
     if family in _DISCRETE:
 
         def least(v: float) -> float:
+            if v in ends:
+                return ends[v]
             if not 0 <= v <= 1:
                 return math.nan
-            lo, hi = -1, 1
-            while f(hi, *p) < v and hi < 1 << 53:
-                hi *= 2
+            lo, hi = int(low) - 1, int(low) + 1
+            while hi < min(high, 1 << 53) and f(hi, *p) < v:
+                hi = int(min(2 * hi + 1, high))
             while hi - lo > 1:
                 mid = (lo + hi) // 2
                 lo, hi = (lo, mid) if f(mid, *p) >= v else (mid, hi)
@@ -173,7 +188,7 @@ def inv(family: str, q: Column, *p: float) -> Column:
 
         return _udf(least, q)
     positive = family not in ("norm", "t", "unif")
-    return _udf(lambda v: _invert(lambda x: f(x, *p), v, 0.0 if positive else -1.0, 1.0), q)
+    return _udf(lambda v: ends[v] if v in ends else _invert(lambda x: f(x, *p), v, 0.0 if positive else -1.0, 1.0), q)
 
 
 def stat(family: str, *p: float) -> tuple[float, float]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from metrolith.functions import mathfn as M
 from metrolith.functions import special as P
 from metrolith.functions import text as X
+from metrolith.plans import checks_sql as C
 from metrolith.plans.table_queries import query, rounded
 
 
@@ -86,7 +87,13 @@ for _family, _params in {"norm": (4.0, 2.0), "gam": (2.0, 1.5), "beta": (2.0, 3.
         c = df.select("p_partkey", x.alias("x")).withColumn("cdf", P.cdf(f, F.col("x"), *p))
         return rounded(c.select("p_partkey", P.pdf(f, F.col("x"), *p).alias("pdf"), "cdf", P.inv(f, F.col("cdf"), *p).alias("inv")), 8)
 
-    query(f"dist_{_family}", "part")(_run)
+    query(f"dist_{_family}", "part", C.DISTRIBUTIONS.get(_family))(_run)
+
+
+@query("special_erf_gamma", "part", C.SPECIAL)
+def _(df):
+    x = F.col("p_size") / 10
+    return rounded(df.select("p_partkey", P.erf(x).alias("erf"), P.gamma(x).alias("gamma"), P.lgamma(x).alias("lgamma")), 8)
 
 
 @query("special_functions", "part")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from metrolith.catalog import register
 from metrolith.operators import control, learn, measure, ml, nn, signal, solve
+from metrolith.plans import checks_sql as C
 from metrolith.plans.model_queries import _SCORED, _scored
 from metrolith.plans.table_queries import query, read, rounded
 from metrolith.sources import documents
@@ -82,10 +83,10 @@ for _name, _options in (("random_forest", {"numTrees": 5, "maxDepth": 4, "seed":
 query("ml_gmm", "lineitem")(lambda df: ml.spark_model(_priced(df), "gmm", _X, "", k=2, maxIter=10, seed=1)[1].select("l_orderkey", "l_linenumber", "prediction"))
 
 
-@query("nn_layer_norm_relu", "embeddings")
+@query("nn_layer_norm_relu", "embeddings", C.LAYER_NORM)
 def _(df):
     net = nn.sequential(nn.layer_norm, nn.relu)
-    return nn.apply_network(df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), net, "embedding").select("vec_id", "output")
+    return nn.apply_network(df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), net, "embedding").select("vec_id", F.transform("output", lambda v: F.round(v, 6)).alias("output"))
 
 
 @query("nn_trained_line", "lineitem")
@@ -124,14 +125,14 @@ for _name, _f, _columns in (
     ("firls", signal.same(lambda x: np.convolve(x, control.firls(15, [0, 0.3, 0.5, 1], [1, 1, 0, 0]))[: len(x)]), "y double"), ("lms", lambda x: {"y": measure.lms(x / (np.abs(x).max() or 1), np.roll(x, -1) / (np.abs(x).max() or 1), 4, 0.01)[0]}, "y double"),
     ("arma", lambda x: {"y": learn.arma(x, 1, 1)[2]}, "y double"), ("particle_filter", lambda x: {"y": learn.particle_filter(x, 1.0, 5.0, 200)}, "y double"),
 ):
-    query(f"signal_{_name}", "events")(lambda df, k=_f, c=_columns: signal.per_series(df, "user_id", ["ts", "event_id"], "value", k, c))
+    query(f"signal_{_name}", "events", C.SERIES.get(_name))(lambda df, k=_f, c=_columns: rounded(signal.per_series(df, "user_id", ["ts", "event_id"], "value", k, c), 6))
 
 
-@register("control_step")
+@register("control_step", C.STEP)
 def _(spark, d):
     t = np.linspace(0, 10, 201)
     y = control.step(control.feedback(control.tf([4.0], [1.0, 1.0, 0.0])), t)
-    return spark.createDataFrame([(float(a), float(b)) for a, b in zip(t, y, strict=True)], "t double, y double")
+    return rounded(spark.createDataFrame([(float(a), float(b)) for a, b in zip(t, y, strict=True)], "t double, y double"), 6)
 
 
 @register("control_bode", "select i, round(-10 * log10(1 + pow(pow(10.0, i / 10.0 - 2), 2)), 6) as db, round(degrees(-atan(pow(10.0, i / 10.0 - 2))), 6) as phase from (select i from range(41) r(i))")

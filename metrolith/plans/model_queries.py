@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from metrolith.catalog import register
 from metrolith.operators import image, ml, signal, sparse
+from metrolith.plans import checks_sql as C
 from metrolith.plans.table_queries import query, read, rounded
 from metrolith.streaming import streams
 
@@ -78,14 +79,14 @@ def _(df):
     return df.sparkSession.createDataFrame([(round(float(c[0]), 3), round(float(c[1]), 4))], "intercept double, slope double")
 
 
-@query("ml_ridge", "lineitem")
+@query("ml_ridge", "lineitem", C.RIDGE)
 def _(df):
-    return df.sparkSession.createDataFrame([tuple(float(v) for v in ml.ols(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 1.0))], "b0 double, b1 double, b2 double, b3 double")
+    return rounded(df.sparkSession.createDataFrame([tuple(float(v) for v in ml.ols(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 1.0))], "b0 double, b1 double, b2 double, b3 double"))
 
 
-@query("ml_polyfit", "part")
+@query("ml_polyfit", "part", C.POLYFIT)
 def _(df):
-    return df.sparkSession.createDataFrame([tuple(float(v) for v in ml.polyfit(df, "p_size", "p_retailprice", 2))], "a double, b double, c double")
+    return rounded(df.sparkSession.createDataFrame([tuple(float(v) for v in ml.polyfit(df, "p_size", "p_retailprice", 2))], "a double, b double, c double"))
 
 
 @query("ml_logistic", "lineitem")
@@ -172,7 +173,7 @@ for _name, _kernel, _columns in (
     ("cheby1", signal.same(lambda x: signal.lfilter(*signal.cheby1(3, 1.0, 0.3), x)), "y double"), ("notch", signal.same(lambda x: signal.lfilter(*signal.notch(0.4), x)), "y double"), ("features", signal.features, "rms double, crest double, entropy double, dominant double, ar1 double, hurst double"),
     ("dwt", signal.daubechies4, "approx double, detail double"), ("cwt", signal.cwt, "scale double, value double"), ("tv_denoise", signal.same(signal.tv_denoise), "y double"),
 ):
-    query(f"signal_{_name}", "events")(lambda df, k=_kernel, c=_columns: signal.per_series(df, "user_id", ["ts", "event_id"], "value", k, c))
+    query(f"signal_{_name}", "events", C.SERIES.get(_name))(lambda df, k=_kernel, c=_columns, d=C.DIGITS.get(_name, 6): rounded(signal.per_series(df, "user_id", ["ts", "event_id"], "value", k, c), d))
 
 
 def _stream(spark, d):
@@ -187,7 +188,7 @@ def _(spark, d):
     return got.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
 
 
-@register("stream_exponential_filter")
+@register("stream_exponential_filter", C.EXPONENTIAL)
 def _(spark, d):
     src = _stream(spark, d).select("user_id", "event_id", "value")
     out = streams.stateful(src, "user_id", ["event_id"], streams.exponential_step(0.25, "user_id", "value", "event_id"), (0.0, 0), "y double, n bigint", "user_id bigint, event_id bigint, y double")
@@ -219,7 +220,7 @@ def _(df):
     return rounded(image.convolve(_pixels(df), [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]]))
 
 
-@query("image_otsu", "lineitem")
+@query("image_otsu", "lineitem", C.otsu(_PIXELS))
 def _(df):
     return image.otsu(_pixels(df).withColumn("v", F.floor("v")))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from metrolith.catalog import register
 from metrolith.functions import physical as H
 from metrolith.operators import image, sparse
+from metrolith.plans import checks_sql as C
 from metrolith.plans.function_queries import many
 from metrolith.plans.model_queries import _ENTRIES, _PIXELS, _entries, _pixels
 from metrolith.plans.table_queries import query, read, rounded
@@ -132,7 +133,7 @@ def _(df):
     return rounded(image.translate(_pixels(df), 2, -1), 5)
 
 
-@query("image_resized", "lineitem")
+@query("image_resized", "lineitem", C.resized(_PIXELS, 10, 40))
 def _(df):
     return rounded(image.resize(_pixels(df), 10, 40), 5)
 
@@ -160,7 +161,7 @@ def _(df):
 
 for _name, _kernel in (("distance", image.distance_transform), ("bilateral", image.bilateral), ("skeleton", image.skeleton), ("filled", image.fill_holes)):
     query(f"image_{_name}", "lineitem")(lambda df, k=_kernel: rounded(image.per_image(_bright(df) if k is not image.bilateral else _pixels(df), k), 6))
-query("image_kapur", "lineitem")(lambda df: image.kapur_threshold(_pixels(df).withColumn("v", F.floor("v"))))
+query("image_kapur", "lineitem", C.kapur(_PIXELS))(lambda df: image.kapur_threshold(_pixels(df).withColumn("v", F.floor("v"))))
 query("image_multi_otsu", "lineitem")(lambda df: image.multi_otsu(_pixels(df).withColumn("v", F.floor("v"))))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metrolith.functions import physical as H
+from metrolith.functions import special as P
 from metrolith.operators import control as C
 from metrolith.operators import image
 from metrolith.operators import learn as L
@@ -301,3 +302,11 @@ def test_estimators(spark):
     for _ in range(5):
         want = move(want, grad(want, xy[:, :2], xy[:, 2]) / len(xy), state)
     assert got == pytest.approx(want)
+
+
+def test_inverse_at_the_ends_of_the_support(spark):
+    ends = spark.createDataFrame([(0.0,), (1.0,)], "q double")
+    inf = float("inf")
+    want = {("norm", 4.0, 2.0): (-inf, inf), ("exp", 2.0): (0, inf), ("unif", -1.0, 5.0): (-1, 5), ("beta", 2.0, 3.0): (0, 1), ("unid", 9.0): (1, 9), ("hyge", 10.0, 8.0, 5.0): (3, 5), ("bern", 0.3): (0, 1), ("bino", 12.0, 0.4): (0, 12)}
+    for (family, *p), bounds in want.items():
+        assert [r[0] for r in ends.orderBy("q").select(P.inv(family, F.col("q"), *p)).collect()] == list(bounds), family
