@@ -41,3 +41,13 @@ def test_query(spark, duck, name):
     names = [d[0] for d in r.description]
     assert sorted(names) == cols
     assert got == sorted(tuple(plain(x[names.index(c)]) for c in cols) for x in r.fetchall())
+
+
+def test_zip_pairs_by_position(spark, duck, tmp_path):
+    names = [(1, "a#b", "xIyIz"), (2, None, "xIy"), (3, "", None), (4, None, None), (5, "#", "")]
+    spark.createDataFrame(names, "c_custkey long, c_name string, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    for d, con in ((DIR, duck), (str(tmp_path), c)):
+        got = {r["c_custkey"]: r.asDict(recursive=True)["pairs"] for r in catalog.queries()["table_zip"](spark, d).collect()}
+        assert got == {k: [list(p) for p in pairs] for k, pairs in con.execute(catalog.oracle_sql()["table_zip"]).fetchall()}
