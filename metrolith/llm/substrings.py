@@ -22,15 +22,13 @@ Node labels are fingerprints: 64 bits of the prefix and 64 of the path, compared
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metrolith.llm._spark import extended, filled_name, free, plus, total_chars
-from metrolith.llm._text import SPACED, U, Words, chunks, filled, gram, mix, strings, forget
+from metrolith.llm._text import SPACED, U, Words, chunks, gram, mix, strings, forget
 
 ANCHOR = 8
 #: Bytes of suffix rows in a group; with the arrays of its sort about six times that.
@@ -157,6 +155,7 @@ def _split(batches, bits: int, window: int, anchor: int, hot):
 
 def _leaves(got, ids: np.ndarray, hashes: np.ndarray, bits: int, hot: np.ndarray):
     prefix, path, doc, start, at = (np.concatenate(x) for x in zip(*got, strict=True))
+    got.clear()  # the joined arrays are enough
     if not len(prefix):
         return
     # equal suffixes of this batch: the earliest leaf stays
@@ -261,6 +260,33 @@ def _identity(column: str) -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("bigint"), h).alias("doc"), h.bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"), F.col("doc_id").cast("bigint").isNull().alias("nameless")]
 
 
+def _cleared(batches, runs: str, column: str, window: int):
+    """The rows without the words of their runs, in batches of about CHUNK bytes of text: a whole one with its result is several times a batch."""
+    forget()
+    for batch in batches:
+        known = batch.column(batch.schema.get_field_index(runs))
+        rest = batch.select([n for n in batch.schema.names if n != runs])
+        for row, data, off in chunks(batch.column(batch.schema.get_field_index(filled_name(batch, column)))):
+            w = Words(data, off, SPACED, hashed=False)
+            raws = strings(data, off)
+            total, removed, left = np.diff(w.first), [], []
+            for r, n in enumerate(total.tolist()):
+                mine = known[row + r].as_py()
+                if not mine:
+                    removed.append(0)
+                    left.append(raws[r])
+                    continue
+                a = w.first[r]
+                edge = np.zeros(n + 1, np.int64)
+                np.add.at(edge, [m["start"] for m in mine], 1)
+                np.add.at(edge, [m["start"] + m["n"] - 1 + window for m in mine], -1)
+                stay = np.flatnonzero(np.cumsum(edge)[:-1] <= 0)
+                removed.append(n - len(stay))
+                s, e = (w.start[a + stay] - off[r]).tolist(), (w.end[a + stay] - off[r]).tolist()
+                left.append(b" ".join([raws[r][x:y] for x, y in zip(s, e, strict=True)]))
+            yield extended(rest.slice(row, len(raws)), n_words=pa.array(total, pa.int64()), n_removed=pa.array(removed, pa.int64()), kept=pa.array(left, pa.binary()).cast(pa.string()))
+
+
 def dedup_substrings(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, group_bytes: int = GROUP_BYTES, column: str = "text") -> DataFrame:
     """Removes every word that a window of words covers which also starts earlier.
 
@@ -280,42 +306,13 @@ def dedup_substrings(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, gr
     marks = marks.select(F.struct("doc", "h", "nameless").alias(key), kept)
     joined = docs.withColumn(key, F.struct(*_identity(column))).join(marks, key, "left").select(*[f"`{c}`" for c in docs.columns], kept)
 
-    def run(batches):
-        for batch in batches:
-            runs = batch.column(batch.schema.get_field_index(kept))
-            text = filled(batch.column(batch.schema.get_field_index(filled_name(batch, column))))
-            total, removed, left = [], [], []
-            for row, data, off in chunks(text):
-                w = Words(data, off, SPACED, hashed=False)
-                raws = strings(data, off)
-                for r in range(len(off) - 1):
-                    a, n = w.first[r], w.first[r + 1] - w.first[r]
-                    mine = runs[row + r].as_py()
-                    total.append(int(n))
-                    if not mine:
-                        removed.append(0)
-                        left.append(raws[r])
-                        continue
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, [m["start"] for m in mine], 1)
-                    np.add.at(edge, [m["start"] + m["n"] - 1 + window for m in mine], -1)
-                    stay = np.flatnonzero(np.cumsum(edge)[:-1] <= 0)
-                    removed.append(int(n - len(stay)))
-                    s, e = (w.start[a + stay] - off[r]).tolist(), (w.end[a + stay] - off[r]).tolist()
-                    left.append(b" ".join([raws[r][x:y] for x, y in zip(s, e, strict=True)]))
-            rest = batch.select([n for n in batch.schema.names if n != kept])
-            yield extended(rest, n_words=pa.array(total, pa.int64()), n_removed=pa.array(removed, pa.int64()), kept=pa.array(left, pa.binary()).cast(pa.string()))
-
-    return joined.mapInArrow(run, plus(docs.schema, "n_words bigint, n_removed bigint, kept string"))
+    return joined.mapInArrow(lambda it: _cleared(it, kept, column, window), plus(docs.schema, "n_words bigint, n_removed bigint, kept string"))
 
 
 def digests(out: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256: the digest of the kept words joined by one space."""
-
-    def run(batches):
-        for batch in batches:
-            sums = [hashlib.sha256(b" ".join(x.encode().split())).hexdigest() for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+    """doc_id, n_words, n_removed and kept_sha256: the digest of the kept words joined by one space.
 
-    base = out.select("doc_id", "n_words", "n_removed", "kept")
-    return base.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    Worked out by Spark itself: a second step in Python would hold two more workers an executor, with their batches.
+    """
+    words = F.btrim(F.regexp_replace("kept", r"[\x20\x09-\x0D]+", " "), F.lit(" "))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))

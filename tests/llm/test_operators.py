@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -230,6 +231,22 @@ def test_a_frequent_anchor_is_dealt_to_many_groups(spark):
     assert rows(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(made, 20)
 
 
+def test_the_last_step_of_substrings_holds_little(spark, docs):
+    """One Python step after the join, and a large batch leaves it in small ones; the digests are those of `kept`."""
+    out = substrings.digests(substrings.dedup_substrings(docs, 20))
+    assert re.split(r"\bJoin\b", out._jdf.queryExecution().optimizedPlan().toString())[0].count("MapInArrow") == 1
+    made = pa.RecordBatch.from_pydict({"doc_id": list(range(5000)), "text": ["a\tb  c " + "word " * 200] * 4999 + [None], "runs": [[]] * 4998 + [[{"start": 1, "n": 2}], None]})
+    sent, joined = {"bytes": 0, "rows": 0}, []
+    for b in substrings._cleared(iter([made]), "runs", "text", 2):
+        sent = {"bytes": max(sent["bytes"], b.column(b.schema.get_field_index("kept")).nbytes), "rows": sent["rows"] + len(b)}
+        joined += b.select(["doc_id", "n_words", "n_removed"]).to_pylist()
+    assert sent["bytes"] < 2 << 20 and sent["rows"] == 5000
+    assert [tuple(x.values()) for x in joined[-3:]] == [(4997, 203, 0), (4998, 203, 3), (4999, 0, 0)]
+    kept = ["", " \t", " a\x0bb\u00a0c\x1cd \r\n e\x00\x85f\u3000\U0001d7d8 ", "\x0c x  y"]
+    df = spark.createDataFrame([(i, 0, 0, k) for i, k in enumerate(kept)], "doc_id long, n_words long, n_removed long, kept string")
+    assert [r["kept_sha256"] for r in substrings.digests(df).orderBy("doc_id").collect()] == [sha(" ".join(re.findall(SPACED, k))) for k in kept]
+
+
 # 4
 
 
