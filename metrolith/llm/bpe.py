@@ -47,8 +47,9 @@ def merge(ranks: dict[bytes, int], piece: bytes) -> list[bytes]:
     return parts
 
 
-#: Bytes that states with their moves, and pieces met, may take at most in a worker.
-TABLE_BYTES, PIECE_BYTES = 128 << 20, 40 << 20
+#: Bytes that states with their moves, and pieces met, may take at most in a worker. With half of that for states, two thirds
+#: of the moves asked for were carried over from the older generation again.
+TABLE_BYTES, PIECE_BYTES = 256 << 20, 96 << 20
 #: Bytes of a state, a move and a piece besides their contents, from the growth of a worker.
 _STATE, _MOVE, _PIECE = 150, 90, 110
 _NEVER = 1 << 60
@@ -148,29 +149,36 @@ class Transducer:
         text = pending + bytes((byte,))
         n = len(text)
         size = [0, *last, 0]
-        ends = [text[q:] if q == 0 or size[q] else b"" for q in range(n)]
-        ranks, starts = self.ranks, self.starts
-        for q, end in enumerate(ends):
-            if end in ranks and self.fits(text[q - size[q] : q] if q else before, end):
+        ranks, starts, front = self.ranks, self.starts, set()
+        for q in range(n):
+            if q and not size[q]:
+                continue
+            end = text[q:]
+            if not size[n] and end in ranks and self.fits(text[q - size[q] : q] if q else before, end):
                 size[n] = n - q
-                break
-        else:
+            if end in starts:
+                front.add(q)
+        if not size[n]:
             raise ValueError("no token ends here: the ranks lack a single byte or can't be built by merges")
-        alive = [q for q, end in enumerate(ends) if end in starts]
-        front = {*alive, n}
-        used = set(front)
-        while len(front) > 1:
-            q = max(front)
-            front.discard(q)
-            front.add(q - size[q])
-            used.add(q - size[q])
-        (a,) = front
+        # every used position gets to its own ancestor, from the right, until all of them have met
+        used = {*front, n}
+        apart, a = len(used), n
+        while apart > 1:
+            if a in used:
+                up = a - size[a]
+                if up in used:
+                    apart -= 1
+                else:
+                    used.add(up)
+            a -= 1
+        while a not in used:
+            a -= 1
         out, q = [], a
         while q > 0:
             out.append(ranks[text[q - size[q] : q]])
             q -= size[q]
         # the token before matters only while one can still start right behind it
-        left = (text[a - size[a] : a] if a else before) if a in alive else b""
+        left = (text[a - size[a] : a] if a else before) if a in front else b""
         return (text[a:], tuple([size[q] if q in used else 0 for q in range(a + 1, n + 1)]), left), tuple(reversed(out))
 
     def end(self, state: int) -> tuple[int, ...]:

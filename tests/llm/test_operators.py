@@ -161,6 +161,19 @@ def test_transducer_tables_stay_within_their_bytes():
     assert pieces.transducer.old.moves and pieces.known.old and now < 9 * (1 << 20)
 
 
+def test_states_of_a_long_run_of_texts_are_made_once():
+    """Texts that come again ask for no move anew, in a worker whose states take more than 64 MB."""
+    path, pattern = queries.tokenizer()
+    raw, r = open(path, "rb").read(), random.Random(4)
+    t = bpe.Codec(raw, pattern).pieces.transducer
+    made = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(5, 10))).encode() for _ in range(170000)]
+    first = [t.encode(w) for w in made]
+    assert t.now.bytes > 64 << 20
+    asked, move = Counter(), t.move
+    t.move = lambda *a: asked.update(n=1) or move(*a)
+    assert [t.encode(w) for w in made] == first and asked["n"] == 0
+
+
 def test_bpe(spark, docs, tmp_path):
     path, ranks = small_ranks(tmp_path)
     out = bpe.encode(docs, str(path), r"\S+|\s+", digest=True)
