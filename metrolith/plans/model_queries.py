@@ -222,7 +222,9 @@ def _(df):
 
 @query("image_otsu", "lineitem", C.otsu(_PIXELS))
 def _(df):
-    return image.otsu(_pixels(df).withColumn("v", F.floor("v")))
+    # floor gives a bigint, which has no NaN and no infinities
+    v = F.col("v")
+    return image.otsu(_pixels(df).withColumn("v", F.when(F.abs(v) < 2.0**53, F.floor(v).cast("double")).otherwise(v)))
 
 
 @query("image_equalised", "lineitem", f"with p as (select image, y, x, floor(v) as v from {_PIXELS}), c as (select image, v, count(*) as n from p group by 1, 2), e as (select image, v, round(sum(n) over (partition by image order by v) / sum(n) over (partition by image) * 255) as e from c) select p.image, p.y, p.x, e as v from p join e using (image, v)")

@@ -51,3 +51,15 @@ def test_zip_pairs_by_position(spark, duck, tmp_path):
     for d, con in ((DIR, duck), (str(tmp_path), c)):
         got = {r["c_custkey"]: r.asDict(recursive=True)["pairs"] for r in catalog.queries()["table_zip"](spark, d).collect()}
         assert got == {k: [list(p) for p in pairs] for k, pairs in con.execute(catalog.oracle_sql()["table_zip"]).fetchall()}
+
+
+def test_otsu_of_plain_and_odd_images(spark, tmp_path):
+    nan, inf = math.nan, math.inf
+    images = {1: [25.2, 25.7, 25.0], 2: [25.0], 3: [1.0, nan, 9.0], 4: [None, 3.0, 8.0, 3.5], 5: [None], 6: [inf, 2.0], 7: [-inf, 2.0, 4.0], 8: [24.0, 25.0, 26.0], 9: [nan, nan], 10: [-1.5, -0.5, 7.0], None: [4.0, 5.0, 5.0]}
+    rows = [(k, y, y, v) for k, values in images.items() for y, v in enumerate(values)]
+    spark.createDataFrame(rows, "l_linenumber int, l_orderkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = {r["image"]: plain(r["threshold"]) for r in catalog.queries()["image_otsu"](spark, str(tmp_path)).collect()}
+    assert got == {k: plain(v) for k, v in c.execute(catalog.oracle_sql()["image_otsu"]).fetchall()}
+    assert got[1] == got[2] == "25"
